@@ -32,7 +32,7 @@ def assemble_chats(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     row with part 0. Turns count from 0 without gaps.
     """
     part = F.floor(F.col("turn") / F.lit(part_turns)).cast("bigint")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
     return turns.groupBy("source_idx", part.alias("part")).agg(
         F.transform(ordered, lambda m: chat.message(m["role"], m["content"])).alias("messages")
     )

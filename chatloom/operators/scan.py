@@ -60,7 +60,10 @@ def add_carry(
         F.count(F.lit(1)).over(earlier).alias("_earlier"),
         *[merge(F.col(name)).over(earlier).alias(name) for name, (_, merge) in parts.items()],
     ).filter("_earlier > 0").drop("_earlier")
-    return sliced.join(F.broadcast(carry), [SLICE, *group], "left")
+    keys = [SLICE, *group]
+    carry = carry.withColumnsRenamed({key: f"{key}_of_carry" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"{key}_of_carry")) for key in keys]
+    return sliced.join(F.broadcast(carry), same, "left").drop(*[f"{key}_of_carry" for key in keys])
 
 
 def running_sum(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chatloom.functions.problems import logged_model_name
 from chatloom.functions.text import lenient_code
@@ -15,6 +16,24 @@ FIRST_ATTEMPT = 1
 REPAIR_ATTEMPT = 2
 
 
+def log_rounded(value: Column, digits: int) -> Column:
+    """Python's rounding (of the binary value, ties to even), which Spark's differs
+    from on ties. For log rows, of which a run has one."""
+
+    @F.pandas_udf("double")
+    def rounded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: round(v, digits))
+
+    return rounded(value)
+
+
+def iso_utc(moment: str) -> Column:
+    """ISO time with a Z; the fraction is left out when it is zero."""
+    seconds = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+    fraction = F.date_format(moment, ".SSSSSS")
+    return F.concat(seconds, F.when(fraction == ".000000", "").otherwise(fraction), F.lit("Z"))
+
+
 def pending_prompts(
     problems: DataFrame, done: DataFrame, sample: int, passes: int, *order: str,
     done_keys: tuple[str, ...] = ("id",),
@@ -46,10 +65,9 @@ def eval_log(
     """
     outcomes = grading.problem_outcomes(problems, runs, generations, keep=[run_key])
     totals = grading.summarize_outcomes(outcomes, run_key).join(settings, run_key)
-    stamp = F.date_format("finished_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     elapsed = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / F.lit(1e6)
     rows = totals.select(
-        stamp.alias("timestamp"),
+        iso_utc("finished_at").alias("timestamp"),
         logged_model_name(
             F.col("model_id"), F.col("checkpoint_path"), F.col("weights_path")
         ).alias("model_id"),
@@ -58,9 +76,9 @@ def eval_log(
         F.col("problems_total").alias("sample"),
         "temperature", "top_p", "max_new_tokens", "passes",
         "problems_total", "problems_evaluable", "solved_on_example",
-        F.round("example_pass_rate", 4).alias("example_pass_rate"),
-        F.round("avg_new_tokens", 2).alias("avg_new_tokens"),
-        F.round(elapsed, 2).alias("elapsed_sec"),
+        log_rounded(F.col("example_pass_rate"), 4).alias("example_pass_rate"),
+        log_rounded(F.col("avg_new_tokens"), 2).alias("avg_new_tokens"),
+        log_rounded(elapsed, 2).alias("elapsed_sec"),
     )
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in EVAL_LOG.fields])
 

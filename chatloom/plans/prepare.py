@@ -62,13 +62,8 @@ def profile_chats(chats: DataFrame, counter: TokenCounter = count_tokens) -> Dat
 
 def screen(profile: DataFrame, language: str = "any") -> DataFrame:
     """Add code, language, think and the first reason to leave a chat out (or null)."""
-    found = compute_once(
-        profile,
-        _fence=text.last_fence(F.col("reply")),
-        _think=text.last_think(F.col("reply")),
-    )
-    tag = text.fence_tag(F.col("_fence"))
-    named = found.withColumn("language", text.code_language(tag))
+    found = compute_once(profile, _fence=text.last_fence(F.col("reply")))
+    named = found.withColumn("language", text.code_language(text.fence_tag(F.col("_fence"))))
     reason = (
         F.when(F.col("n_turns") <= 0, "no_messages")
         .when(F.coalesce("reply", F.lit("")) == "", "no_reply")
@@ -78,8 +73,8 @@ def screen(profile: DataFrame, language: str = "any") -> DataFrame:
     return (
         named.withColumn("reason", reason)
         .withColumn("code", text.fence_body(F.col("_fence")))
-        .withColumn("think", F.when(F.col("reason").isNull(), F.col("_think")))
-        .drop("_fence", "_think")
+        .withColumn("think", F.when(F.col("reason").isNull(), text.last_think(F.col("reply"))))
+        .drop("_fence")
     )
 
 
@@ -120,7 +115,7 @@ def collect_prompts(turns: DataFrame, kept: DataFrame) -> DataFrame:
         "source_idx", "turn", "role", F.when(is_prompt, F.col("content")).alias("content")
     )
     mine = asked.join(kept, "source_idx").filter(is_prompt | (F.col("turn") == F.col("reply_turn")))
-    ordered = F.array_sort(F.collect_list(F.when(is_prompt, F.struct("turn", "role", "content"))))
+    ordered = F.sort_array(F.collect_list(F.when(is_prompt, F.struct("turn", "role", "content"))))
     carried = [c for c in kept.columns if c not in ("source_idx", "reply_turn")]
     return mine.groupBy("source_idx").agg(
         *[F.first(c).alias(c) for c in carried],

@@ -268,7 +268,7 @@ PASS_RATE = "coalesce(count(*) FILTER (solved)::DOUBLE / nullif(count(*) FILTER
 NEW_TOKENS = "coalesce(sum(new_tokens)::DOUBLE / nullif(count(*), 0), 0)"
 EVAL_LOG = f"""WITH {OUTCOMES}, {SETTINGS},
 totals AS (SELECT subset, {TOTALS}, {PASS_RATE} AS rate, {NEW_TOKENS} AS average FROM outcomes GROUP BY subset)
-SELECT strftime(make_timestamp(started_us + elapsed_us), '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp,
+SELECT replace(strftime(make_timestamp(started_us + elapsed_us), '%Y-%m-%dT%H:%M:%S.%fZ'), '.000000Z', 'Z') AS timestamp,
  CASE WHEN weights_path IS NOT NULL THEN model_id || '+' || weights_path
    WHEN checkpoint_path IS NOT NULL THEN checkpoint_path ELSE model_id END AS model_id,
  subset, split, problems_total AS sample, temperature, top_p, max_new_tokens, passes,

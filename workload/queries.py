@@ -433,19 +433,19 @@ def token_kl(spark, sf_dir):
 
 @query
 def token_ce(spark, sf_dir):
-    terms = scoring.cross_entropy_terms(views.token_logits(spark, sf_dir))
+    terms = scoring.cross_entropy_terms(views.student_logits(spark, sf_dir))
     return terms.select("seq_id", "pos", _rounded("ce"))
 
 
 @query
 def gem_loss(spark, sf_dir):
-    tokens = views.token_logits(spark, sf_dir).drop("ref_logits")
+    tokens = views.student_logits(spark, sf_dir)
     return scoring.gem_loss(tokens, "seq_id").select("seq_id", _rounded("gem_loss"))
 
 
 @query
 def gem_loss_linear(spark, sf_dir):
-    tokens = views.token_logits(spark, sf_dir).drop("ref_logits")
+    tokens = views.student_logits(spark, sf_dir)
     loss = scoring.gem_loss(tokens, num_items=1000, weights="linear")
     return loss.select(_rounded("gem_loss"))
 
@@ -466,11 +466,7 @@ def total_loss(spark, sf_dir):
 
 @query
 def reference_kl(spark, sf_dir):
-    """Student and reference logged apart, joined by token."""
-    both = views.token_logits(spark, sf_dir)
-    student = both.drop("ref_logits")
-    reference = both.select("seq_id", "pos", "ref_logits")
-    terms = scoring.kl_terms(scoring.with_reference(student, reference))
+    terms = scoring.kl_terms(views.token_logits(spark, sf_dir))
     return terms.groupBy("seq_id").agg(F.round(F.avg("kl"), 6).alias("mean_kl"))
 
 

@@ -6,10 +6,11 @@ oracle, so both sides derive their inputs from one text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chatloom.operators.chats import assemble_chats
 from chatloom.operators.scan import number_rows
+from chatloom.operators.scoring import with_reference
 
 PASSES = 3
 
@@ -66,7 +67,7 @@ SETTING_COLUMNS = {
     "max_new_tokens": "8192",
     "passes": str(PASSES),
     "started_us": "1700000000000000 + min(doc_id)*1000000",
-    "elapsed_us": "count(*)*3000000 + max(n_chars)*1000",
+    "elapsed_us": "count(*)*3000000 + max(n_chars)*10000",
 }
 
 
@@ -130,16 +131,28 @@ def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.selectExpr("run_id", "log_id", "ts", f"{LOG_STEP} AS step")
 
 
-def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    total = vectors.agg(F.count(F.lit(1))).scalar()
-    own = vectors.select(
-        "vec_id",
-        ((F.col("vec_id") + 1) % total).alias("_next"),
-        F.floor(F.col("vec_id") / 8).cast("bigint").alias("seq_id"),
-        (F.col("vec_id") % 8).alias("pos"),
+def _token_columns(token: Column) -> list[Column]:
+    """Eight tokens make a sequence."""
+    return [F.floor(token / 8).cast("bigint").alias("seq_id"), (token % 8).alias("pos")]
+
+
+def student_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
+        *_token_columns(F.col("vec_id")),
         F.expr(LABEL).alias("label"),
         F.col("embedding").alias("logits"),
     )
-    following = vectors.select(F.col("vec_id").alias("_next"), F.col("embedding").alias("ref_logits"))
-    return own.join(following, "_next").drop("_next")
+
+
+def reference_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's vector of a token is the embedding that follows it."""
+    vectors = table(spark, sf_dir, "embeddings")
+    total = vectors.agg(F.count(F.lit(1))).scalar()
+    return vectors.select(
+        *_token_columns((F.col("vec_id") + total - 1) % total),
+        F.col("embedding").alias("ref_logits"),
+    )
+
+
+def token_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_reference(student_logits(spark, sf_dir), reference_logits(spark, sf_dir))
