@@ -1,69 +1,102 @@
 """Ordered scans (running sums, maxima, row numbers) that survive one hot group.
 
-A window over one group, or over the whole table, runs in one task. Here the
-rows are range-partitioned on the full order key instead, so a group with a
-third of all rows is cut into many slices. Each slice is scanned on its own and
-gets the carry of the earlier slices. Because slices are contiguous in the order
-key, only the first group of a slice can have begun earlier: there are fewer
-carry rows than slices, whatever the data, so the carry is safe to broadcast.
+A window over one group, or over the whole table, runs in one task. That is fine
+while the largest group is small, which is measured first. Beyond that the rows
+are range-partitioned on the full order key, so a group with a third of all rows
+is cut into many slices. Each slice is scanned on its own and gets the carry of
+the earlier slices. Because slices are contiguous in the order key, only the
+first group of a slice can have begun earlier: there are fewer carry rows than
+slices, whatever the data, so the carry is safe to broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from chatloom.session import shared_folder
 
 SLICE = "_slice"
+WHOLE_GROUP_ROWS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Rows ready for an ordered scan; ``cut`` tells whether groups span slices."""
+
+    rows: DataFrame
+    group: list[str]
+    order: list[str]
+    cut: bool
+
+    @property
+    def keys(self) -> list[str]:
+        return [SLICE, *self.group] if self.cut else self.group
+
+    def window(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
+
+    def with_carry(
+        self, parts: dict[str, tuple[Column, Callable[[Column], Column]]]
+    ) -> DataFrame:
+        """Add, per name, its value over the group's rows in earlier slices (or null).
+
+        ``parts`` maps a name to the aggregate inside one slice and the function
+        that merges slices, such as ``(F.count("*"), F.sum)``.
+        """
+        totals = self.rows.groupBy(*self.keys).agg(
+            *[inside.alias(name) for name, (inside, _) in parts.items()]
+        )
+        if not self.cut:
+            types = {field.name: field.dataType for field in totals.schema.fields}
+            return self.rows.withColumns(
+                {name: F.lit(None).cast(types[name]) for name in parts}
+            )
+        earlier = (
+            Window.partitionBy(*(self.group or [F.lit(0)]))
+            .orderBy(SLICE)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        carry = totals.select(
+            *self.keys,
+            F.count(F.lit(1)).over(earlier).alias("_earlier"),
+            *[merge(F.col(name)).over(earlier).alias(name) for name, (_, merge) in parts.items()],
+        ).filter("_earlier > 0").drop("_earlier")
+        carry = carry.withColumnsRenamed({key: f"{key}_of_carry" for key in self.keys})
+        same = [F.col(key).eqNullSafe(F.col(f"{key}_of_carry")) for key in self.keys]
+        joined = self.rows.join(F.broadcast(carry), same, "left")
+        return joined.drop(*[f"{key}_of_carry" for key in self.keys])
+
+
+def largest_group(df: DataFrame, group: list[str]) -> int:
+    """Rows of the largest group: reads only the group columns."""
+    counts = df.groupBy(*group).count()
+    return counts.agg(F.max("count")).first()[0] or 0
+
+
+def slice_rows(
+    df: DataFrame,
+    order: list[str],
+    group: list[str] | None = None,
+    slices: int | None = None,
+    whole_group_rows: int = WHOLE_GROUP_ROWS,
+) -> Slices:
+    """Keep groups whole when the largest one is small, else cut by range.
 
-
-def slice_rows(df: DataFrame, *order: str, slices: int | None = None) -> DataFrame:
-    """Range-partition on ``order`` and tag every row with its slice.
-
-    The slice bounds come from a sample, so the tagged rows are pinned with a
+    The range bounds come from a sample, so the tagged rows are pinned with a
     reliable checkpoint: a lost executor re-reads them and can not re-cut them.
     """
+    group = group or []
+    if group and largest_group(df, group) <= whole_group_rows:
+        return Slices(df, group, order, cut=False)
     spark = df.sparkSession
     shared_folder(spark)
     count = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(count, *order)
-    return cut.withColumn(SLICE, F.spark_partition_id()).checkpoint()
-
-
-def in_slice(group: list[str], order: list[str]) -> WindowSpec:
-    return Window.partitionBy(SLICE, *group).orderBy(*order)
-
-
-def add_carry(
-    sliced: DataFrame,
-    group: list[str],
-    parts: dict[str, tuple[Column, Callable[[Column], Column]]],
-) -> DataFrame:
-    """Add, per name, its value over the group's rows in earlier slices (or null).
-
-    ``parts`` maps a name to the aggregate inside one slice and the function that
-    merges slices, such as ``(F.count("*"), F.sum)``.
-    """
-    totals = sliced.groupBy(SLICE, *group).agg(
-        *[inside.alias(name) for name, (inside, _) in parts.items()]
-    )
-    earlier = (
-        Window.partitionBy(*(group or [F.lit(0)]))
-        .orderBy(SLICE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = totals.select(
-        SLICE,
-        *group,
-        F.count(F.lit(1)).over(earlier).alias("_earlier"),
-        *[merge(F.col(name)).over(earlier).alias(name) for name, (_, merge) in parts.items()],
-    ).filter("_earlier > 0").drop("_earlier")
-    keys = [SLICE, *group]
-    carry = carry.withColumnsRenamed({key: f"{key}_of_carry" for key in keys})
-    same = [F.col(key).eqNullSafe(F.col(f"{key}_of_carry")) for key in keys]
-    return sliced.join(F.broadcast(carry), same, "left").drop(*[f"{key}_of_carry" for key in keys])
+    cut = df.repartitionByRange(count, *group, *order)
+    pinned = cut.withColumn(SLICE, F.spark_partition_id()).checkpoint()
+    return Slices(pinned, group, order, cut=True)
 
 
 def running_sum(
@@ -72,21 +105,19 @@ def running_sum(
     out: str,
     order: list[str],
     group: list[str] | None = None,
-    slices: int | None = None,
+    **slicing,
 ) -> DataFrame:
     """Exclusive running sum of ``value`` in ``order``, per group or over the table."""
-    group = group or []
-    sliced = slice_rows(df.withColumn("_value", value), *group, *order, slices=slices)
-    carried = add_carry(sliced, group, {"_carry": (F.sum("_value"), F.sum)})
-    before = in_slice(group, order).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = slice_rows(df.withColumn("_value", value), order, group, **slicing)
+    carried = sliced.with_carry({"_carry": (F.sum("_value"), F.sum)})
+    before = sliced.window().rowsBetween(Window.unboundedPreceding, -1)
     inside = F.sum("_value").over(before)
     total = F.coalesce(F.col("_carry"), F.lit(0)) + F.coalesce(inside, F.lit(0))
     return carried.withColumn(out, total).drop(SLICE, "_value", "_carry")
 
 
 def number_rows(
-    df: DataFrame, out: str, order: list[str], group: list[str] | None = None,
-    slices: int | None = None,
+    df: DataFrame, out: str, order: list[str], group: list[str] | None = None, **slicing
 ) -> DataFrame:
     """Row number from 0 in ``order``: assign it once at ingest and store it."""
-    return running_sum(df, F.lit(1).cast("bigint"), out, order, group, slices)
+    return running_sum(df, F.lit(1).cast("bigint"), out, order, group, **slicing)

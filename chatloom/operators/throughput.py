@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chatloom.operators.scan import add_carry, in_slice, slice_rows
+from chatloom.operators.scan import slice_rows
 
 # Fixed value: the shortest interval, in seconds, used as a divisor.
 MIN_SECONDS = 1e-9
@@ -53,7 +53,7 @@ def _seconds(since: Column) -> Column:
 
 
 def throughput(
-    log: DataFrame, tokens_in_step: int, state: DataFrame | None = None, slices: int | None = None
+    log: DataFrame, tokens_in_step: int, state: DataFrame | None = None, **slicing
 ) -> DataFrame:
     """Tokens per second since the last log row and since the run's begin.
 
@@ -63,14 +63,14 @@ def throughput(
     if state is not None:
         events = events.unionByName(_state_events(state))
     order = ["ts_us", "is_log", "log_id"]
-    sliced = slice_rows(events, "run_id", *order, slices=slices)
+    sliced = slice_rows(events, order, ["run_id"], **slicing)
     stepped_at = F.when(F.col("step").isNotNull(), F.col("ts_us"))
-    carried = add_carry(sliced, ["run_id"], {
+    carried = sliced.with_carry({
         "_begin": (F.min("begin_us"), F.min),
         "_last": (F.max(stepped_at), F.max),
         "_top": (F.max("step"), F.max),
     })
-    here = in_slice(["run_id"], order)
+    here = sliced.window()
     before = here.rowsBetween(Window.unboundedPreceding, -1)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begin = F.coalesce("_begin", F.min("begin_us").over(upto))

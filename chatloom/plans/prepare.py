@@ -3,8 +3,9 @@
 Stage order: profile (one row per chat, no message list) -> screen (cheap
 checks, last code block, language) -> draft (summary, reply, token guard) ->
 attach the system and user turns. Only chats that passed the token guard get
-their turns collected, and every turn costs at least one token, so a collected
-chat has at most ``max_seq_len`` turns however long the hottest chat is.
+their turns collected, and every turn costs at least one token (a counter plugged
+in must keep that), so a collected chat has at most ``max_seq_len`` turns however
+long the hottest chat is.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from chatloom.functions import chat, text
 from chatloom.functions.tokens import TokenCounter, count_tokens, turn_tokens
 from chatloom.operators.columns import compute_once
 from chatloom.operators.filters import language_is
+from chatloom.operators.skew import hot_keys
 from chatloom.sources.prompts import CHAT_DEFAULT_SYSTEM
 
 Summarize = Callable[[DataFrame], DataFrame]
@@ -42,7 +44,6 @@ def profile_turns(turns: DataFrame, counter: TokenCounter = count_tokens) -> Dat
         F.count(F.lit(1)).alias("n_turns"),
         F.coalesce(F.sum("_tok"), F.lit(0)).alias("prompt_tokens"),
         F.min("_prompt")["role"].alias("opening_role"),
-        F.max("_reply")["turn"].alias("reply_turn"),
         F.max("_reply")["content"].alias("reply"),
     )
 
@@ -102,22 +103,20 @@ def draft(
     return counted.withColumn("reason", F.coalesce("reason", too_long))
 
 
-def collect_prompts(turns: DataFrame, kept: DataFrame) -> DataFrame:
+def collect_prompts(turns: DataFrame, kept: DataFrame, max_seq_len: int) -> DataFrame:
     """Kept chats with their system and user turns in order.
 
-    Every kept chat has a reply turn, so an inner join that also lets that turn
-    through (without its text) loses no chat, and ``kept`` is evaluated once.
-    Groups are bounded by the token guard. The turn side may still hold a hot
-    chat that was not kept; AQE splits it.
+    A chat with more turns than ``max_seq_len`` tokens can not be among the kept
+    ones, so hot chats beyond that leave the turn side before its shuffle.
     """
-    is_prompt = F.col("role").isin(*chat.PROMPT_ROLES)
-    asked = turns.filter(F.col("role").isin("assistant", *chat.PROMPT_ROLES)).select(
-        "source_idx", "turn", "role", F.when(is_prompt, F.col("content")).alias("content")
+    asked = turns.filter(F.col("role").isin(*chat.PROMPT_ROLES)).select(
+        "source_idx", F.struct("turn", "role", "content").alias("_turn")
     )
-    mine = asked.join(kept, "source_idx").filter(is_prompt | (F.col("turn") == F.col("reply_turn")))
-    ordered = F.sort_array(F.collect_list(F.when(is_prompt, F.struct("turn", "role", "content"))))
-    carried = [c for c in kept.columns if c not in ("source_idx", "reply_turn")]
-    return mine.groupBy("source_idx").agg(
+    hot = hot_keys(asked, "source_idx", at_least=max_seq_len)
+    asked = asked.join(F.broadcast(hot), "source_idx", "left_anti")
+    carried = [c for c in kept.columns if c != "source_idx"]
+    ordered = F.sort_array(F.collect_list("_turn"))
+    return kept.join(asked, "source_idx", "left").groupBy("source_idx").agg(
         *[F.first(c).alias(c) for c in carried],
         F.transform(ordered, lambda m: chat.message(m["role"], m["content"])).alias("prompt"),
     )
@@ -158,9 +157,9 @@ def prepare_turns(
     asked = screen(profile_turns(turns, counter), language).filter("reason IS NULL")
     drafted = draft(asked, max_seq_len, summarize, default_system, counter)
     kept = drafted.filter("reason IS NULL").select(
-        "source_idx", "reply_turn", "answer", "language", "num_tokens_serialized"
+        "source_idx", "answer", "language", "num_tokens_serialized"
     )
-    return finish(collect_prompts(turns, kept), default_system)
+    return finish(collect_prompts(turns, kept, max_seq_len), default_system)
 
 
 def funnel(

@@ -54,7 +54,11 @@ REGISTRY = (
 
 
 def prompt_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(REGISTRY), "name STRING, version STRING, text STRING")
+    rows = [
+        F.struct(F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(text).alias("text"))
+        for name, version, text in REGISTRY
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def with_system_text(df: DataFrame, name: str, version: str = "version") -> DataFrame:
