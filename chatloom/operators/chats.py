@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from chatloom.functions import chat
 from chatloom.functions.tokens import TokenCounter, count_tokens, turn_tokens
 
-PART_TURNS = 1024
+PART_TURNS = 32_768
 
 
 def explode_turns(chats: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:

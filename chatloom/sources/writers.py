@@ -35,10 +35,15 @@ def append_new(
     transform(df).write.mode("append").parquet(path)
 
 
-def write_shards(df: DataFrame, path: str, shards: int, key: str) -> None:
-    """One folder per shard; rows are assigned by key, so a rerun gives the same shards."""
-    share = F.pmod(F.xxhash64(key), F.lit(shards)).alias("rank")
-    df.select("*", share).repartition(shards, "rank").write.mode("overwrite").partitionBy("rank").json(path)
+def write_shards(
+    df: DataFrame, path: str, shards: int, *keys: str, files_per_shard: int = 1
+) -> None:
+    """One folder per shard. Rows are assigned by key, so a rerun gives the same
+    shards; give the row's full key, which no hot value can dominate."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(shards * files_per_shard)).cast("int")
+    placed = df.withColumn("_slot", slot).repartitionById(shards * files_per_shard, F.col("_slot"))
+    ranked = placed.withColumn("rank", F.col("_slot") % shards).drop("_slot")
+    ranked.write.mode("overwrite").partitionBy("rank").json(path)
 
 
 def finalize_shards(

@@ -148,10 +148,16 @@ def last_assistant_turn(spark, sf_dir):
 def sys_user_prefix(spark, sf_dir):
     rows = views.chat_rows(spark, sf_dir)
     asked = chat.prompt_turns(F.col("messages"))
+
+    def opened(default):
+        """Only a chat's first row opens it."""
+        prefixed = F.when(F.col("part") == 0, chat.ensure_system(asked, default)).otherwise(asked)
+        return chat.chat_text(prefixed)
+
     return rows.select(
         "source_idx",
-        chat.chat_text(chat.ensure_system(asked, prompts.CHAT_DEFAULT_SYSTEM)).alias("prompt"),
-        chat.chat_text(chat.ensure_system(asked, prompts.TRAINER_DEFAULT_SYSTEM)).alias("trainer_prompt"),
+        opened(prompts.CHAT_DEFAULT_SYSTEM).alias("prompt"),
+        opened(prompts.TRAINER_DEFAULT_SYSTEM).alias("trainer_prompt"),
     )
 
 
@@ -566,7 +572,7 @@ def finalize(spark, sf_dir):
 def sharded_write(spark, sf_dir):
     path = fresh_folder(spark, "sharded")
     turns = views.chat_turns(spark, sf_dir).select("source_idx", "turn", "role")
-    writers.write_shards(turns, path, 4, "source_idx")
+    writers.write_shards(turns, path, 4, "source_idx", "turn")
     schema = "source_idx BIGINT, turn BIGINT, role STRING, rank INT"
     return spark.read.schema(schema).json(path).drop("rank")
 
