@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_SHARE = 1e-4
+MOST_HOT_KEYS = 10_000
 
 
-def hot_keys(df: DataFrame, key: str, at_least: int, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``at_least`` rows and more than ``share`` of all rows.
+def hot_keys(df: DataFrame, key: str, at_least: int, most: int = MOST_HOT_KEYS) -> DataFrame:
+    """The ``most`` largest keys among those with more than ``at_least`` rows.
 
-    There are fewer than 1 / share of them whatever the data, so the result is
-    safe to broadcast. Reads the key column only.
+    Small enough to broadcast, and each key left out holds less than 1 / most of
+    all rows, so what remains is balanced. Reads the key column only.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(
-        (F.col("_rows") > at_least) & (F.col("_rows") > total * F.lit(share))
-    ).select(key)
+    large = counts.filter(F.col("_rows") > at_least)
+    return large.orderBy(F.desc("_rows"), key).limit(most).select(key)
