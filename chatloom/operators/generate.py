@@ -16,13 +16,18 @@ BatchFunction = Callable[[list[str]], list[str]]
 
 
 def generate(
-    df: DataFrame, prompt: str, out: str, fn: BatchFunction, batch_size: int = 16
+    df: DataFrame, prompt: str, out: str, fn: BatchFunction, batch_size: int = 16,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = fn(prompt) batch by batch; null prompts give ''.
 
     ``fn`` sees at most ``batch_size`` texts at a time and returns as many, in
     order. Put filters before it: no predicate is pushed below a Python stage.
+    ``partitions`` spreads what the filters left over evenly, which pays off
+    when ``fn`` costs more than moving its prompts.
     """
+    if partitions:
+        df = df.repartition(partitions)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,10 +46,11 @@ def generate(
 
 
 def summarize_thinks(
-    df: DataFrame, think: str, out: str, fn: BatchFunction, batch_size: int = 16
+    df: DataFrame, think: str, out: str, fn: BatchFunction, batch_size: int = 16,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Short explanations of reasoning texts; a blank reasoning text gives ''."""
     request = two_turn_prompt(F.lit(SUMMARY_SYSTEM), summary_request(F.col(think)))
     asked = df.withColumn("_prompt", F.when(~is_blank(F.col(think)), request))
-    answered = generate(asked, "_prompt", "_raw", fn, batch_size)
+    answered = generate(asked, "_prompt", "_raw", fn, batch_size, partitions)
     return answered.withColumn(out, sanitize_explanation(F.col("_raw"))).drop("_prompt", "_raw")

@@ -396,6 +396,7 @@ def statements() -> dict[str, str]:
             s AS (SELECT *, CAST(coalesce(sum(tokens) OVER (ORDER BY source_idx, turn ROWS BETWEEN UNBOUNDED PRECEDING
             AND 1 PRECEDING), 0) AS BIGINT) AS token_start FROM t)
             SELECT *, CAST(floor(token_start / {q.PACK_LEN}) AS BIGINT) AS bin FROM s""",
+        "row_numbers": "SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS source_idx FROM documents",
         "token_kl": f"WITH {TOKEN_LOGITS}, {_kl_tables(q.KL_TEMPERATURE)} SELECT seq_id, pos, round(kl, 6) AS kl FROM scored WHERE {TRAINED}",
         "token_ce": f"WITH {TOKEN_LOGITS}, {_kl_tables(1.0)} SELECT seq_id, pos, round(ce, 6) AS ce FROM scored WHERE {TRAINED}",
         "gem_loss": f"WITH {TOKEN_LOGITS}, {GEM_TABLES} SELECT seq_id, round(avg({_gem(SIGMOID)}), 6) AS gem_loss FROM normed GROUP BY seq_id",

@@ -10,7 +10,7 @@ from chatloom import schemas
 from chatloom.functions import chat, problems as rules, text
 from chatloom.functions.tokens import count_tokens, counter_from, turn_tokens
 from chatloom.operators import (
-    chats, filters, generate, grading, packing, resume, scoring, throughput,
+    chats, filters, generate, grading, packing, resume, scan, scoring, throughput,
 )
 from chatloom.plans import evaluate, prepare
 from chatloom.session import fresh_folder, tune
@@ -428,6 +428,12 @@ def pack_sequences(spark, sf_dir):
     return packing.pack_sequences(counted, "tokens", ["source_idx", "turn"], PACK_LEN)
 
 
+@query
+def row_numbers(spark, sf_dir):
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return scan.number_rows(documents, "source_idx", ["source", "doc_id"])
+
+
 # ---- losses ----------------------------------------------------------------
 
 

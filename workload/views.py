@@ -28,9 +28,9 @@ PROBLEM_COLUMNS = {
     "id": "concat('p', CAST(doc_id AS STRING))",
     "doc_id": "doc_id",
     "subset": "lang",
-    "title": "CASE WHEN doc_id%11=0 THEN '' WHEN doc_id%13=0 THEN NULL ELSE substring(text,1,24) END",
-    "description": "CASE WHEN doc_id%5=0 THEN NULL ELSE substring(text,1,400) END",
-    "statement": "CASE WHEN doc_id%5=0 AND doc_id%10<>0 THEN substring(text,1,200) END",
+    "title": "CASE WHEN doc_id%11=0 THEN '' WHEN doc_id%13=0 THEN NULL ELSE concat(source, ' ', CAST(doc_id AS STRING)) END",
+    "description": "CASE WHEN doc_id%5=0 THEN NULL ELSE text END",
+    "statement": "CASE WHEN doc_id%5=0 AND doc_id%10<>0 THEN text END",
     "input_format": "CASE WHEN doc_id%4=0 THEN NULL ELSE concat('n=', CAST(n_chars AS STRING)) END",
     "output_format": "CASE WHEN doc_id%4=1 THEN '' ELSE 'one integer' END",
     "time_limit": "CASE WHEN doc_id%9=0 THEN NULL ELSE CAST(1+doc_id%3 AS DOUBLE) END",
@@ -42,7 +42,7 @@ PROBLEM_COLUMNS = {
 GENERATION = """CASE (doc_id*3+pass_idx)%4
   WHEN 0 THEN concat('plan', chr(10), '```python', chr(10), 'print(', CAST(n_chars AS STRING), ')', chr(10), '```')
   WHEN 1 THEN concat('```cpp', chr(10), 'x', chr(10), '```', chr(10), ' mid ```python', chr(10), 'y', chr(10), '```')
-  WHEN 2 THEN substring(text,1,300)
+  WHEN 2 THEN text
   ELSE concat('```', chr(10), 'a', chr(10), '``````python', chr(10), 'b', chr(10), '```') END"""
 
 RUN_CASE = "(doc_id*3+pass_idx*5+phase*2)%7"
