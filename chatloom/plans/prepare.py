@@ -18,6 +18,7 @@ from chatloom.functions import chat, text
 from chatloom.functions.tokens import TokenCounter, count_tokens, turn_tokens
 from chatloom.operators.columns import compute_once
 from chatloom.operators.filters import language_is
+from chatloom.operators.resume import not_done
 from chatloom.operators.skew import hot_keys
 from chatloom.sources.prompts import CHAT_DEFAULT_SYSTEM
 
@@ -138,8 +139,12 @@ def prepare_chats(
     summarize: Summarize = think_as_summary,
     default_system: str = CHAT_DEFAULT_SYSTEM,
     counter: TokenCounter = count_tokens,
+    done: DataFrame | None = None,
 ) -> DataFrame:
-    """Training chats from chat rows: narrow from scan to output."""
+    """Training chats from chat rows: narrow from scan to output, but for the join
+    that leaves out finished rows when there are any."""
+    if done is not None:
+        chats = not_done(chats, done, "source_idx")
     asked = screen(profile_chats(chats, counter), language).filter("reason IS NULL")
     drafted = draft(asked, max_seq_len, summarize, default_system, counter)
     return finish(drafted.filter("reason IS NULL"), default_system)
@@ -152,9 +157,17 @@ def prepare_turns(
     summarize: Summarize = think_as_summary,
     default_system: str = CHAT_DEFAULT_SYSTEM,
     counter: TokenCounter = count_tokens,
+    done: DataFrame | None = None,
 ) -> DataFrame:
-    """Training chats from flat turns."""
-    asked = screen(profile_turns(turns, counter), language).filter("reason IS NULL")
+    """Training chats from flat turns.
+
+    Finished chats leave at the profile, where a chat is one row: the turns of a
+    hot chat never go through that join.
+    """
+    profile = profile_turns(turns, counter)
+    if done is not None:
+        profile = not_done(profile, done, "source_idx")
+    asked = screen(profile, language).filter("reason IS NULL")
     drafted = draft(asked, max_seq_len, summarize, default_system, counter)
     kept = drafted.filter("reason IS NULL").select(
         "source_idx", "answer", "language", "num_tokens_serialized"

@@ -65,6 +65,12 @@ def test_rows_and_turns_give_the_expected_chats(rows, turns):
     assert as_lists(prepare.prepare_turns(turns, "python", 256)) == expected()
 
 
+def test_finished_chats_are_left_out(rows, turns, spark):
+    done = spark.createDataFrame([(1,), (1,), (None,), (99,)], "source_idx LONG")
+    for made in (prepare.prepare_chats(rows, "python", 256, done=done), prepare.prepare_turns(turns, "python", 256, done=done)):
+        assert as_lists(made) == {k: v for k, v in expected().items() if k != 1}
+
+
 def test_any_language_keeps_the_others(turns):
     kept = as_lists(prepare.prepare_turns(turns, "any", 256))
     assert kept[2][1] == "cpp" and set(kept) == {1, 2, 6, 8}

@@ -310,6 +310,7 @@ def statements() -> dict[str, str]:
     sql = {
         "sft_build": PREPARED,
         "sft_build_rows": PREPARED,
+        "sft_build_resume": f"{PREPARED} AND source_idx % 3 <> 0",
         "skip_funnel": f"""WITH {STAGES} SELECT CASE WHEN coalesce(reply, '') = '' THEN 'no_reply'
             WHEN fence IS NULL THEN 'no_code' WHEN language <> 'python' THEN 'other_language'
             WHEN num_tokens_serialized > {q.MAX_SEQ_LEN} THEN 'too_long' ELSE 'kept' END AS outcome,

@@ -76,6 +76,11 @@ def sft_build_rows(spark, sf_dir):
     return _as_text(prepare.prepare_chats(rows, max_seq_len=MAX_SEQ_LEN))
 
 
+@query
+def sft_build_resume(spark, sf_dir):
+    return _as_text(_prepared(spark, sf_dir, done=_done_chats(spark, sf_dir)))
+
+
 @query
 def skip_funnel(spark, sf_dir):
     profile = prepare.profile_turns(views.chat_turns(spark, sf_dir))
