@@ -19,7 +19,7 @@ def count_tokens(text: Column) -> Column:
     Word runs shrink to one character and white space goes away, so the count is
     a length; collecting the matches into an array is more than twice as slow.
     """
-    marks = F.regexp_replace(text, r"[A-Za-z0-9_]+", "w")
+    marks = F.regexp_replace(text, r"\w+", "w")
     return F.length(F.regexp_replace(marks, f"{WS}+", "")).cast("bigint")
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from chatloom.session import shared_folder
@@ -94,8 +95,12 @@ def slice_rows(
     spark = df.sparkSession
     shared_folder(spark)
     count = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Sampling reads every row once before the shuffle does: keep the rows, so
+    # that costly columns are computed only once.
+    df = df.persist(StorageLevel.DISK_ONLY)
     cut = df.repartitionByRange(count, *group, *order)
     pinned = cut.withColumn(SLICE, F.spark_partition_id()).checkpoint()
+    df.unpersist()
     return Slices(pinned, group, order, cut=True)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chatloom.functions.distributions import GEM_BETA, GEM_SLOPE
-from chatloom.functions.text import WS, WS_POINTS
+from chatloom.functions.text import WS_POINTS
 from chatloom.sources import prompts
 from workload import queries as q
 from workload import views
@@ -19,6 +19,7 @@ def _columns(columns: dict[str, str]) -> str:
 
 # ---- text rules as SQL expressions -----------------------------------------
 
+WS = f"[{WS_POINTS}]"
 FENCE = rf"```([a-zA-Z0-9_+\-]*){WS}*\n(.*?)```"
 TOKEN = rf"[A-Za-z0-9_]+|[^A-Za-z0-9_{WS_POINTS}]"
 
