@@ -43,15 +43,17 @@ def pending_prompts(
     With the default key a finished id is skipped whatever its number of passes;
     ("id", "pass_idx") asks again for passes that are missing.
     """
+    def prompted(rows: DataFrame) -> DataFrame:
+        asked = grading.with_time_limit(grading.with_user_prompt(rows))
+        return grading.with_chat_prompt(asked, F.lit(SOLVE_SYSTEM))
+
     if "pass_idx" in done_keys:
-        todo = resume.first_rows(problems, sample, *order)
-        repeated = grading.repeat_passes(todo, passes)
-        todo = resume.not_done(repeated, done, *done_keys)
-    else:
-        todo = resume.not_done(problems, done, *done_keys)
-        todo = grading.repeat_passes(resume.first_rows(todo, sample, *order), passes)
-    asked = grading.with_time_limit(grading.with_user_prompt(todo))
-    return grading.with_chat_prompt(asked, F.lit(SOLVE_SYSTEM))
+        # Passes are matched before the long prompts exist, so only keys and
+        # problem columns go through the join.
+        repeated = grading.repeat_passes(resume.first_rows(problems, sample, *order), passes)
+        return prompted(resume.not_done(repeated, done, *done_keys))
+    todo = resume.first_rows(resume.not_done(problems, done, *done_keys), sample, *order)
+    return grading.repeat_passes(prompted(todo), passes)
 
 
 def eval_log(
