@@ -573,9 +573,9 @@ def shard_union(spark, sf_dir):
 def finalize(spark, sf_dir):
     """Two overlapping shards merged into one table, one row per key."""
     folder = fresh_folder(spark, "shards")
-    prepared = _prepared(spark, sf_dir)
-    writers.append_jsonl(prepared, f"{folder}/data.rank0.jsonl")
-    writers.append_jsonl(prepared.filter("source_idx % 2 = 0"), f"{folder}/data.rank1.jsonl")
+    writers.append_jsonl(_prepared(spark, sf_dir), f"{folder}/data.rank0.jsonl")
+    again = readers.read_prepared(spark, f"{folder}/data.rank0.jsonl").filter("source_idx % 2 = 0")
+    writers.append_jsonl(again, f"{folder}/data.rank1.jsonl")
     return _as_text(writers.finalize_shards(spark, f"{folder}/data", f"{folder}/merged"))
 
 
@@ -592,9 +592,10 @@ def sharded_write(spark, sf_dir):
 def append_log(spark, sf_dir):
     """The log table after two appends, exported as CSV with a header."""
     folder = fresh_folder(spark, "log")
-    rows = _eval_log(spark, sf_dir)
+    rows = _eval_log(spark, sf_dir).persist()  # one row per run
     writers.append_log(rows.filter("subset = 'en'"), f"{folder}/log")
     writers.append_log(rows.filter("subset <> 'en'"), f"{folder}/log")
+    rows.unpersist()
     log = readers.read_table(spark, f"{folder}/log", schema=schemas.EVAL_LOG)
     writers.export_csv(log, f"{folder}/csv")
     return spark.read.schema(schemas.EVAL_LOG).option("header", "true").csv(f"{folder}/csv")
