@@ -47,3 +47,17 @@ def running_total(
         .withColumn(out, (F.col("_carry") + before).cast("bigint"))
         .drop("_carry")
     )
+
+
+SALTS = 24
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` to a ``table`` with one row per key, where a key may own many rows.
+
+    Each table row is repeated for every salt, and rows draw their salt from
+    ``by``, so the rows of one key meet in as many tasks as there are salts.
+    """
+    salted = rows.withColumn("_salt", hash_bucket(SALTS, *by))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -48,3 +48,119 @@ SELECT doc_id, size, source_size, target,
     + greatest(0, least(size, words - start - 2 * source_size)) AS BIGINT) END AS taken
 FROM placed
 """
+
+SQL["op5_embedding_near_dedup"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links,
+  CAST(least(e.vec_id, coalesce(l.b, e.vec_id)) AS BIGINT) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+"""
+
+SQL["op6_revisit_resolution"] = r"""
+WITH records AS (
+  SELECT page_id * 2 AS record_id, url, page_id * 60 AS fetched_at, 'response' AS kind,
+    concat('"', md5(html), '"') AS etag, CAST(page_id * 60 AS VARCHAR) AS sent, html AS page
+  FROM pages
+  UNION ALL
+  SELECT page_id * 2 + 1, CASE page_id % 3 WHEN 0 THEN concat(url, '#again') WHEN 1 THEN regexp_replace(url, '^http:', 'https:') ELSE url END,
+    page_id * 60 + CASE WHEN page_id % 7 = 0 THEN -30 ELSE 90 END, 'revisit',
+    CASE page_id % 5 WHEN 0 THEN '"other"' WHEN 1 THEN NULL ELSE concat('"', md5(html), '"') END,
+    CAST(page_id * 60 + 90 AS VARCHAR), NULL
+  FROM pages
+),
+bared AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM records),
+split AS (
+  SELECT *,
+    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+      lambda q: q <> '' AND lower(split_part(q, '=', 1)) NOT IN ('fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))), '&') AS tail
+  FROM bared
+),
+named AS (
+  SELECT record_id, fetched_at, kind, etag, sent, page,
+    CASE WHEN host <> '' THEN concat('https://', host, path, CASE WHEN tail <> '' THEN concat('?', tail) ELSE '' END) END AS address
+  FROM split
+),
+latest AS (
+  SELECT r.record_id, arg_max(f.record_id, (f.fetched_at, f.record_id)) AS source_id
+  FROM named r JOIN named f ON f.kind = 'response' AND f.address = r.address AND (f.fetched_at, f.record_id) < (r.fetched_at, r.record_id)
+  WHERE r.kind = 'revisit' GROUP BY r.record_id
+),
+joined AS (
+  SELECT r.*, a.source_id, f.etag AS etag0, f.page AS page0,
+    CASE WHEN r.kind = 'response' THEN 'full' WHEN a.source_id IS NULL THEN 'unresolved'
+      WHEN r.etag <> f.etag THEN 'mismatch' WHEN r.etag = f.etag THEN 'resolved' ELSE 'unverified' END AS outcome
+  FROM named r LEFT JOIN latest a USING (record_id) LEFT JOIN named f ON f.record_id = a.source_id
+)
+SELECT record_id, address, source_id, outcome,
+  CASE WHEN outcome = 'full' THEN concat('content-type=text/html;date=', sent, ';etag=', etag, ';expires=0')
+    WHEN outcome = 'resolved' THEN concat('content-type=text/html;date=', sent, ';etag=', etag, ';expires=0')
+    ELSE concat('date=', sent, ';etag=', coalesce(etag, '-'), ';server=cache') END AS headers,
+  CASE WHEN outcome = 'full' THEN page WHEN outcome = 'resolved' THEN page0 END AS page
+FROM joined
+"""
+
+SQL["op9_line_templates"] = r"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, md5(text) AS th, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split),
+tokens AS (
+  SELECT doc_id, th, pos, list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' '),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tk
+  FROM lines
+),
+parsed AS (
+  SELECT doc_id, th, pos, len(tk) AS n, tk[1:3] AS lead, array_to_string(tk, ' ') AS template FROM tokens WHERE len(tk) >= 3
+),
+counts AS (
+  SELECT template, lead, n, count(DISTINCT th) AS texts, min(doc_id) AS first FROM parsed GROUP BY ALL
+),
+shared AS (SELECT lead, n FROM counts WHERE n >= 5 GROUP BY lead, n HAVING count(*) > 1 AND sum(texts) >= 3),
+contested AS (SELECT c.*, string_split(c.template, ' ') AS tk FROM counts c JOIN shared USING (lead, n)),
+placed AS (SELECT template, lead, n, texts, unnest(tk) AS token, generate_subscripts(tk, 1) AS place FROM contested),
+votes AS (SELECT lead, n, place, token, sum(texts) AS votes FROM placed GROUP BY ALL),
+usual AS (
+  SELECT lead, n, place, token FROM votes
+  QUALIFY row_number() OVER (PARTITION BY lead, n, place ORDER BY votes DESC, token DESC) = 1
+),
+agreeing AS (
+  SELECT p.template, p.lead, p.n FROM placed p JOIN usual u USING (lead, n, place)
+  GROUP BY ALL HAVING sum(CASE WHEN p.token = u.token THEN 1 ELSE 0 END) >= 0.8 * p.n
+),
+grouped AS (
+  SELECT a.lead, a.n, min(p.doc_id) AS first FROM parsed p JOIN agreeing a USING (template)
+  GROUP BY a.lead, a.n HAVING count(DISTINCT p.th) >= 3
+),
+recurring AS (
+  SELECT template, min(first) AS first FROM (
+    SELECT template, first FROM counts WHERE texts >= 3
+    UNION ALL SELECT a.template, g.first FROM agreeing a JOIN grouped g USING (lead, n)
+  ) GROUP BY template
+),
+drops AS (
+  SELECT p.doc_id, list(DISTINCT p.pos) AS gone FROM parsed p JOIN recurring r USING (template)
+  WHERE p.doc_id > r.first GROUP BY p.doc_id
+)
+SELECT d.doc_id,
+  CASE WHEN x.gone IS NULL THEN d.text ELSE
+    array_to_string(list_filter(string_split(d.text, chr(10)), lambda v, i: NOT list_contains(x.gone, i)), chr(10)) END AS text,
+  CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(len(x.gone), 0) AS BIGINT) AS n_dropped
+FROM documents d LEFT JOIN drops x ON x.doc_id = d.doc_id
+"""

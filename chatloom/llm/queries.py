@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import mixing, packing
+from chatloom.llm import embeddings, fingerprints, forest, language, mixing, packing, revisits, templates, toxicity
 from chatloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,81 @@ def op1_best_fit_packing(spark, table):
     return packing.pack_documents(table("documents"), with_ids=False)
 
 
+@register
+def op3_toxicity(spark, table):
+    docs = table("documents")
+    model = toxicity.learn(docs, table("labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@register
+def op4_language_id(spark, table):
+    docs = table("documents")
+    return language.classify(docs, language.learn(docs)).select(
+        "doc_id", F.coalesce(language.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        F.col("best").alias("lang_pred"), "score",
+    )
+
+
+@register
+def op5_embedding_near_dedup(spark, table):
+    return embeddings.near_duplicates(table("embeddings"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Each page as a full response and as a later, now and then earlier, revisit.
+
+    The revisit writes the address in another way; of five, one contradicts the
+    validator and one has none.
+    """
+    id, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    of = lambda **h: F.map_from_arrays(
+        F.array(*[F.lit(k.replace("_", "-")) for k in h]), F.array(*h.values())
+    )
+    response = pages.select(
+        (id * 2).alias("record_id"), "url", (id * 60).alias("fetched_at"), F.lit("response").alias("kind"),
+        of(ETag=tag, Content_Type=F.lit("text/html"), Date=(id * 60).cast("string"), Expires=F.lit("0")).alias("headers"),
+        F.col("html").alias("page"),
+    )
+    other = F.when(id % 3 == 0, F.concat("url", F.lit("#again"))).when(
+        id % 3 == 1, F.regexp_replace("url", "^http:", "https:")
+    ).otherwise(F.col("url"))
+    shown = F.when(id % 5 == 0, F.lit('"other"')).when(id % 5 != 1, tag)
+    revisit = pages.select(
+        (id * 2 + 1).alias("record_id"), other.alias("url"),
+        (id * 60 + F.when(id % 7 == 0, -30).otherwise(90)).alias("fetched_at"), F.lit("revisit").alias("kind"),
+        of(etag=shown, DATE=(id * 60 + 90).cast("string"), Server=F.lit("cache")).alias("headers"),
+        F.lit(None).cast("string").alias("page"),
+    )
+    return response.unionByName(revisit)
+
+
+@register
+def op6_revisit_resolution(spark, table):
+    found = revisits.resolve_revisits(captures(table("pages")))
+    shown = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-"))))
+    return found.select("record_id", "address", "source_id", "outcome", F.array_join(F.array_sort(shown), ";").alias("headers"), "page")
+
+
+@register
+def op7_weighted_fingerprints(spark, table):
+    return fingerprints.neighbour_fingerprints(table("documents"))
+
+
+@register
+def op8_ngram_jaccard_join(spark, table):
+    return forest.near_duplicate_join(table("documents"))
+
+
+@register
+def op9_line_templates(spark, table):
+    docs = table("documents").select("doc_id", "text")
+    return templates.drop_recurring_lines(docs, report=True)
+
+
 @register
 def op10_source_mixing(spark, table):
     return mixing.mix(table("documents")).select("doc_id", "size", "source_size", "target", "taken")
