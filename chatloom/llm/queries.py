@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import embeddings, fingerprints, forest, language, mixing, packing, revisits, templates, toxicity
+from chatloom.llm import embeddings, fingerprints, forest, language, mixing, packing, pii, revisits, templates, toxicity
 from chatloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op1_best_fit_packing(spark, table):
     return packing.pack_documents(table("documents"), with_ids=False)
 
 
+@register
+def op2_personal_data(spark, table):
+    return pii.find(table("documents"))
+
+
 @register
 def op3_toxicity(spark, table):
     docs = table("documents")
