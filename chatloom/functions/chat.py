@@ -42,8 +42,9 @@ def append_reply(messages: Column, reply: Column) -> Column:
 
 
 def turn_text(role: Column, content: Column) -> Column:
-    """One serialised turn. Chats are the plain concatenation of their turns."""
-    return F.concat(F.lit(TURN_OPEN), role, F.lit("\n"), content, F.lit(TURN_CLOSE))
+    """One serialised turn; a null content counts as empty. Chats are the plain
+    concatenation of their turns."""
+    return F.concat(F.lit(TURN_OPEN), role, F.lit("\n"), F.coalesce(content, F.lit("")), F.lit(TURN_CLOSE))
 
 
 def chat_text(messages: Column, add_reply_prompt: bool = False) -> Column:

@@ -8,6 +8,8 @@ pair) into one number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -20,13 +22,38 @@ GEM_WEIGHTS = ("linear", "logsigmoid")
 
 
 def _log_softmax(values: np.ndarray) -> np.ndarray:
-    shifted = np.asarray(values, dtype=np.float64)
-    shifted = shifted - shifted.max()
-    return shifted - np.log(np.exp(shifted).sum())
+    shifted = values - values.max(axis=1, keepdims=True)
+    return shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
+
+
+def _scored(
+    vectors: pd.Series, usable: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> pd.Series:
+    """Score the usable rows of a batch, all vectors of one length at a time.
+
+    ``score`` gets the stacked vectors and the rows' numbers. The Arrow batch is
+    bounded by bytes, and so is the stack.
+    """
+    out = np.full(len(vectors), np.nan)
+    rows = np.flatnonzero(usable)
+    lengths = np.array([len(vectors.iloc[r]) for r in rows], dtype=np.int64)
+    for length in np.unique(lengths[lengths > 0]):
+        some = rows[lengths == length]
+        out[some] = score(_stack(vectors, some), some)
+    # Null, not NaN, where there is no score.
+    return pd.Series(out, dtype="Float64").mask(~np.isin(np.arange(len(out)), rows))
+
 
+def _stack(vectors: pd.Series, rows: np.ndarray) -> np.ndarray:
+    return np.stack(vectors.to_numpy()[rows]).astype(np.float64)
 
-def _usable(logits, label) -> bool:
-    return logits is not None and not pd.isna(label) and 0 <= label < len(logits)
+
+def _labelled(vectors: pd.Series, label: pd.Series) -> np.ndarray:
+    """Rows with a vector and a label inside it."""
+    lengths = np.array([-1 if v is None else len(v) for v in vectors])
+    known = label.notna().to_numpy()
+    value = label.fillna(-1).to_numpy(dtype=np.int64)
+    return known & (value >= 0) & (value < lengths)
 
 
 def token_cross_entropy(logits: Column, label: Column) -> Column:
@@ -34,9 +61,11 @@ def token_cross_entropy(logits: Column, label: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(logits: pd.Series, label: pd.Series) -> pd.Series:
-        return pd.Series([
-            -_log_softmax(x)[int(y)] if _usable(x, y) else None for x, y in zip(logits, label)
-        ], dtype="float64")
+        def entropy(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            chosen = label.to_numpy()[rows].astype(np.int64)
+            return -_log_softmax(x)[np.arange(len(rows)), chosen]
+
+        return _scored(logits, _labelled(logits, label), entropy)
 
     return score(logits, label)
 
@@ -46,15 +75,12 @@ def token_kl(logits: Column, ref_logits: Column, temperature: float = 1.0) -> Co
 
     @F.pandas_udf("double")
     def score(logits: pd.Series, ref_logits: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(logits, ref_logits):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            log_p = _log_softmax(np.asarray(x, dtype=np.float64) / temperature)
-            log_q = _log_softmax(np.asarray(y, dtype=np.float64) / temperature)
-            out.append(float((np.exp(log_p) * (log_p - log_q)).sum()))
-        return pd.Series(out, dtype="float64")
+        def divergence(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            log_p = _log_softmax(x / temperature)
+            log_q = _log_softmax(_stack(ref_logits, rows) / temperature)
+            return (np.exp(log_p) * (log_p - log_q)).sum(axis=1)
+
+        return _scored(logits, (logits.notna() & ref_logits.notna()).to_numpy(), divergence)
 
     return score(logits, ref_logits)
 
@@ -68,16 +94,13 @@ def token_gem(
 
     @F.pandas_udf("double")
     def score(logits: pd.Series, label: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(logits, label):
-            if not _usable(x, y):
-                out.append(None)
-                continue
-            x, y = np.asarray(x, dtype=np.float64), int(y)
+        def term(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            at = (np.arange(len(rows)), label.to_numpy()[rows].astype(np.int64))
             log_p, q = _log_softmax(x), np.exp(_log_softmax(x / beta))
             if weights == "logsigmoid":
-                q = q / (1.0 + np.exp(-GEM_SLOPE * (x - x[y])))
-            out.append(float((q * (log_p - log_p[y])).sum()))
-        return pd.Series(out, dtype="float64")
+                q = q / (1.0 + np.exp(-GEM_SLOPE * (x - x[at][:, None])))
+            return (q * (log_p - log_p[at][:, None])).sum(axis=1)
+
+        return _scored(logits, _labelled(logits, label), term)
 
     return score(logits, label)

@@ -61,13 +61,16 @@ def problem_prompt(
 def repair_prompt(
     problem: Column, code: Column, example_input: Column, stdout: Column, stderr: Column
 ) -> Column:
-    r"""Ask for a fix. The separators are a backslash and an n, not newlines."""
+    r"""Ask for a fix; null parts are empty. The separators are a backslash and an n,
+    not newlines."""
+    # The wording and layout of the request.
+    given = lambda part: F.coalesce(part, F.lit(""))
     return F.concat(
-        F.lit(r"Original Problem:\n"), problem,
-        F.lit(r"\n\nProgram:\n```python\n"), code,
-        F.lit(r"\n```\n\nInput:\n"), F.coalesce(example_input, F.lit("")),
-        F.lit(r"\n\nObserved:\n"), stdout,
-        F.lit(r"\nErrors:\n"), stderr,
+        F.lit(r"Original Problem:\n"), given(problem),
+        F.lit(r"\n\nProgram:\n```python\n"), given(code),
+        F.lit(r"\n```\n\nInput:\n"), given(example_input),
+        F.lit(r"\n\nObserved:\n"), given(stdout),
+        F.lit(r"\nErrors:\n"), given(stderr),
         F.lit(r"\n\nPlease return a corrected program."),
     )
 

@@ -11,10 +11,6 @@ from pyspark.sql import Column, functions as F
 
 # The 29 code points that count as white space in the rules, and
 # the marks, patterns and limits of the rules themselves.
-WS_POINTS = (
-    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
 WS_CHARS = (
     "\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"

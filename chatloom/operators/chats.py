@@ -12,7 +12,7 @@ PART_TURNS = 32_768
 
 def explode_turns(chats: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """(source_idx, messages[, part]) rows to (source_idx, turn, role, content)."""
-    first = F.col("part") * part_turns if "part" in chats.columns else F.lit(0)
+    first = F.coalesce("part", F.lit(0)) * part_turns if "part" in chats.columns else F.lit(0)
     turns = chats.select(
         "source_idx", first.alias("_first"), F.posexplode("messages").alias("_pos", "_m")
     )
@@ -28,25 +28,24 @@ def assemble_chats(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """Turns back to chat rows in turn order.
 
     A chat longer than ``part_turns`` comes back as several rows numbered by
-    ``part``, so no row and no group grows with a hot chat; all others are one
-    row with part 0. Turns count from 0 without gaps.
+    ``part`` of ``parts``, so no row and no group grows with a hot chat; all others
+    are one row with part 0. Turns count from 0 without gaps.
     """
     part = F.floor(F.col("turn") / F.lit(part_turns)).cast("bigint")
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
-    return turns.groupBy("source_idx", part.alias("part")).agg(
+    rows = turns.groupBy("source_idx", part.alias("part")).agg(
         F.transform(ordered, lambda m: chat.message(m["role"], m["content"])).alias("messages")
     )
+    parts = turns.groupBy("source_idx").agg((F.max(part) + 1).alias("parts"))
+    return rows.join(parts, "source_idx")
 
 
 def last_of_role(turns: DataFrame, role: str = "assistant") -> DataFrame:
-    """Last turn of a role per chat; partial maxima, so hot chats never meet in one task."""
-    latest = F.max(F.struct("turn", "content"))
-    return (
-        turns.filter(F.col("role") == role)
-        .groupBy("source_idx")
-        .agg(latest.alias("_last"))
-        .select("source_idx", F.col("_last.turn").alias("turn"), F.col("_last.content").alias("content"))
-    )
+    """Last turn of a role per chat: a partial maximum of its number, then an equi join
+    on the unique (source_idx, turn), so hot chats never meet in one task."""
+    said = turns.filter(F.col("role") == role)
+    latest = said.groupBy("source_idx").agg(F.max("turn").alias("turn"))
+    return latest.join(said.select("source_idx", "turn", "content"), ["source_idx", "turn"])
 
 
 def role_token_profile(turns: DataFrame, counter: TokenCounter = count_tokens) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from chatloom.functions.chat import two_turn_prompt
 from chatloom.functions.problems import summary_request
@@ -22,27 +22,28 @@ def generate(
     """Add ``out`` = fn(prompt) batch by batch; null prompts give ''.
 
     ``fn`` sees at most ``batch_size`` texts at a time and returns as many, in
-    order. Put filters before it: no predicate is pushed below a Python stage.
+    order. Only the prompt column goes through Python. Put filters before it: no
+    predicate is pushed below a Python stage.
     ``partitions`` spreads what the filters left over evenly, which pays off
     when ``fn`` costs more than moving its prompts.
     """
     if partitions:
         df = df.repartition(partitions)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = pd.Series("", index=frame.index, dtype=object)
-            asked = frame.index[frame[prompt].notna()]
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            texts = pd.Series("", index=prompts.index, dtype=object)
+            asked = prompts.index[prompts.notna()]
             for start in range(0, len(asked), batch_size):
                 rows = asked[start:start + batch_size]
-                answers = fn(frame.loc[rows, prompt].tolist())
+                answers = fn(prompts.loc[rows].tolist())
                 if len(answers) != len(rows):
                     raise ValueError(f"{len(rows)} prompts gave {len(answers)} texts")
                 texts.loc[rows] = answers
-            yield frame.assign(**{out: texts})
+            yield texts
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out, run(prompt))
 
 
 def summarize_thinks(

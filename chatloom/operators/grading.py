@@ -51,28 +51,32 @@ def grade(runs: DataFrame, problems: DataFrame) -> DataFrame:
     return graded.withColumn("ok", outputs_match(F.col("stdout"), F.col("_expected"))).drop("_expected")
 
 
-def solved_by_any_pass(graded: DataFrame) -> DataFrame:
-    return graded.groupBy("id").agg(F.bool_or("ok").alias("solved"))
+def solved_by_any_pass(graded: DataFrame, *keys: str) -> DataFrame:
+    return graded.groupBy(*(keys or ("id",))).agg(F.bool_or("ok").alias("solved"))
 
 
 def problem_outcomes(
     problems: DataFrame,
     runs: DataFrame,
     generations: DataFrame,
-    keep: list[str] | None = None,
+    run_key: str | None = None,
     counter: TokenCounter = count_tokens,
 ) -> DataFrame:
-    """One row per problem: evaluable, solved, new tokens of all its passes."""
-    solved = solved_by_any_pass(grade(runs, problems))
+    """One row per problem: evaluable, solved, new tokens of all its passes.
+
+    With a ``run_key`` one row per run and problem; a run covers the problems it
+    has generations of.
+    """
+    keys = ["id"] if run_key is None else [run_key, "id"]
+    solved = solved_by_any_pass(grade(runs, problems), *keys)
     spent = (
-        generations.select("id", counter(F.col("generation")).alias("_tok"))
-        .groupBy("id").agg(F.sum("_tok").alias("new_tokens"))
-    )
-    base = problems.select(
-        "id", *(keep or []), rules.has_example(F.col("examples")).alias("evaluable")
+        generations.select(*keys, counter(F.col("generation")).alias("_tok"))
+        .groupBy(*keys).agg(F.sum("_tok").alias("new_tokens"))
     )
+    base = problems.select("id", rules.has_example(F.col("examples")).alias("evaluable"))
+    base = base.join(spent, "id", "left") if run_key is None else spent.join(base, "id")
     return (
-        base.join(solved, "id", "left").join(spent, "id", "left")
+        base.join(solved, keys, "left")
         .withColumn("solved", F.coalesce("solved", F.lit(False)))
         .withColumn("new_tokens", F.coalesce("new_tokens", F.lit(0)))
     )

@@ -10,16 +10,17 @@ def distinct_keys(done: DataFrame, *keys: str) -> DataFrame:
 
 
 def not_done(source: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose key is not among the finished ones (null keys match nothing).
+    """Rows whose key is not among the finished ones.
 
-    AQE broadcasts the finished keys when their measured size allows it and
-    otherwise joins by shuffle, splitting hot partitions of ``source``.
+    A null key is never finished, here as in all functions of this module. AQE
+    broadcasts the finished keys when their measured size allows it and otherwise
+    joins by shuffle, splitting hot partitions of ``source``.
     """
-    return source.join(distinct_keys(done, *keys), list(keys), "left_anti")
+    return source.join(done.select(*keys), list(keys), "left_anti")
 
 
 def already_done(source: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
-    return source.join(distinct_keys(done, *keys), list(keys), "left_semi")
+    return source.join(done.select(*keys), list(keys), "left_semi")
 
 
 def resume_report(source: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
@@ -34,8 +35,8 @@ def resume_report(source: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 
 def todo_keys(source: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
-    """Set difference of the keys."""
-    return source.select(*keys).subtract(done.select(*keys))
+    """Set difference of the keys; null keys stay to do."""
+    return source.select(*keys).subtract(done.select(*keys).dropna())
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

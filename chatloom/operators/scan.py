@@ -1,12 +1,15 @@
 """Ordered scans (running sums, maxima, row numbers) that survive one hot group.
 
-A window over one group, or over the whole table, runs in one task. That is fine
-while the largest group is small, which is measured first. Beyond that the rows
-are range-partitioned on the full order key, so a group with a third of all rows
-is cut into many slices. Each slice is scanned on its own and gets the carry of
-the earlier slices. Because slices are contiguous in the order key, only the
-first group of a slice can have begun earlier: there are fewer carry rows than
-slices, whatever the data, so the carry is safe to broadcast.
+A window over one group, or over the whole table, would run in one task. Rows are
+therefore cut into slices that are contiguous in the full order key, so a group
+with a third of all rows spans many slices. Each slice is scanned on its own and
+gets the carry of the earlier slices. Only the first group of a slice can have
+begun earlier: there are fewer carry rows than slices, whatever the data, so the
+carry is safe to broadcast.
+
+Where the slices begin is read off a sample of the order key of bounded size. The
+slice number is then an expression of the row, so a lost task works it out again
+and nothing has to be stored. All rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -14,27 +17,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from chatloom.session import shared_folder
-
 SLICE = "_slice"
-WHOLE_GROUP_ROWS = 1_000_000
+SAMPLED_PER_SLICE = 60
 
 
 @dataclass(frozen=True)
 class Slices:
-    """Rows ready for an ordered scan; ``cut`` tells whether groups span slices."""
+    """Rows ready for an ordered scan."""
 
     rows: DataFrame
     group: list[str]
     order: list[str]
-    cut: bool
 
     @property
     def keys(self) -> list[str]:
-        return [SLICE, *self.group] if self.cut else self.group
+        return [SLICE, *self.group]
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
@@ -50,11 +49,6 @@ class Slices:
         totals = self.rows.groupBy(*self.keys).agg(
             *[inside.alias(name) for name, (inside, _) in parts.items()]
         )
-        if not self.cut:
-            types = {field.name: field.dataType for field in totals.schema.fields}
-            return self.rows.withColumns(
-                {name: F.lit(None).cast(types[name]) for name in parts}
-            )
         earlier = (
             Window.partitionBy(*(self.group or [F.lit(0)]))
             .orderBy(SLICE)
@@ -71,37 +65,32 @@ class Slices:
         return joined.drop(*[f"{key}_of_carry" for key in self.keys])
 
 
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group: reads only the group columns."""
-    counts = df.groupBy(*group).count()
-    return counts.agg(F.max("count")).first()[0] or 0
+def slice_starts(df: DataFrame, keys: list[str], slices: int) -> Column:
+    """Up to ``slices`` - 1 keys, evenly spread over the table, as an array of structs.
+
+    The sample has about ``SAMPLED_PER_SLICE`` narrow rows per slice. It decides
+    only where slices begin, never what a scan returns.
+    """
+    narrow = df.select(*keys)
+    rows = narrow.count()
+    share = min(1.0, SAMPLED_PER_SLICE * slices / max(rows, 1))
+    found = narrow.sample(share, seed=1).orderBy(*keys).collect()
+    starts = [found[k * len(found) // slices] for k in range(1, slices)] if found else []
+    kind = narrow.schema.simpleString()
+    made = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, narrow.schema)]) for row in starts]
+    return F.array(*made).cast(f"array<{kind}>")
 
 
 def slice_rows(
-    df: DataFrame,
-    order: list[str],
-    group: list[str] | None = None,
-    slices: int | None = None,
-    whole_group_rows: int = WHOLE_GROUP_ROWS,
+    df: DataFrame, order: list[str], group: list[str] | None = None, slices: int | None = None
 ) -> Slices:
-    """Keep groups whole when the largest one is small, else cut by range.
-
-    The range bounds come from a sample, so the tagged rows are pinned with a
-    reliable checkpoint: a lost executor re-reads them and can not re-cut them.
-    """
+    """Number the slices: how many of them begin at or before the row's key."""
     group = group or []
-    if group and largest_group(df, group) <= whole_group_rows:
-        return Slices(df, group, order, cut=False)
-    spark = df.sparkSession
-    shared_folder(spark)
-    count = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Sampling reads every row once before the shuffle does: keep the rows, so
-    # that costly columns are computed only once.
-    df = df.persist(StorageLevel.DISK_ONLY)
-    cut = df.repartitionByRange(count, *group, *order)
-    pinned = cut.withColumn(SLICE, F.spark_partition_id()).checkpoint()
-    df.unpersist()
-    return Slices(pinned, group, order, cut=True)
+    keys = [*group, *order]
+    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = slice_starts(df, keys, count)
+    own = F.struct(*keys)
+    return Slices(df.withColumn(SLICE, F.size(F.filter(starts, lambda s: s <= own))), group, order)
 
 
 def running_sum(

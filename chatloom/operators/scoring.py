@@ -24,8 +24,19 @@ def shift_labels(tokens: DataFrame) -> DataFrame:
 
 
 def with_reference(tokens: DataFrame, reference: DataFrame) -> DataFrame:
-    """Student and reference logits of the same token."""
-    return tokens.join(reference.select("seq_id", "pos", "ref_logits"), ["seq_id", "pos"])
+    """Student and reference logits of the same token.
+
+    Vectors of positions that are not trained on, usually the greater part of a
+    sequence, do not travel: only the keys of trained tokens meet the reference,
+    and masked tokens stay with null vectors, so that sequences keep their rows.
+    """
+    trained = tokens.filter(is_trained())
+    met = trained.join(reference.select("seq_id", "pos", "ref_logits"), ["seq_id", "pos"])
+    masked = tokens.filter(~F.coalesce(is_trained(), F.lit(False))).withColumns({
+        "logits": F.lit(None).cast(tokens.schema["logits"].dataType),
+        "ref_logits": F.lit(None).cast(reference.schema["ref_logits"].dataType),
+    })
+    return met.unionByName(masked)
 
 
 def cross_entropy_terms(tokens: DataFrame) -> DataFrame:
@@ -75,8 +86,7 @@ def combined_loss(
     seen = F.when(trained, F.col("logits"))
     scored = tokens.withColumn("_ce", token_cross_entropy(seen, F.col("label")))
     if kl_coef > 0.0 and step >= kl_start_step:
-        seen_ref = F.when(trained, F.col("ref_logits"))
-        scored = scored.withColumn("_kl", token_kl(seen, seen_ref, temperature))
+        scored = scored.withColumn("_kl", token_kl(seen, F.col("ref_logits"), temperature))
     else:
         scored, kl_coef = scored.withColumn("_kl", F.lit(0.0)), 0.0
     mean_kl = F.coalesce(F.sum("_kl"), F.lit(0.0)) / F.greatest(F.count_if(trained), F.lit(1))

@@ -48,33 +48,36 @@ def pending_prompts(
         return grading.with_chat_prompt(asked, F.lit(SOLVE_SYSTEM))
 
     if "pass_idx" in done_keys:
-        # Passes are matched before the long prompts exist, so only keys and
-        # problem columns go through the join.
-        repeated = grading.repeat_passes(resume.first_rows(problems, sample, *order), passes)
-        return prompted(resume.not_done(repeated, done, *done_keys))
+        # Passes are matched before the long prompts exist, so only keys go
+        # through the joins.
+        missing = resume.not_done(grading.repeat_passes(problems.select("id"), passes), done, *done_keys)
+        unfinished = problems.join(missing.select("id"), "id", "left_semi")
+        chosen = resume.first_rows(unfinished, sample, *order)
+        return prompted(resume.not_done(grading.repeat_passes(chosen, passes), done, *done_keys))
     todo = resume.first_rows(resume.not_done(problems, done, *done_keys), sample, *order)
     return grading.repeat_passes(prompted(todo), passes)
 
 
 def eval_log(
     problems: DataFrame, runs: DataFrame, generations: DataFrame, settings: DataFrame,
-    run_key: str = "subset",
+    run_key: str = "run_id",
 ) -> DataFrame:
-    """One 15-column row per evaluation run.
+    """One 15-column row per evaluation run, also for a run without any problem.
 
-    ``settings`` has one row per run: model_id, checkpoint_path, weights_path,
-    split, temperature, top_p, max_new_tokens, passes, started_at, finished_at.
+    Generations, runs and settings share the run key. ``settings`` has one row per
+    run: subset, model_id, checkpoint_path, weights_path, split, temperature,
+    top_p, max_new_tokens, passes, started_at, finished_at.
     """
-    outcomes = grading.problem_outcomes(problems, runs, generations, keep=[run_key])
-    totals = grading.summarize_outcomes(outcomes, run_key).join(settings, run_key)
+    outcomes = grading.problem_outcomes(problems, runs, generations, run_key)
+    counts = ["problems_total", "problems_evaluable", "solved_on_example", "example_pass_rate", "avg_new_tokens"]
+    totals = settings.join(grading.summarize_outcomes(outcomes, run_key), run_key, "left").fillna(0, counts)
     elapsed = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / F.lit(1e6)
     rows = totals.select(
         iso_utc("finished_at").alias("timestamp"),
         logged_model_name(
             F.col("model_id"), F.col("checkpoint_path"), F.col("weights_path")
         ).alias("model_id"),
-        F.col(run_key).alias("subset"),
-        "split",
+        "subset", "split",
         F.col("problems_total").alias("sample"),
         "temperature", "top_p", "max_new_tokens", "passes",
         "problems_total", "problems_evaluable", "solved_on_example",
@@ -102,18 +105,17 @@ def repair_requests(problems: DataFrame, generations: DataFrame, runs: DataFrame
 
 
 def repair_results(problems: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per evaluable problem: right at first, or right only after the repair."""
+    """Per evaluable problem, run or not: right at first, or right only after the repair."""
     both = runs.filter("pass_idx = 1 AND phase IN (1, 2)")
     graded = grading.grade(both, problems)
     flags = graded.groupBy("id").agg(
-        F.coalesce(F.bool_or(F.when(F.col("phase") == FIRST_ATTEMPT, F.col("ok"))), F.lit(False)).alias("_first"),
-        F.coalesce(F.bool_or(F.when(F.col("phase") == REPAIR_ATTEMPT, F.col("ok"))), F.lit(False)).alias("_second"),
+        F.bool_or(F.when(F.col("phase") == FIRST_ATTEMPT, F.col("ok"))).alias("_first"),
+        F.bool_or(F.when(F.col("phase") == REPAIR_ATTEMPT, F.col("ok"))).alias("_second"),
     )
     asked = grading.evaluable(problems).select("id", "title")
-    return asked.join(flags, "id").select(
-        "id", "title",
-        F.col("_first").alias("pass_after_first"),
-        (~F.col("_first") & F.col("_second")).alias("pass_after_repair"),
+    first, second = (F.coalesce(c, F.lit(False)) for c in ("_first", "_second"))
+    return asked.join(flags, "id", "left").select(
+        "id", "title", first.alias("pass_after_first"), (~first & second).alias("pass_after_repair"),
     )
 
 

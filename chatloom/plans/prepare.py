@@ -2,24 +2,25 @@
 
 Stage order: profile (one row per chat, no message list) -> screen (cheap
 checks, last code block, language) -> draft (summary, reply, token guard) ->
-attach the system and user turns. Only chats that passed the token guard get
-their turns collected, and every turn costs at least one token (a counter plugged
-in must keep that), so a collected chat has at most ``max_seq_len`` turns however
-long the hottest chat is.
+attach the system and user turns. Finished chats leave before anything else. Only
+the system and user turns of chats that passed the token guard are shuffled and
+collected; as every turn costs at least its marks, a collected chat has at most
+``max_seq_len`` turns however long the hottest chat is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from chatloom.functions import chat, text
 from chatloom.functions.tokens import TokenCounter, count_tokens, turn_tokens
+from chatloom.operators.chats import PART_TURNS, explode_turns
 from chatloom.operators.columns import compute_once
 from chatloom.operators.filters import language_is
 from chatloom.operators.resume import not_done
-from chatloom.operators.skew import hot_keys
+from chatloom.schemas import MESSAGE
 from chatloom.sources.prompts import CHAT_DEFAULT_SYSTEM
 
 Summarize = Callable[[DataFrame], DataFrame]
@@ -33,19 +34,29 @@ def think_as_summary(df: DataFrame) -> DataFrame:
 
 
 def profile_turns(turns: DataFrame, counter: TokenCounter = count_tokens) -> DataFrame:
-    """One row per chat from flat turns, by partial aggregates only."""
+    """One row per chat from flat turns.
+
+    Numbers are partial aggregates; the one reply a chat needs is then found by an
+    equi join on its unique (source_idx, turn).
+    """
     is_prompt = F.col("role").isin(*chat.PROMPT_ROLES)
-    cut = turns.select(
+    at = lambda role: F.when(F.col("role") == role, F.col("turn"))
+    numbers = turns.select(
         "source_idx",
         F.when(is_prompt, turn_tokens(F.col("role"), F.col("content"), counter)).alias("_tok"),
-        F.when(is_prompt, F.struct("turn", "role")).alias("_prompt"),
-        F.when(F.col("role") == "assistant", F.struct("turn", "content")).alias("_reply"),
-    )
-    return cut.groupBy("source_idx").agg(
+        *[at(role).alias(f"_{role}") for role in (*chat.PROMPT_ROLES, "assistant")],
+    ).groupBy("source_idx").agg(
         F.count(F.lit(1)).alias("n_turns"),
         F.coalesce(F.sum("_tok"), F.lit(0)).alias("prompt_tokens"),
-        F.min("_prompt")["role"].alias("opening_role"),
-        F.max("_reply")["content"].alias("reply"),
+        *[F.min(f"_{role}").alias(f"_{role}") for role in chat.PROMPT_ROLES],
+        F.max("_assistant").alias("turn"),
+    )
+    opening = F.when(
+        F.col("_system").isNotNull() & (F.col("_user").isNull() | (F.col("_system") < F.col("_user"))), "system"
+    ).when(F.col("_user").isNotNull(), "user")
+    replies = turns.filter("role = 'assistant'").select("source_idx", "turn", F.col("content").alias("reply"))
+    return numbers.join(replies, ["source_idx", "turn"], "left").select(
+        "source_idx", "n_turns", "prompt_tokens", opening.alias("opening_role"), "reply"
     )
 
 
@@ -104,23 +115,21 @@ def draft(
     return counted.withColumn("reason", F.coalesce("reason", too_long))
 
 
-def collect_prompts(turns: DataFrame, kept: DataFrame, max_seq_len: int) -> DataFrame:
+def collect_prompts(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """Kept chats with their system and user turns in order.
 
-    A chat with more turns than ``max_seq_len`` tokens can not be among the kept
-    ones, so hot chats beyond that leave the turn side before its shuffle.
+    The turns of all other chats leave at the semi join, which AQE splits where a
+    chat is hot. ``kept`` has one row per chat and joins the collected turns 1:1.
     """
     asked = turns.filter(F.col("role").isin(*chat.PROMPT_ROLES)).select(
         "source_idx", F.struct("turn", "role", "content").alias("_turn")
-    )
-    hot = hot_keys(asked, "source_idx", at_least=max_seq_len)
-    asked = asked.join(F.broadcast(hot), "source_idx", "left_anti")
-    carried = [c for c in kept.columns if c != "source_idx"]
+    ).join(kept.select("source_idx"), "source_idx", "left_semi")
     ordered = F.sort_array(F.collect_list("_turn"))
-    return kept.join(asked, "source_idx", "left").groupBy("source_idx").agg(
-        *[F.first(c).alias(c) for c in carried],
-        F.transform(ordered, lambda m: chat.message(m["role"], m["content"])).alias("prompt"),
+    collected = asked.groupBy("source_idx").agg(
+        F.transform(ordered, lambda m: chat.message(m["role"], m["content"])).alias("prompt")
     )
+    none = F.array().cast(T.ArrayType(MESSAGE))
+    return kept.join(collected, "source_idx", "left").withColumn("prompt", F.coalesce("prompt", none))
 
 
 def finish(kept: DataFrame, default_system: str = CHAT_DEFAULT_SYSTEM) -> DataFrame:
@@ -140,9 +149,19 @@ def prepare_chats(
     default_system: str = CHAT_DEFAULT_SYSTEM,
     counter: TokenCounter = count_tokens,
     done: DataFrame | None = None,
+    part_turns: int = PART_TURNS,
 ) -> DataFrame:
-    """Training chats from chat rows: narrow from scan to output, but for the join
-    that leaves out finished rows when there are any."""
+    """Training chats from chat rows.
+
+    Whole chats are narrow from scan to output, but for the join that leaves out
+    finished rows when there are any. Rows that are one of several ``parts`` of a
+    chat are taken as turns, so it does not matter how chats are cut.
+    """
+    if "parts" in chats.columns:
+        options = (language, max_seq_len, summarize, default_system, counter, done)
+        whole = chats.filter("coalesce(parts, 1) <= 1").drop("part", "parts")
+        turns = explode_turns(chats.filter("parts > 1"), part_turns)
+        return prepare_chats(whole, *options).unionByName(prepare_turns(turns, *options))
     if done is not None:
         chats = not_done(chats, done, "source_idx")
     asked = screen(profile_chats(chats, counter), language).filter("reason IS NULL")
@@ -159,20 +178,16 @@ def prepare_turns(
     counter: TokenCounter = count_tokens,
     done: DataFrame | None = None,
 ) -> DataFrame:
-    """Training chats from flat turns.
-
-    Finished chats leave at the profile, where a chat is one row: the turns of a
-    hot chat never go through that join.
-    """
-    profile = profile_turns(turns, counter)
+    """Training chats from flat turns. Finished chats leave before any token is counted."""
     if done is not None:
-        profile = not_done(profile, done, "source_idx")
+        turns = not_done(turns, done, "source_idx")
+    profile = profile_turns(turns, counter)
     asked = screen(profile, language).filter("reason IS NULL")
     drafted = draft(asked, max_seq_len, summarize, default_system, counter)
     kept = drafted.filter("reason IS NULL").select(
         "source_idx", "answer", "language", "num_tokens_serialized"
     )
-    return finish(collect_prompts(turns, kept, max_seq_len), default_system)
+    return finish(collect_prompts(turns, kept), default_system)
 
 
 def funnel(

@@ -13,6 +13,9 @@ CHAT_ROWS = T.StructType([
     T.StructField("source_idx", T.LongType()),
     T.StructField("messages", T.ArrayType(MESSAGE)),
     T.StructField("num_tokens", T.LongType()),
+    # Null for a whole chat, else the row's number among the chat's parts.
+    T.StructField("part", T.LongType()),
+    T.StructField("parts", T.LongType()),
 ])
 
 CHAT_TURNS = T.StructType([
@@ -69,6 +72,7 @@ REPAIR_RESULTS = T.StructType([
     T.StructField("pass_after_repair", T.BooleanType()),
 ])
 
+# The columns of the evaluation log.
 EVAL_LOG = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("model_id", T.StringType()),

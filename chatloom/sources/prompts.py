@@ -62,7 +62,11 @@ def prompt_table(spark: SparkSession) -> DataFrame:
 
 
 def with_system_text(df: DataFrame, name: str, version: str = "version") -> DataFrame:
-    """Add ``system_text`` for each row's version. The registry has a fixed handful of rows."""
+    """Add ``system_text`` for each row's version; an unknown or null version fails.
+    The registry has a fixed handful of rows."""
     texts = prompt_table(df.sparkSession).filter(F.col("name") == name)
     texts = texts.select(F.col("version").alias(version), F.col("text").alias("system_text"))
-    return df.join(F.broadcast(texts), version)
+    joined = df.join(F.broadcast(texts), version, "left")
+    unknown = F.concat(F.lit(f"no {name} prompt of version "), F.coalesce(F.col(version), F.lit("null")))
+    text = F.coalesce("system_text", F.raise_error(unknown).cast("string"))
+    return joined.withColumn("system_text", text)

@@ -40,11 +40,11 @@ def _whole_number(text: Column) -> Column:
 
 
 def read_if_present(
-    spark: SparkSession, paths: str | list[str], schema: T.StructType, kind: str = "parquet"
+    spark: SparkSession, paths: str | list[str], schema: T.StructType, kind: str = "parquet", **options
 ) -> DataFrame | None:
     """The table, or None when its path does not exist."""
     try:
-        return spark.read.schema(schema).format(kind).load(paths)
+        return spark.read.schema(schema).format(kind).options(**options).load(paths)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -70,15 +70,30 @@ def read_done_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
 
 
 def read_shards(
-    spark: SparkSession, root: str, schema: T.StructType, extension: str = ".jsonl"
+    spark: SparkSession, root: str, schema: T.StructType, extension: str = ".jsonl", line: str | None = None
 ) -> DataFrame | None:
     """All shards ``<root>.rank<r><ext>`` (files or folders) as one table, tagged
-    with shard name and rank; None when there is no shard."""
-    table = read_if_present(spark, f"{root}.rank*{extension}", schema, "json")
+    with shard name and rank; None when there is no shard.
+
+    With ``line`` a column of that name holds the text of each broken line, and
+    ``_file`` and ``_block`` say where a row was read.
+    """
+    paths = f"{root}.rank*{extension}"
+    if line is None:
+        table = read_if_present(spark, paths, schema, "json")
+    else:
+        table = read_if_present(spark, paths, T.StructType([T.StructField("value", T.StringType())]), "text")
     if table is None:
         return None
     name = F.regexp_extract("_metadata.file_path", r"([^/]*\.rank\d+[^/]*)", 1)
-    return tag_rank(table.withColumn("shard", name))
+    if line is None:
+        return tag_rank(table.withColumn("shard", name))
+    wide = T.StructType([*schema.fields, T.StructField(line, T.StringType())])
+    parsed = F.from_json("value", wide, {"columnNameOfCorruptRecord": line})
+    return tag_rank(table.select(
+        parsed.alias("_row"), name.alias("shard"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    ).select("_row.*", "shard", "_file", "_block"))
 
 
 def tag_rank(table: DataFrame, name: str = "shard") -> DataFrame:

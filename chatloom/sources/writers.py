@@ -36,25 +36,55 @@ def append_new(
 
 
 def write_shards(
-    df: DataFrame, path: str, shards: int, *keys: str, files_per_shard: int = 1
+    df: DataFrame, path: str, shards: int, *keys: str, files_per_shard: int | None = None
 ) -> None:
     """One folder per shard. Rows are assigned by key, so a rerun gives the same
-    shards; give the row's full key, which no hot value can dominate."""
+    shards; give the row's full key, which no hot value can dominate. A shard has
+    as many files as its share of the shuffle partitions."""
+    if files_per_shard is None:
+        files_per_shard = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
     slot = F.pmod(F.xxhash64(*keys), F.lit(shards * files_per_shard)).cast("int")
     placed = df.withColumn("_slot", slot).repartitionById(shards * files_per_shard, F.col("_slot"))
     ranked = placed.withColumn("rank", F.col("_slot") % shards).drop("_slot")
     ranked.write.mode("overwrite").partitionBy("rank").json(path)
 
 
+def first_of_each(shards: DataFrame, key: str) -> DataFrame:
+    """The first row of each key by rank and place in the shard; rows without a key stay.
+
+    A place is the file, the block of the file and the order inside the block, in
+    which a scan numbers its rows; it does not depend on how blocks become tasks.
+    """
+    place = F.struct("rank", "_file", "_block", "_order").alias("_place")
+    placed = shards.withColumn("_order", F.monotonically_increasing_id()).withColumn("_place", place)
+    first = placed.groupBy(key).agg(F.min("_place").alias("_first"))
+    kept = placed.join(first, key, "left").filter(F.col("_first").isNull() | (F.col("_place") == F.col("_first")))
+    return kept.drop("_order", "_place", "_first")
+
+
 def finalize_shards(
-    spark: SparkSession, root: str, target: str, dedup: bool = True, extension: str = ".jsonl"
+    spark: SparkSession, root: str, target: str, dedup: bool = False, broken: str = "fail",
+    extension: str = ".jsonl",
 ) -> DataFrame | None:
     """Merge shards into one columnar table; without shards the existing table is
-    used, and with neither nothing happens."""
-    shards = read_shards(spark, root, schemas.PREPARED_CHATS, extension)
+    used, and with neither nothing happens.
+
+    A torn or otherwise broken line fails the merge; with ``broken="aside"`` such
+    lines go to ``<target>-broken`` with their shard instead. ``dedup`` keeps the
+    first row of each source_idx.
+    """
+    if broken not in ("fail", "aside"):
+        raise ValueError(f"broken must be 'fail' or 'aside', not {broken!r}")
+    shards = read_shards(spark, root, schemas.PREPARED_CHATS, extension, line="_line")
     if shards is not None:
-        rows = shards.drop("shard", "rank")
-        save_table(rows.dropDuplicates(["source_idx"]) if dedup else rows, target)
+        torn = shards.filter("_line IS NOT NULL").select("shard", "rank", F.col("_line").alias("line"))
+        if broken == "aside":
+            save_table(torn, f"{target}-broken")
+        elif count := torn.count():
+            raise ValueError(f"{count} broken lines in the shards of {root}")
+        rows = shards.filter("_line IS NULL")
+        rows = first_of_each(rows, "source_idx") if dedup else rows
+        save_table(rows.select(*schemas.PREPARED_CHATS.fieldNames()), target)
     return read_if_present(spark, target, schemas.PREPARED_CHATS)
 
 

@@ -1,12 +1,21 @@
-"""Incremental preparation: new chat rows in, training chats out."""
+"""Incremental preparation: new chat rows in, training chats out.
+
+A row is a whole chat, or one of ``parts`` parts of a longer one. Parts may arrive
+in different batches; they wait in a table beside the checkpoint until the chat is
+complete. That table has two generations, the batch's and its predecessor's, so a
+replayed batch finds what it began with and nothing piles up.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chatloom import schemas
 from chatloom.plans.prepare import prepare_chats
+from chatloom.sources.readers import read_if_present
 from chatloom.sources.writers import append_new
 
 
@@ -19,24 +28,56 @@ def read_chat_stream(
     return reader.parquet(path)
 
 
-def stream_prepare(
-    chats: DataFrame, target: str, checkpoint: str, **options
+def complete_chats(batch: DataFrame, batch_id: int, waiting: str) -> DataFrame:
+    """Whole chats, and all parts of the chats that are complete with this batch;
+    other parts wait on."""
+    parts = batch.filter("parts > 1")
+    earlier = None
+    if batch_id:
+        earlier = read_if_present(batch.sparkSession, f"{waiting}/slot={(batch_id - 1) % 2}", schemas.CHAT_ROWS)
+    if earlier is not None:
+        parts = parts.unionByName(earlier.select(*batch.columns))
+    complete = parts.groupBy("source_idx").agg(
+        (F.count_distinct("part") == F.max("parts")).alias("_complete")
+    ).filter("_complete").select("source_idx")
+    left = parts.join(complete, "source_idx", "left_anti")
+    left.write.mode("overwrite").parquet(f"{waiting}/slot={batch_id % 2}")
+    done = parts.join(complete, "source_idx", "left_semi").dropDuplicates(["source_idx", "part"])
+    return batch.filter("coalesce(parts, 1) <= 1").unionByName(done)
+
+
+def _foreach_batch(
+    chats: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]
 ) -> StreamingQuery:
-    """Process what has arrived and stop. The transforms are those of the batch
-    plan and keep no state; the file sink commits each input file once."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        write(complete_chats(batch, batch_id, f"{checkpoint}-waiting"), batch_id)
+        batch.unpersist()
+
     return (
-        prepare_chats(chats, **options).writeStream.format("parquet")
-        .option("path", target).option("checkpointLocation", checkpoint)
+        chats.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def stream_resume(
-    chats: DataFrame, target: str, checkpoint: str, **options
-) -> StreamingQuery:
+def stream_prepare(chats: DataFrame, target: str, checkpoint: str, **options) -> StreamingQuery:
+    """Process what has arrived and stop. The plan is that of the batch; each batch
+    has a folder of its own, which a replay overwrites."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        prepare_chats(batch, **options).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return _foreach_batch(chats, checkpoint, write)
+
+
+def read_prepared_stream(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.schema(schemas.PREPARED_CHATS).parquet(target).select(*schemas.PREPARED_CHATS.fieldNames())
+
+
+def stream_resume(chats: DataFrame, target: str, checkpoint: str, **options) -> StreamingQuery:
     """Like ``stream_prepare`` into a table other runs have also written: each
     batch leaves out keys the target holds, so a replayed batch adds nothing.
-    Skipping happens before the costly stages."""
+    Skipping happens before the costly stages and reads only the key column."""
 
     def write(batch: DataFrame, _: int) -> None:
         append_new(
@@ -44,7 +85,4 @@ def stream_resume(
             transform=lambda fresh: prepare_chats(fresh, **options),
         )
 
-    return (
-        chats.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return _foreach_batch(chats, checkpoint, write)

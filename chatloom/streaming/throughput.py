@@ -1,11 +1,12 @@
 """Training throughput over a stream of step logs.
 
-State is one row per run (begin, last log time, highest step), kept as one small
-table per batch. A batch scans its rows behind the state rows with the batch
-operator, so a run that dominates a batch is still cut into slices. Both the
-state and the output of a batch are overwritten when the batch is replayed.
-Rows of a run must arrive in time order across batches, as one training run
-writes them; inside a batch they are sorted.
+State is one row per run (begin, last log time, highest step). A batch scans its
+rows behind the state rows of its own runs with the batch operator, so a run that
+dominates a batch is still cut into slices; runs without new rows are carried over
+unread by the scan. The state has two generations, the batch's and its
+predecessor's: a replayed batch starts from what it began with and overwrites its
+own output, and nothing piles up. Rows of a run must arrive in time order across
+batches, as one training run writes them; inside a batch they are sorted.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ OUTPUT_COLUMNS = (
 )
 
 
-def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(schemas.TRAIN_LOG).parquet(path)
+def read_log_stream(
+    spark: SparkSession, path: str, files_per_batch: int | None = None
+) -> DataFrame:
+    reader = spark.readStream.schema(schemas.TRAIN_LOG)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def stream_throughput(
@@ -31,12 +37,19 @@ def stream_throughput(
 ) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = None
+        batch.persist()
+        known, idle = None, None
         if batch_id > 0:
-            known = spark.read.schema(STATE_COLUMNS).parquet(f"{state}/batch_id={batch_id - 1}")
+            before = spark.read.schema(STATE_COLUMNS).parquet(f"{state}/slot={(batch_id - 1) % 2}")
+            active = batch.select("run_id").distinct()
+            known = before.join(active, "run_id", "left_semi")
+            idle = before.join(active, "run_id", "left_anti")
         rows = throughput(batch, tokens_in_step, known)
         rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-        next_state(batch, known).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        after = next_state(batch, known)
+        after = after if idle is None else after.unionByName(idle)
+        after.write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
+        batch.unpersist()
 
     return (
         log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -74,6 +74,11 @@ def test_resume_comes_before_the_sample(spark, problems):
     done = spark.createDataFrame([("a", 1)], "id STRING, pass_idx INT")
     asked = evaluate.pending_prompts(problems, done, 2, 2, "id")
     assert sorted((r["id"], r["pass_idx"]) for r in asked.collect()) == [("b", 1), ("b", 2), ("c", 1), ("c", 2)]
+    # By pass the sample comes after the resume too: the next rerun goes on.
+    one = evaluate.pending_prompts(problems, done, 2, 2, "id", done_keys=("id", "pass_idx")).select("id", "pass_idx")
+    assert sorted(map(tuple, one.collect())) == [("a", 2), ("b", 1), ("b", 2)]
+    two = evaluate.pending_prompts(problems, done.union(one), 2, 2, "id", done_keys=("id", "pass_idx"))
+    assert sorted((r["id"], r["pass_idx"]) for r in two.collect()) == [("c", 1), ("c", 2), ("d", 1), ("d", 2)]
     by_pass = evaluate.pending_prompts(problems, done, 0, 2, "id", done_keys=("id", "pass_idx"))
     assert by_pass.filter("id = 'a'").select("pass_idx").collect() == [(2,)]
     assert by_pass.count() == 7
@@ -95,6 +100,9 @@ def test_repair_flow(spark, problems):
     results = evaluate.repair_results(problems, runs(spark, rows))
     assert sorted(map(tuple, results.collect())) == [("a", "T", False, True), ("b", "", True, False)]
     assert tuple(evaluate.repair_summary(results).first()) == (2, 1, 1)
+    # A problem that was never run has its row, too.
+    some = evaluate.repair_results(problems, runs(spark, rows[:2]))
+    assert sorted(map(tuple, some.collect())) == [("a", "T", False, True), ("b", "", False, False)]
     texts = spark.createDataFrame([("a", "T", "```python\nP\n```", 1), ("b", "", "Q", 1)], schemas.GENERATIONS)
     asked = evaluate.repair_requests(problems, texts, runs(spark, rows)).collect()
     assert [r["id"] for r in asked] == ["a"]
@@ -105,19 +113,36 @@ def test_repair_flow(spark, problems):
     )
 
 
-def test_log_row(spark, problems):
+def test_log_rows_of_several_runs(spark, problems):
+    """Two runs of one subset keep their own figures; a run without problems has a row."""
+    rest = ("test", 0.2, 0.95, 64, 1, "2024-01-02 03:04:05", "2024-01-02 03:04:07.125")
     settings = spark.createDataFrame(
-        [("v", "base", "", "w", "test", 0.2, 0.95, 64, 1, "2024-01-02 03:04:05", "2024-01-02 03:04:07.125")],
-        "subset STRING, model_id STRING, checkpoint_path STRING, weights_path STRING, split STRING, "
+        [("r1", "v", "base", "", "w", *rest), ("r2", "v", "other", None, None, *rest), ("r3", "v", "base", "ck", None, *rest)],
+        "run_id STRING, subset STRING, model_id STRING, checkpoint_path STRING, weights_path STRING, split STRING, "
         "temperature DOUBLE, top_p DOUBLE, max_new_tokens INT, passes INT, s STRING, f STRING",
     ).withColumns({"started_at": F.to_timestamp("s"), "finished_at": F.to_timestamp("f")})
-    texts = spark.createDataFrame([("a", "", "x " * 9, 1)], schemas.GENERATIONS)
-    rows = runs(spark, [("a", 1, 1, "2", "", 0)])
-    log = evaluate.eval_log(problems.withColumn("subset", F.lit("v")), rows, texts, settings)
-    assert log.schema.fieldNames() == schemas.EVAL_LOG.fieldNames()
-    assert tuple(log.first()) == (
-        "2024-01-02T03:04:07.125000Z", "base+w", "v", "test", 4, 0.2, 0.95, 64, 1, 4, 2, 1, 0.5, 2.25, 2.12
+    texts = spark.createDataFrame(
+        [("r1", i, "x " * 9) for i in "abcd"] + [("r2", "a", "y"), ("r2", "a", "z z")], "run_id STRING, id STRING, generation STRING"
+    )
+    rows = runs(spark, [("a", 1, 1, "2", "", 0), ("a", 1, 2, "3", "", 0)]).withColumn(
+        "run_id", F.when(F.col("phase") == 1, "r1").otherwise("r2")
     )
+    log = evaluate.eval_log(problems, rows, texts, settings)
+    assert log.schema.fieldNames() == schemas.EVAL_LOG.fieldNames()
+    same = ("2024-01-02T03:04:07.125000Z",)
+    assert sorted(map(tuple, log.collect())) == [
+        (*same, "base+w", "v", "test", 4, 0.2, 0.95, 64, 1, 4, 2, 1, 0.5, 9.0, 2.12),
+        (*same, "ck", "v", "test", 0, 0.2, 0.95, 64, 1, 0, 0, 0, 0.0, 0.0, 2.12),
+        (*same, "other", "v", "test", 1, 0.2, 0.95, 64, 1, 1, 1, 0, 0.0, 3.0, 2.12),
+    ]
+
+
+def test_null_parts_of_a_repair_request_are_empty(spark):
+    from chatloom.functions.problems import repair_prompt
+
+    df = spark.createDataFrame([("P", None, None, None, None)], "p STRING, c STRING, i STRING, o STRING, e STRING")
+    text = df.select(repair_prompt(*[F.col(c) for c in "pcioe"])).first()[0]
+    assert text.startswith("Original Problem:\\nP\\n") and text.endswith("corrected program.")
 
 
 def test_log_rounding_is_pythons(spark):

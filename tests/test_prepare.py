@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chatloom import schemas
 from chatloom.operators import chats
-from chatloom.operators.skew import hot_keys
 from chatloom.operators.generate import generate, summarize_thinks
 from chatloom.plans import prepare
 from chatloom.sources.prompts import CHAT_DEFAULT_SYSTEM
@@ -30,8 +29,8 @@ OUTCOMES = {1: "kept", 2: "other_language", 3: "no_reply", 4: "no_reply", 5: "no
 
 @pytest.fixture
 def rows(spark):
-    data = [(k, [{"role": r, "content": c} for r, c in v], None) for k, v in CHATS.items()]
-    return spark.createDataFrame([*data, (10, None, None)], schemas.CHAT_ROWS)
+    data = [(k, [{"role": r, "content": c} for r, c in v], None, None, None) for k, v in CHATS.items()]
+    return spark.createDataFrame([*data, (10, None, None, None, None)], schemas.CHAT_ROWS)
 
 
 @pytest.fixture
@@ -117,20 +116,32 @@ def test_a_hot_chat_leaves_before_the_shuffle(spark):
         "source_idx", "turn", F.when(is_reply, "assistant").otherwise("user").alias("role"),
         F.when(is_reply, CODE).otherwise("ask").alias("content"),
     ).union(spark.createDataFrame([(0, 10**9, "assistant", CODE)], schemas.CHAT_TURNS))
-    asked = turns.filter("role = 'user'")
-    assert hot_keys(asked, "source_idx", at_least=256).collect() == [(0,)]
     made = prepare.prepare_turns(turns, max_seq_len=256)
     kept = turns.filter("role = 'assistant' AND source_idx <> 0").select("source_idx").distinct()
     assert made.select("source_idx").exceptAll(kept).count() == 0
     assert kept.exceptAll(made.select("source_idx")).count() == 0
 
 
-def test_hot_keys_are_few_and_large(spark):
-    df = spark.range(1000).select((F.col("id") % F.lit(300) % F.lit(7)).alias("k"))
-    counts = dict(df.groupBy("k").count().collect())
-    largest = sorted(counts, key=lambda k: (-counts[k], k))
-    assert [r[0] for r in hot_keys(df, "k", at_least=10, most=3).collect()] == largest[:3]
-    assert hot_keys(df, "k", at_least=10_000).count() == 0
+def test_null_contents_are_empty_texts(spark):
+    """A chat of a hundred turns without content costs their marks in both forms."""
+    data = [(1, k, "user", None) for k in range(100)] + [(1, 100, "assistant", CODE)]
+    flat = spark.createDataFrame(data, schemas.CHAT_TURNS)
+    whole = chats.assemble_chats(flat).drop("part", "parts")
+    for limit in (60, 5000):
+        one, two = (as_lists(m) for m in (prepare.prepare_turns(flat, "python", limit), prepare.prepare_chats(whole, "python", limit)))
+        assert one == two and len(one) == (limit == 5000)
+
+
+@pytest.mark.parametrize("part_turns", [1, 2, 3, 1000])
+def test_parts_never_change_the_chats(spark, turns, part_turns):
+    parts = chats.assemble_chats(turns, part_turns)
+    assert as_lists(prepare.prepare_chats(parts, "python", 256, part_turns=part_turns)) == expected()
+
+
+def test_only_kept_chats_turns_are_sorted_or_shuffled_with_their_content(spark, turns):
+    plan = prepare.prepare_turns(turns, "python", 256)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert plan.count("LeftSemi") >= 1
 
 
 def test_round_trip_of_long_chats(spark):
@@ -185,7 +196,7 @@ def test_random_chats_rows_equal_turns(spark):
              "".join(rng.choice(["```\n", "```\n", "```py\n", "a b ", "<think>", "</think>", "c++"]) for _ in range(rng.randint(0, 12))))
             for _ in range(rng.randint(1, 6))
         ]
-        data.append((chat, [{"role": r, "content": c} for r, c in messages], None))
+        data.append((chat, [{"role": r, "content": c} for r, c in messages], None, None, None))
     rows = spark.createDataFrame(data, schemas.CHAT_ROWS)
     narrow = prepare.prepare_chats(rows, max_seq_len=200)
     wide = prepare.prepare_turns(chats.explode_turns(rows), max_seq_len=200)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chatloom.operators import packing, scan, throughput
 
-CUT = {"slices": 7, "whole_group_rows": 0}
+CUT = {"slices": 7}
 
 
 def hot_rows(n=4000, groups=40, seed=1):
@@ -40,15 +40,17 @@ def test_a_hot_group_is_cut_and_its_carry_stays_small(spark):
     sliced = scan.slice_rows(df, ["a", "b"], ["g"], **CUT)
     sizes = [r["count"] for r in sliced.rows.groupBy("_slice").count().collect()]
     hot = sliced.rows.filter("g = 0").select("_slice").distinct().count()
-    assert sliced.cut and len(sizes) == 7 and max(sizes) < 4000 / 3 and hot >= 2
+    assert len(sizes) == 7 and max(sizes) < 4000 / 3 and hot >= 2
     carried = sliced.with_carry({"n": (F.count("*"), F.sum)})
     assert carried.filter("n IS NOT NULL").select("_slice", "g").distinct().count() <= 6
 
 
-def test_small_groups_stay_whole(spark):
+def test_slices_are_an_expression_of_the_row(spark):
+    """Nothing is stored: the plan has one exchange of the rows and no checkpoint."""
     df = spark.createDataFrame(hot_rows(), "g INT, a INT, b INT, v INT")
-    assert not scan.slice_rows(df, ["a", "b"], ["g"]).cut
-    assert scan.slice_rows(df, ["a", "b"], ["g"], whole_group_rows=1000).cut
+    plan = scan.number_rows(df, "n", ["a", "b"], ["g"], slices=7)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD[g" in plan or "LocalTableScan" in plan
+    assert plan.count("Exchange hashpartitioning(_slice") <= 2  # rows, and their pre-aggregated totals
 
 
 def test_number_rows_over_the_table(spark):

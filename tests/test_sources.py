@@ -77,9 +77,26 @@ def test_finalize(spark, tmp_path):
     assert writers.finalize_shards(spark, root, target) is None
     writers.append_jsonl(prepared(spark, [1, 2]), f"{root}.rank0.jsonl")
     writers.append_jsonl(prepared(spark, [2, 3]), f"{root}.rank1.jsonl")
-    assert keys_of(writers.finalize_shards(spark, root, target)) == [1, 2, 3]
-    assert keys_of(writers.finalize_shards(spark, root, target, dedup=False)) == [1, 2, 2, 3]
-    assert keys_of(writers.finalize_shards(spark, f"{tmp_path}/none", target)) == [1, 2, 2, 3]
+    assert keys_of(writers.finalize_shards(spark, root, target)) == [1, 2, 2, 3]
+    assert keys_of(writers.finalize_shards(spark, root, target, dedup=True)) == [1, 2, 3]
+    assert keys_of(writers.finalize_shards(spark, f"{tmp_path}/none", target)) == [1, 2, 3]
+
+
+def test_the_first_shards_row_stays_and_torn_lines_are_set_aside(spark, tmp_path):
+    root, target = f"{tmp_path}/data", f"{tmp_path}/merged"
+    line = '{"messages": [], "language": "%s", "num_tokens_serialized": 1, "source_idx": %s}'
+    (tmp_path / "data.rank0.jsonl").write_text("\n".join([line % ("a", 1), line % ("b", 1), line % ("n", "null"), line % ("n", "null")]))
+    (tmp_path / "data.rank2.jsonl").write_text("\n".join([line % ("c", k) for k in (1, 2)] + ['{"messages": [{"role": "us']))
+    (tmp_path / "data.rank10.jsonl").write_text("\n".join([line % ("d", k) for k in (2, 3)]))
+    with pytest.raises(ValueError, match="1 broken line"):
+        writers.finalize_shards(spark, root, target)
+    for _ in range(3):
+        merged = writers.finalize_shards(spark, root, target, dedup=True, broken="aside")
+        got = sorted((str(r["source_idx"]), r["language"]) for r in merged.collect())
+        assert got == [("1", "a"), ("2", "c"), ("3", "d"), ("None", "n"), ("None", "n")]
+    torn = spark.read.parquet(f"{target}-broken").collect()
+    assert [(r["rank"], r["line"]) for r in torn] == [(2, '{"messages": [{"role": "us')]
+    assert writers.finalize_shards(spark, root, target, broken="aside").count() == 8
 
 
 def test_append_new_is_idempotent(spark, tmp_path):
@@ -97,7 +114,7 @@ def test_write_shards_is_deterministic(spark, tmp_path):
     writers.write_shards(rows.repartition(7), path, 4, "source_idx")
     again = sorted(map(tuple, spark.read.json(path).select("rank", "source_idx").collect()))
     assert first == again and len(first) == 40 and len({r for r, _ in first}) == 4
-    assert all(len(list(p.glob("part-*"))) == 1 for p in (tmp_path / "s").glob("rank=*"))
+    assert all(len(list(p.glob("part-*"))) <= 2 for p in (tmp_path / "s").glob("rank=*"))
 
 
 def test_subset_and_split_prune_partitions(spark, tmp_path):
@@ -120,9 +137,13 @@ def test_struct_of_arrays_and_back(spark):
 def test_prompt_registry(spark):
     table = {(r["name"], r["version"]): r["text"] for r in prompts.prompt_table(spark).collect()}
     assert len(table) == len(prompts.REGISTRY) == 6
-    df = spark.createDataFrame([(1, "current"), (2, "previous"), (3, "unknown")], "i INT, version STRING")
+    df = spark.createDataFrame([(1, "current"), (2, "previous")], "i INT, version STRING")
     got = {r["i"]: r["system_text"] for r in prompts.with_system_text(df, "solve").collect()}
     assert got == {1: prompts.SOLVE_SYSTEM, 2: prompts.SOLVE_SYSTEM_PREVIOUS}
+    for version in ("unknown", None):
+        odd = spark.createDataFrame([(3, version)], "i INT, version STRING")
+        with pytest.raises(Exception, match="no solve prompt of version"):
+            prompts.with_system_text(odd, "solve").collect()
 
 
 def test_peek(spark):

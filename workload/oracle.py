@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from chatloom.functions.distributions import GEM_BETA, GEM_SLOPE
-from chatloom.functions.text import WS_POINTS
+from chatloom.operators.chats import PART_TURNS
 from chatloom.sources import prompts
 from workload import queries as q
 from workload import views
 
 
+# The white space of the rules, in DuckDB's notation.
+WS_POINTS = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -111,8 +118,10 @@ RUNS = (
     f"runs AS (SELECT {views.PROBLEM_COLUMNS['id']} AS id, pass_idx, phase, {_columns(views.RUN_COLUMNS)} "
     f"FROM documents CROSS JOIN {PASSES} CROSS JOIN {PHASES})"
 )
+RUN_NUMBERS = "(SELECT unnest(range(1, 4))::INTEGER AS run_no)"
 SETTINGS = (
-    f"settings AS (SELECT lang AS subset, {_columns(views.SETTING_COLUMNS)} FROM documents GROUP BY lang)"
+    f"settings AS (SELECT {views.RUN_ID} AS run_id, lang AS subset, {_columns(views.SETTING_COLUMNS)} "
+    f"FROM documents CROSS JOIN {RUN_NUMBERS} WHERE run_no = 1 OR {views.SECOND_RUN} GROUP BY lang, run_no)"
 )
 TRAIN_LOG = (
     "numbered AS (SELECT user_id AS run_id, event_id AS log_id, ts, "
@@ -267,30 +276,44 @@ TOTALS = (
 )
 PASS_RATE = "coalesce(count(*) FILTER (solved)::DOUBLE / nullif(count(*) FILTER (evaluable), 0), 0)"
 NEW_TOKENS = "coalesce(sum(new_tokens)::DOUBLE / nullif(count(*), 0), 0)"
-EVAL_LOG = f"""WITH {OUTCOMES}, {SETTINGS},
-totals AS (SELECT subset, {TOTALS}, {PASS_RATE} AS rate, {NEW_TOKENS} AS average FROM outcomes GROUP BY subset)
+RUN_RULE = views.RUN_CASE.replace("phase", "run_no")
+COVERED = f"documents CROSS JOIN {PASSES} CROSS JOIN {RUN_NUMBERS} WHERE run_no < 3 AND ({views.RUN_COVERS})"
+EVAL_LOG = f"""WITH {SETTINGS}, covered AS (SELECT {views.RUN_ID} AS run_id, doc_id, pass_idx,
+  {views.GENERATION} AS generation, {views.PROBLEM_COLUMNS['ex_output']} AS ex_output,
+  {views.RUN_COLUMNS['stdout'].replace(views.RUN_CASE, RUN_RULE)} AS stdout FROM {COVERED}),
+outcomes AS (SELECT run_id, doc_id, bool_or(ex_output IS NOT NULL) AS evaluable,
+  coalesce(bool_or({strip('stdout')} = {strip('ex_output')}), false) AS solved,
+  sum({tokens('generation')}) AS new_tokens FROM covered GROUP BY run_id, doc_id),
+totals AS (SELECT run_id, {TOTALS}, {PASS_RATE} AS rate, {NEW_TOKENS} AS average FROM outcomes GROUP BY run_id)
 SELECT replace(strftime(make_timestamp(started_us + elapsed_us), '%Y-%m-%dT%H:%M:%S.%fZ'), '.000000Z', 'Z') AS timestamp,
  CASE WHEN weights_path IS NOT NULL THEN model_id || '+' || weights_path
    WHEN checkpoint_path IS NOT NULL THEN checkpoint_path ELSE model_id END AS model_id,
- subset, split, problems_total AS sample, temperature, top_p, max_new_tokens, passes,
- problems_total, problems_evaluable, solved_on_example,
- round(rate, 4) AS example_pass_rate, round(average, 2) AS avg_new_tokens,
+ subset, split, coalesce(problems_total, 0) AS sample, temperature, top_p, max_new_tokens, passes,
+ coalesce(problems_total, 0) AS problems_total, coalesce(problems_evaluable, 0) AS problems_evaluable,
+ coalesce(solved_on_example, 0) AS solved_on_example,
+ round(coalesce(rate, 0), 4) AS example_pass_rate, round(coalesce(average, 0), 2) AS avg_new_tokens,
  round(elapsed_us / 1e6, 2) AS elapsed_sec
-FROM totals JOIN settings USING (subset)"""
-REPAIRED = (
-    f"{GRADED}, flags AS (SELECT id, bool_or(CASE WHEN phase = 1 THEN ok END) AS first_ok, "
-    "bool_or(CASE WHEN phase = 2 THEN ok END) AS second_ok FROM graded WHERE pass_idx = 1 GROUP BY id), "
-    "repaired AS (SELECT p.id, p.title, coalesce(first_ok, false) AS pass_after_first, "
-    "NOT coalesce(first_ok, false) AND coalesce(second_ok, false) AS pass_after_repair "
-    "FROM problems p JOIN flags USING (id))"
-)
+FROM settings LEFT JOIN totals USING (run_id)"""
+
+
+def _repaired(been_run: str = "true") -> str:
+    return (
+        f"{GRADED}, flags AS (SELECT id, bool_or(CASE WHEN phase = 1 THEN ok END) AS first_ok, "
+        f"bool_or(CASE WHEN phase = 2 THEN ok END) AS second_ok FROM graded WHERE pass_idx = 1 AND {been_run} GROUP BY id), "
+        "repaired AS (SELECT p.id, p.title, coalesce(first_ok, false) AS pass_after_first, "
+        "NOT coalesce(first_ok, false) AND coalesce(second_ok, false) AS pass_after_repair "
+        "FROM problems p LEFT JOIN flags USING (id) WHERE p.ex_input IS NOT NULL)"
+    )
+
+
+REPAIRED = _repaired()
 
 
 def _repair_request() -> str:
     return (
         r"'Original Problem:\n' || a.user_prompt || '\n\nProgram:\n```python\n' || "
         + lenient("n.generation")
-        + r" || '\n```\n\nInput:\n' || a.ex_input || '\n\nObserved:\n' || g.stdout || '\nErrors:\n' || g.stderr"
+        + r" || '\n```\n\nInput:\n' || coalesce(a.ex_input, '') || '\n\nObserved:\n' || g.stdout || '\nErrors:\n' || g.stderr"
         r" || '\n\nPlease return a corrected program.'"
     )
 
@@ -298,7 +321,8 @@ def _repair_request() -> str:
 CHAT_KEYS = "chat_keys AS (SELECT conv_id AS source_idx, count(*) AS turns FROM conversations GROUP BY conv_id)"
 DONE_CHATS = "done AS (SELECT DISTINCT conv_id AS source_idx FROM conversations WHERE conv_id % 3 = 0)"
 SOLVE_PROMPT = prompt_text(_quote(prompts.SOLVE_SYSTEM), "user_prompt")
-ASSEMBLED = f"{CHAT_TURNS}, rows AS (SELECT source_idx, string_agg({turn_text('role', 'content')}, '' ORDER BY turn) AS chat FROM chat_turns GROUP BY source_idx)"
+PART = f"CAST(floor(turn / {PART_TURNS}) AS BIGINT)"
+ASSEMBLED = f"{CHAT_TURNS}, rows AS (SELECT source_idx, {PART} AS part, string_agg({turn_text('role', 'content')}, '' ORDER BY turn) AS chat FROM chat_turns GROUP BY source_idx, {PART})"
 
 
 def statements() -> dict[str, str]:
@@ -306,16 +330,21 @@ def statements() -> dict[str, str]:
 
     def opened(default: str) -> str:
         added = turn_text(_quote("system"), _quote(default))
-        return f"CASE WHEN opening_role = 'system' THEN '' ELSE {added} END || coalesce(asked, '')"
+        return f"CASE WHEN opening_role = 'system' OR part > 0 THEN '' ELSE {added} END || coalesce(asked, '')"
 
     sql = {
         "sft_build": PREPARED,
         "sft_build_rows": PREPARED,
+        "sft_build_parts": PREPARED,
         "sft_build_resume": f"{PREPARED} AND source_idx % 3 <> 0",
         "skip_funnel": f"""WITH {STAGES} SELECT CASE WHEN coalesce(reply, '') = '' THEN 'no_reply'
             WHEN fence IS NULL THEN 'no_code' WHEN language <> 'python' THEN 'other_language'
             WHEN num_tokens_serialized > {q.MAX_SEQ_LEN} THEN 'too_long' ELSE 'kept' END AS outcome,
             count(*) AS chats FROM counted GROUP BY 1""",
+        "skip_funnel_rows": f"""WITH {STAGES} SELECT CASE WHEN source_idx % 11 = 0 OR source_idx % 13 = 0 THEN 'no_messages'
+            WHEN coalesce(reply, '') = '' THEN 'no_reply' WHEN fence IS NULL THEN 'no_code' WHEN language <> 'python' THEN 'other_language'
+            WHEN num_tokens_serialized > {q.MAX_SEQ_LEN} THEN 'too_long' ELSE 'kept' END AS outcome,
+            count(*) AS chats FROM counted GROUP BY 1""",
         "lang_filter": f"WITH {STAGES} SELECT source_idx, language FROM counted WHERE {KEPT} AND language = 'python'",
         "token_guard": f"""WITH {STAGES} SELECT source_idx, num_tokens_serialized,
             num_tokens_serialized <= {q.MAX_SEQ_LEN} AS kept FROM counted WHERE {HAS_CODE}""",
@@ -333,21 +362,21 @@ def statements() -> dict[str, str]:
         "last_assistant_turn": f"""WITH {CHAT_TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY source_idx
             ORDER BY turn DESC) AS rn FROM chat_turns WHERE role = 'assistant')
             SELECT source_idx, turn, content FROM r WHERE rn = 1""",
-        "sys_user_prefix": f"""WITH {CHAT_TURNS}, a AS (SELECT source_idx,
+        "sys_user_prefix": f"""WITH {CHAT_TURNS}, a AS (SELECT source_idx, {PART} AS part,
             string_agg({turn_text('role', 'content')}, '' ORDER BY turn) FILTER ({asked_roles}) AS asked,
-            arg_min(role, turn) FILTER ({asked_roles}) AS opening_role FROM chat_turns GROUP BY source_idx)
-            SELECT source_idx, {opened(prompts.CHAT_DEFAULT_SYSTEM)} AS prompt,
+            arg_min(role, turn) FILTER ({asked_roles}) AS opening_role FROM chat_turns GROUP BY source_idx, {PART})
+            SELECT source_idx, part, {opened(prompts.CHAT_DEFAULT_SYSTEM)} AS prompt,
             {opened(prompts.TRAINER_DEFAULT_SYSTEM)} AS trainer_prompt FROM a""",
         "compose_reply": f"""WITH {REPLIES}, f AS (SELECT *, {fence('content')} AS fence, {think('content')} AS think FROM replies),
             n AS (SELECT *, {tag('fence')} AS tag, {body('fence')} AS code, {plain("coalesce(think, '')")} AS line FROM f WHERE fence IS NOT NULL),
             w AS (SELECT *, {language('tag')} AS language, {cut('line')} AS summary FROM n)
             SELECT source_idx, turn, {compose('summary', 'language', 'code')} AS answer FROM w""",
-        "chat_text": f"""WITH {ASSEMBLED} SELECT source_idx, chat, chat || '<|im_start|>assistant' || chr(10) AS open_chat,
+        "chat_text": f"""WITH {ASSEMBLED} SELECT source_idx, part, chat, chat || '<|im_start|>assistant' || chr(10) AS open_chat,
             {tokens('chat')} AS tokens FROM rows""",
         "turns_round_trip": f"WITH {CHAT_TURNS} SELECT * FROM chat_turns",
-        "struct_of_arrays": f"""WITH {CHAT_TURNS} SELECT source_idx, string_agg(role, ',' ORDER BY turn) AS roles,
+        "struct_of_arrays": f"""WITH {CHAT_TURNS} SELECT source_idx, {PART} AS part, string_agg(role, ',' ORDER BY turn) AS roles,
             string_agg(content, '|' ORDER BY turn) AS contents,
-            string_agg({turn_text('role', 'content')}, '' ORDER BY turn) AS chat FROM chat_turns GROUP BY source_idx""",
+            string_agg({turn_text('role', 'content')}, '' ORDER BY turn) AS chat FROM chat_turns GROUP BY source_idx, {PART}""",
         "assistant_tokens": f"""WITH {CHAT_TURNS}, t AS (SELECT *, {tokens(turn_text('role', 'content'))} AS tok FROM chat_turns)
             SELECT source_idx, count(*) AS turns, CAST(sum(tok) AS BIGINT) AS tokens,
             CAST(sum(CASE WHEN role = 'assistant' THEN tok ELSE 0 END) AS BIGINT) AS assistant_tokens FROM t GROUP BY source_idx""",
@@ -366,8 +395,10 @@ def statements() -> dict[str, str]:
             SELECT source_idx, CASE WHEN source_idx % 4 = 0 THEN '' ELSE {cut('line')} END AS summary FROM p""",
         "problem_prompt": f"WITH {ASKED} SELECT id, user_prompt FROM asked",
         "prompt_passes": f"""WITH {ASKED} SELECT id, pass_idx, md5({SOLVE_PROMPT}) AS prompt_md5,
-            {TIME_LIMIT} AS total_time_limit FROM asked CROSS JOIN {PASSES} WHERE doc_id % 5 <> 0""",
-        "prompt_passes_by_pass": f"""WITH {PROBLEMS} SELECT id, pass_idx FROM problems CROSS JOIN {PASSES}
+            {TIME_LIMIT} AS total_time_limit FROM (SELECT * FROM asked WHERE doc_id % 5 <> 0
+            ORDER BY doc_id LIMIT {q.SAMPLE}) CROSS JOIN {PASSES}""",
+        "prompt_passes_by_pass": f"""WITH {PROBLEMS} SELECT id, pass_idx FROM (SELECT * FROM problems ORDER BY doc_id
+            LIMIT {q.RERUN_SAMPLE} OFFSET {q.RERUN_SAMPLE}) CROSS JOIN {PASSES}
             WHERE NOT (doc_id % 5 = 0 AND pass_idx = 1)""",
         "prompt_by_version": f"""WITH {ASKED} SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'current' ELSE 'previous' END AS version,
             CASE WHEN doc_id % 2 = 0 THEN {SOLVE_PROMPT}
@@ -387,7 +418,7 @@ def statements() -> dict[str, str]:
             round({NEW_TOKENS}, 6) AS avg_new_tokens FROM outcomes""",
         "eval_log_row": EVAL_LOG,
         "append_log": EVAL_LOG,
-        "repair_flags": f"WITH {REPAIRED} SELECT * FROM repaired",
+        "repair_flags": f"WITH {_repaired('CAST(substring(id, 2) AS BIGINT) % 7 <> 0')} SELECT * FROM repaired",
         "repair_output": f"WITH {REPAIRED} SELECT * FROM repaired",
         "repair_summary": f"""WITH {REPAIRED} SELECT count(*) AS problems, count(*) FILTER (pass_after_first) AS solved_at_first,
             count(*) FILTER (pass_after_repair) AS solved_by_repair FROM repaired""",
@@ -398,7 +429,7 @@ def statements() -> dict[str, str]:
             s AS (SELECT *, CAST(coalesce(sum(tokens) OVER (ORDER BY source_idx, turn ROWS BETWEEN UNBOUNDED PRECEDING
             AND 1 PRECEDING), 0) AS BIGINT) AS token_start FROM t)
             SELECT *, CAST(floor(token_start / {q.PACK_LEN}) AS BIGINT) AS bin FROM s""",
-        "row_numbers": "SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS source_idx FROM documents",
+        "row_numbers": "SELECT doc_id, text, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS source_idx FROM documents",
         "token_kl": f"WITH {TOKEN_LOGITS}, {_kl_tables(q.KL_TEMPERATURE)} SELECT seq_id, pos, round(kl, 6) AS kl FROM scored WHERE {TRAINED}",
         "token_ce": f"WITH {TOKEN_LOGITS}, {_kl_tables(1.0)} SELECT seq_id, pos, round(ce, 6) AS ce FROM scored WHERE {TRAINED}",
         "gem_loss": f"WITH {TOKEN_LOGITS}, {GEM_TABLES} SELECT seq_id, round(avg({_gem(SIGMOID)}), 6) AS gem_loss FROM normed GROUP BY seq_id",
@@ -406,12 +437,20 @@ def statements() -> dict[str, str]:
         "seq_loss": _loss("seq_id"),
         "total_loss": _loss(""),
         "reference_kl": f"WITH {TOKEN_LOGITS}, {_kl_tables(1.0)} SELECT seq_id, round(avg(kl), 6) AS mean_kl FROM scored WHERE {TRAINED} GROUP BY seq_id",
-        "align_vectors": """SELECT vec_id AS token_id, vec_id % 5 >= 3 AS copied_from_student,
-            round(CASE WHEN vec_id % 5 < 3 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) AS first_value,
-            round(CASE WHEN vec_id % 5 < 3 THEN -embedding[-1] ELSE embedding[-1] END::DOUBLE, 6) AS last_value FROM embeddings""",
+        "align_vectors": """WITH kinds AS (SELECT 'input' AS part, 1 AS factor UNION ALL SELECT 'output', 2),
+            aligned AS (SELECT part, vec_id AS token_id, vec_id % 5 >= 3 AS copied_from_student, list_transform(embedding,
+            lambda v: CASE WHEN vec_id % 5 < 3 THEN -v ELSE v END * factor) AS vector FROM embeddings CROSS JOIN kinds)
+            SELECT part, token_id, copied_from_student, array_to_string(list_transform(vector,
+            lambda v: CAST(CAST(round(v::DOUBLE * 1e6) AS BIGINT) AS VARCHAR)), ',') AS millionths FROM aligned""",
         "jsonl_round_trip": PREPARED,
         "save_parquet": PREPARED,
         "finalize": PREPARED,
+        "broken_lines": """SELECT 'data.rank3.jsonl' AS shard, 3 AS rank, '{"source_idx": ' || doc_id AS line
+            FROM documents WHERE doc_id % 10 = 0""",
+        "subset_split": f"WITH {PROBLEMS} SELECT id, title, description FROM problems WHERE subset = 'en' AND doc_id % 10 < 2",
+        "shard_names": """SELECT 'data.rank' || (conv_id % 12) || '.jsonl' AS shard, count(*) AS turns
+            FROM conversations GROUP BY conv_id % 12""",
+        "peek_rows": "SELECT * FROM documents ORDER BY doc_id LIMIT 10",
         "filtered_table": f"""WITH {STAGES} SELECT source_idx, num_tokens_serialized FROM counted
             WHERE {KEPT} AND num_tokens_serialized <= {q.MAX_SEQ_LEN // 2} + 128""",
         "tolerant_keys": """SELECT DISTINCT CASE WHEN doc_id % 6 = 5 THEN doc_id - 5 ELSE doc_id END AS source_idx

@@ -22,6 +22,7 @@ from workload import views
 MAX_SEQ_LEN = 512
 PACK_LEN = 2048
 SAMPLE = 200
+RERUN_SAMPLE = 60
 TOKENS_IN_STEP = throughput.tokens_per_step(8192, 1, 8, 8)
 KL_COEF = 0.1
 KL_TEMPERATURE = 2.0
@@ -76,6 +77,13 @@ def sft_build_rows(spark, sf_dir):
     return _as_text(prepare.prepare_chats(rows, max_seq_len=MAX_SEQ_LEN))
 
 
+@query
+def sft_build_parts(spark, sf_dir):
+    """Chats cut into parts of two turns: the same training chats."""
+    rows = chats.assemble_chats(views.chat_turns(spark, sf_dir), part_turns=2)
+    return _as_text(prepare.prepare_chats(rows, max_seq_len=MAX_SEQ_LEN, part_turns=2))
+
+
 @query
 def sft_build_resume(spark, sf_dir):
     return _as_text(_prepared(spark, sf_dir, done=_done_chats(spark, sf_dir)))
@@ -87,6 +95,13 @@ def skip_funnel(spark, sf_dir):
     return prepare.funnel(profile, "python", MAX_SEQ_LEN)
 
 
+@query
+def skip_funnel_rows(spark, sf_dir):
+    """The funnel on chat rows, some of them without messages."""
+    profile = prepare.profile_chats(views.short_of_messages(spark, sf_dir))
+    return prepare.funnel(profile, "python", MAX_SEQ_LEN)
+
+
 @query
 def lang_filter(spark, sf_dir):
     return _prepared(spark, sf_dir, language="python").select("source_idx", "language")
@@ -160,7 +175,7 @@ def sys_user_prefix(spark, sf_dir):
         return chat.chat_text(prefixed)
 
     return rows.select(
-        "source_idx",
+        "source_idx", "part",
         opened(prompts.CHAT_DEFAULT_SYSTEM).alias("prompt"),
         opened(prompts.TRAINER_DEFAULT_SYSTEM).alias("trainer_prompt"),
     )
@@ -180,7 +195,7 @@ def chat_text(spark, sf_dir):
     rows = views.chat_rows(spark, sf_dir)
     messages = F.col("messages")
     return rows.select(
-        "source_idx",
+        "source_idx", "part",
         chat.chat_text(messages).alias("chat"),
         chat.chat_text(messages, add_reply_prompt=True).alias("open_chat"),
         count_tokens(chat.chat_text(messages)).alias("tokens"),
@@ -199,7 +214,7 @@ def struct_of_arrays(spark, sf_dir):
     )
     back = columns.withColumn("messages", chat.as_array_of_structs(F.col("m")))
     return back.select(
-        "source_idx",
+        "source_idx", "part",
         F.array_join("m.role", ",").alias("roles"),
         F.array_join("m.content", "|").alias("contents"),
         chat.chat_text(F.col("messages")).alias("chat"),
@@ -300,18 +315,21 @@ def problem_prompt(spark, sf_dir):
 @query
 def prompt_passes(spark, sf_dir):
     asked = evaluate.pending_prompts(
-        views.problems(spark, sf_dir), _done_ids(spark, sf_dir), 0, views.PASSES, "doc_id"
+        views.problems(spark, sf_dir), _done_ids(spark, sf_dir), SAMPLE, views.PASSES, "doc_id"
     )
     return asked.select("id", "pass_idx", F.md5("prompt").alias("prompt_md5"), "total_time_limit")
 
 
 @query
 def prompt_passes_by_pass(spark, sf_dir):
-    asked = evaluate.pending_prompts(
-        views.problems(spark, sf_dir), _done_ids(spark, sf_dir), 0, views.PASSES, "doc_id",
-        done_keys=("id", "pass_idx"),
-    )
-    return asked.select("id", "pass_idx")
+    """The second of two reruns: it goes on where the first one's sample ended."""
+    done = _done_ids(spark, sf_dir)
+    for _ in range(2):
+        asked = evaluate.pending_prompts(
+            views.problems(spark, sf_dir), done, RERUN_SAMPLE, views.PASSES, "doc_id", done_keys=("id", "pass_idx"),
+        ).select("id", "pass_idx")
+        done = done.unionByName(asked)
+    return asked
 
 
 @query
@@ -388,8 +406,8 @@ def eval_summary(spark, sf_dir):
 
 def _eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.eval_log(
-        views.problems(spark, sf_dir), _first_runs(spark, sf_dir),
-        views.generations(spark, sf_dir), views.run_settings(spark, sf_dir),
+        views.problems(spark, sf_dir), views.evaluated_runs(spark, sf_dir),
+        views.evaluated_generations(spark, sf_dir), views.run_settings(spark, sf_dir),
     )
 
 
@@ -400,7 +418,9 @@ def eval_log_row(spark, sf_dir):
 
 @query
 def repair_flags(spark, sf_dir):
-    return evaluate.repair_results(views.problems(spark, sf_dir), views.runs(spark, sf_dir))
+    """Every seventh problem has never been run."""
+    runs = views.runs(spark, sf_dir).filter("CAST(substring(id, 2) AS BIGINT) % 7 <> 0")
+    return evaluate.repair_results(views.problems(spark, sf_dir), runs)
 
 
 @query
@@ -435,8 +455,10 @@ def pack_sequences(spark, sf_dir):
 
 @query
 def row_numbers(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "source")
-    return scan.number_rows(documents, "source_idx", ["source", "doc_id"])
+    """Narrow keys are numbered; the texts join by their unique id."""
+    documents = views.table(spark, sf_dir, "documents")
+    numbered = scan.number_rows(documents.select("doc_id", "source"), "source_idx", ["source", "doc_id"])
+    return documents.select("doc_id", "text").join(numbered, "doc_id")
 
 
 # ---- losses ----------------------------------------------------------------
@@ -495,12 +517,12 @@ def align_vectors(spark, sf_dir):
         F.col("vec_id").alias("token_id"),
         F.transform("embedding", lambda v: -v).alias("vector"),
     )
-    aligned = scoring.align_vectors(student, older)
-    return aligned.select(
-        "token_id", "copied_from_student",
-        F.round(F.element_at("vector", 1).cast("double"), 6).alias("first_value"),
-        F.round(F.element_at("vector", -1).cast("double"), 6).alias("last_value"),
+    doubled = lambda df: df.withColumn("vector", F.transform("vector", lambda v: v * 2))
+    both = scoring.align_vectors(student, older).withColumn("part", F.lit("input")).unionByName(
+        scoring.align_vectors(doubled(student), doubled(older)).withColumn("part", F.lit("output"))
     )
+    millionths = F.transform("vector", lambda v: F.round(v.cast("double") * 1e6).cast("bigint"))
+    return both.select("part", "token_id", "copied_from_student", F.array_join(millionths.cast("array<string>"), ",").alias("millionths"))
 
 
 # ---- sources and sinks -----------------------------------------------------
@@ -571,12 +593,50 @@ def shard_union(spark, sf_dir):
 
 @query
 def finalize(spark, sf_dir):
-    """Two overlapping shards merged into one table, one row per key."""
+    """Two shards that overlap with other content, the second torn in places."""
     folder = fresh_folder(spark, "shards")
     writers.append_jsonl(_prepared(spark, sf_dir), f"{folder}/data.rank0.jsonl")
     again = readers.read_prepared(spark, f"{folder}/data.rank0.jsonl").filter("source_idx % 2 = 0")
-    writers.append_jsonl(again, f"{folder}/data.rank1.jsonl")
-    return _as_text(writers.finalize_shards(spark, f"{folder}/data", f"{folder}/merged"))
+    line = F.to_json(F.struct("messages", F.lit("other").alias("language"), "num_tokens_serialized", "source_idx"))
+    torn = F.when(F.col("source_idx") % 10 == 0, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line)
+    again.select(torn.alias("value")).write.text(f"{folder}/data.rank1.jsonl")
+    return _as_text(writers.finalize_shards(
+        spark, f"{folder}/data", f"{folder}/merged", dedup=True, broken="aside"
+    ))
+
+
+@query
+def broken_lines(spark, sf_dir):
+    """What the merge of ``finalize`` sets aside, per shard."""
+    folder = fresh_folder(spark, "shards")
+    keys = views.table(spark, sf_dir, "documents").select("doc_id")
+    whole = F.to_json(F.struct(F.col("doc_id").alias("source_idx")))
+    torn = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit('{"source_idx": '), F.col("doc_id").cast("string"))).otherwise(whole)
+    keys.select(torn.alias("value")).write.text(f"{folder}/data.rank3.jsonl")
+    writers.finalize_shards(spark, f"{folder}/data", f"{folder}/merged", broken="aside")
+    return readers.read_table(spark, f"{folder}/merged-broken").select("shard", "rank", "line")
+
+
+@query
+def subset_split(spark, sf_dir):
+    """Problems stored by subset and split; reading one of each prunes the rest."""
+    path = fresh_folder(spark, "problems")
+    split = F.when(F.col("doc_id") % 10 < 2, "test").otherwise("train")
+    writers.save_table(views.problems(spark, sf_dir).withColumn("split", split), path, "subset", "split")
+    return readers.read_table(spark, path, subset="en", split="test").select("id", "title", "description")
+
+
+@query
+def shard_names(spark, sf_dir):
+    """The name each worker's shard of a table gets."""
+    turns = views.chat_turns(spark, sf_dir)
+    name = readers.shard_name(F.lit("data"), F.col("source_idx") % 12, F.lit(".jsonl"))
+    return turns.groupBy(name.alias("shard")).agg(F.count(F.lit(1)).alias("turns"))
+
+
+@query
+def peek_rows(spark, sf_dir):
+    return readers.peek(views.table(spark, sf_dir, "documents").orderBy("doc_id"), 10)
 
 
 @query
@@ -623,8 +683,15 @@ def json_records(spark, sf_dir):
 
 
 def _stored_chats(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    rows = views.chat_rows(spark, sf_dir).withColumn("num_tokens", F.lit(None).cast("bigint"))
-    writers.save_table(rows.select(*schemas.CHAT_ROWS.fieldNames()), f"{folder}/in")
+    """Chats in parts of three turns, so that parts come in different batches; whole
+    chats among them have no part number."""
+    rows = chats.assemble_chats(views.chat_turns(spark, sf_dir), part_turns=3)
+    rows = rows.withColumns({
+        "num_tokens": F.lit(None).cast("bigint"),
+        "part": F.when(F.col("parts") > 1, F.col("part")), "parts": F.when(F.col("parts") > 1, F.col("parts")),
+    })
+    spread = rows.select(*schemas.CHAT_ROWS.fieldNames()).repartition(8, "source_idx", "part")
+    writers.save_table(spread, f"{folder}/in")
     return stream_prepare.read_chat_stream(spark, f"{folder}/in", files_per_batch=2)
 
 
@@ -633,9 +700,9 @@ def stream_build(spark, sf_dir):
     folder = fresh_folder(spark, "stream")
     stream = _stored_chats(spark, sf_dir, folder)
     stream_prepare.stream_prepare(
-        stream, f"{folder}/out", f"{folder}/checkpoint", max_seq_len=MAX_SEQ_LEN
+        stream, f"{folder}/out", f"{folder}/checkpoint", max_seq_len=MAX_SEQ_LEN, part_turns=3
     ).awaitTermination()
-    return _as_text(readers.read_table(spark, f"{folder}/out", schema=schemas.PREPARED_CHATS))
+    return _as_text(stream_prepare.read_prepared_stream(spark, f"{folder}/out"))
 
 
 @query
@@ -649,24 +716,23 @@ def stream_resume(spark, sf_dir):
             else stream_prepare.read_chat_stream(spark, f"{folder}/in")
         )
         stream_prepare.stream_resume(
-            stream, f"{folder}/out", f"{folder}/checkpoint-{attempt}", max_seq_len=MAX_SEQ_LEN
+            stream, f"{folder}/out", f"{folder}/checkpoint-{attempt}", max_seq_len=MAX_SEQ_LEN, part_turns=3
         ).awaitTermination()
     return _as_text(readers.read_table(spark, f"{folder}/out", schema=schemas.PREPARED_CHATS))
 
 
 @query
 def stream_tokens_per_sec(spark, sf_dir):
-    """The log arrives in two halves; the second continues from the stored state."""
+    """The log arrives in four batches, in which runs begin, rest and go on."""
     folder = fresh_folder(spark, "stream")
     log = views.train_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    middle = log.agg(F.timestamp_micros(
-        F.floor((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2)
-    )).scalar()
+    ends = log.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros("ts") - ends["a"]) * 4 / (ends["b"] - ends["a"] + 1))).cast("int")
     columns = schemas.TRAIN_LOG.fieldNames()
-    writers.save_table(log.select(*columns, (F.col("ts") >= middle).cast("int").alias("half")), f"{folder}/all", "half")
-    for half in (0, 1):
-        part = spark.read.schema(schemas.TRAIN_LOG).parquet(f"{folder}/all/half={half}")
-        part.write.mode("append").parquet(f"{folder}/in")
+    writers.save_table(log.select(*columns, quarter.alias("quarter")), f"{folder}/all", "quarter")
+    for part in range(4):
+        rows = spark.read.schema(schemas.TRAIN_LOG).parquet(f"{folder}/all/quarter={part}")
+        rows.write.mode("append").parquet(f"{folder}/in")
         stream_throughput.stream_throughput(
             stream_throughput.read_log_stream(spark, f"{folder}/in"), TOKENS_IN_STEP,
             f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint",

@@ -6,11 +6,12 @@ oracle, so both sides derive their inputs from one text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chatloom.operators.chats import assemble_chats
 from chatloom.operators.scan import number_rows
 from chatloom.operators.scoring import with_reference
+from chatloom.schemas import MESSAGE
 
 PASSES = 3
 
@@ -40,10 +41,10 @@ PROBLEM_COLUMNS = {
 }
 
 GENERATION = """CASE (doc_id*3+pass_idx)%4
-  WHEN 0 THEN concat('plan', chr(10), '```python', chr(10), 'print(', CAST(n_chars AS STRING), ')', chr(10), '```')
-  WHEN 1 THEN concat('```cpp', chr(10), 'x', chr(10), '```', chr(10), ' mid ```python', chr(10), 'y', chr(10), '```')
+  WHEN 0 THEN concat('plan', chr(10), '```python', chr(10), 'print(', CAST(n_chars AS STRING), ')', chr(10), text, chr(10), '```')
+  WHEN 1 THEN concat('```cpp', chr(10), 'x', chr(10), '```', chr(10), ' mid ```python', chr(10), text, chr(10), '```')
   WHEN 2 THEN text
-  ELSE concat('```', chr(10), 'a', chr(10), '``````python', chr(10), 'b', chr(10), '```') END"""
+  ELSE concat('```', chr(10), text, chr(10), '``````python', chr(10), 'b', chr(10), '```') END"""
 
 RUN_CASE = "(doc_id*3+pass_idx*5+phase*2)%7"
 RUN_COLUMNS = {
@@ -56,17 +57,22 @@ RUN_COLUMNS = {
 LOG_STEP = "10*CAST(floor((n+1)*2/3.0) AS BIGINT) - CASE WHEN log_id%17=0 THEN 30 ELSE 0 END"
 LABEL = "CASE WHEN vec_id%3=0 THEN -100 ELSE label END"
 
-# One evaluation run per subset. Paths, limits and the clock follow from the data.
+# Evaluation runs: the first covers a subset with all passes; a second one, of
+# another model, covers every other English problem with one pass. A third has no
+# problem at all. Paths, limits and the clock follow from the data.
+RUN_ID = "concat(lang, '-', CAST(run_no AS STRING))"
+RUN_COVERS = "run_no = 1 OR (lang = 'en' AND doc_id % 2 = 0 AND pass_idx = 1)"
+SECOND_RUN = "lang = 'en'"
 SETTING_COLUMNS = {
-    "model_id": "'base-model'",
+    "model_id": "CASE WHEN run_no = 1 THEN 'base-model' ELSE concat('model-', CAST(run_no AS STRING)) END",
     "checkpoint_path": "CASE WHEN min(doc_id)%2=1 THEN concat('ckpt-', CAST(min(doc_id) AS STRING)) END",
     "weights_path": "CASE WHEN min(doc_id)%4=2 THEN concat('weights-', CAST(min(doc_id) AS STRING)) END",
     "split": "'test'",
     "temperature": "CAST(0.2 AS DOUBLE)",
     "top_p": "CAST(0.95 AS DOUBLE)",
     "max_new_tokens": "8192",
-    "passes": str(PASSES),
-    "started_us": "1700000000000000 + min(doc_id)*1000000",
+    "passes": f"CASE WHEN run_no = 1 THEN {PASSES} ELSE 1 END",
+    "started_us": "1700000000000000 + min(doc_id)*1000000 + run_no*86400000000",
     "elapsed_us": "count(*)*3000000 + max(n_chars)*10000",
 }
 
@@ -123,10 +129,33 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def _evaluated(rows: DataFrame) -> DataFrame:
+    """Rows per document and pass, for each run that covers them."""
+    return rows.withColumn("run_no", F.explode(F.array(F.lit(1), F.lit(2)))).filter(RUN_COVERS)
+
+
+def evaluated_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(_evaluated(_passes(spark, sf_dir)), {
+        "run_id": RUN_ID, "id": PROBLEM_COLUMNS["id"], "pass_idx": "pass_idx", "generation": GENERATION,
+    })
+
+
+def evaluated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First attempts; the second run's outcomes differ, as if it were another phase."""
+    phased = _evaluated(_passes(spark, sf_dir)).withColumn("phase", F.col("run_no"))
+    return _select(phased, {
+        "run_id": RUN_ID, "id": PROBLEM_COLUMNS["id"], "pass_idx": "pass_idx", **RUN_COLUMNS
+    })
+
+
 def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_run = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("subset")).agg(
+    """One row per run; the third run's settings are there, but no generation."""
+    numbered = table(spark, sf_dir, "documents").withColumn("run_no", F.explode(
+        F.when(F.expr(SECOND_RUN), F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1)))
+    ))
+    per_run = numbered.groupBy("run_no", F.expr(RUN_ID).alias("run_id"), F.col("lang").alias("subset")).agg(
         *[F.expr(text).alias(name) for name, text in SETTING_COLUMNS.items()]
-    )
+    ).drop("run_no")
     return per_run.withColumns({
         "started_at": F.timestamp_micros("started_us"),
         "finished_at": F.timestamp_micros(F.col("started_us") + F.col("elapsed_us")),
@@ -139,6 +168,13 @@ def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.selectExpr("run_id", "log_id", "ts", f"{LOG_STEP} AS step")
 
 
+def short_of_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat rows of which some have no message list, and some an empty one."""
+    return chat_rows(spark, sf_dir).withColumn("messages", F.when(F.col("source_idx") % 11 == 0, None).when(
+        F.col("source_idx") % 13 == 0, F.array().cast(T.ArrayType(MESSAGE))
+    ).otherwise(F.col("messages")))
+
+
 def _token_columns(token: Column) -> list[Column]:
     """Eight tokens make a sequence."""
     return [F.floor(token / 8).cast("bigint").alias("seq_id"), (token % 8).alias("pos")]
