@@ -90,9 +90,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """All captures, revisits resolved.
 
     ``records``: record_id (unique), url, fetched_at, kind (`response` or
-    `revisit`), headers, page; further columns stay. Added: address, source_id,
-    outcome (`full`, `resolved`, `unverified`, `mismatch` or `unresolved`).
+    `revisit`), headers, page; further columns stay, but for those of the names
+    added: address, source_id, outcome (`full`, `resolved`, `unverified`, `mismatch` or `unresolved`).
     """
+    own = ["record_id", "url", "fetched_at", "kind", "headers", "page"]
+    added = ["address", "source_id", "outcome"]
+    more = [c for c in records.columns if c not in own + added]
+    records = records.select(*own, F.struct(F.lit(True).alias("_"), *more).alias("_more"))
     rows = records.withColumns({"address": canonical_url(F.col("url")), "headers": low_headers(F.col("headers"))})
     narrow = pinned(rows.filter(F.col("kind").isin("response", "revisit")).select(
         F.col("record_id").cast("bigint").alias("record_id"), "address",
@@ -126,4 +130,5 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         "page": F.when(done, F.col("_page")),
     })
     names = [*rows.columns, "source_id", "outcome"]
-    return fixed.select(*names).unionByName(asked.select(*names))
+    both = fixed.select(*names).unionByName(asked.select(*names))
+    return both.select(*own, *added, *[f"_more.{c}" for c in more])

@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import mixing, packing
+from chatloom.llm import forest, mixing, packing, templates, toxicity as toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from chatloom.llm.toxicity import drop_toxic
-
-    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that score 0.7 or more go; all others stay as they are."""
+    return toxic.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from chatloom.llm.templates import drop_recurring_lines
-
-    return drop_recurring_lines(docs)
+    """Recurring lines stay in one document; every document stays."""
+    return _measured(templates.drop_recurring_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from chatloom.llm.forest import drop_near_duplicates
-
-    return drop_near_duplicates(docs)
+    """One document of each class of near duplicates stays."""
+    return forest.drop_near_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs)
+    """Documents as often as the mix takes them, up to three times."""
+    return _measured(mixing.mix_documents(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their place in training sequences."""
     return packing.pack_documents(docs, with_ids=False)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint"))

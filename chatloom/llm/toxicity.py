@@ -87,7 +87,7 @@ def _features(text: str, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
-def learned_lexicon(sample: DataFrame, size: int, least_docs: int = 8, least_ratio: float = 8.0) -> dict[str, float]:
+def learned_lexicon(sample: DataFrame, size: int, least_docs: int = 4, least_ratio: float = 8.0) -> dict[str, float]:
     """Words and beginnings with their log ratio of document frequencies.
 
     ``sample`` has (text, toxic). A beginning ends with an ellipsis.
@@ -177,7 +177,6 @@ def score(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "tex
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **columns) -> DataFrame:
     """The documents whose score is below ``threshold``, all columns unchanged."""
     model = learn(docs, labels, **columns)
-    id, text = columns.get("id", "doc_id"), columns.get("text", "text")
-    keep = tuple(c for c in docs.columns if c not in (id,))
-    scored = score(docs, model, id=id, text=text, keep=keep)
-    return scored.filter(F.col("score") < threshold).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(columns.get("text", "text")).alias("_own"))
+    scored = score(rows, model, id="_row", text="_own")
+    return scored.filter(F.col("score") < threshold).select("_row.*")
