@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-For each language a zstandard dictionary holds raw text of that language. A text
-is compressed in blocks with each dictionary in turn; the dictionary that makes
+For each language a zstandard dictionary holds raw text of that language, letters
+only and in lower case. A text, reduced in the same way, is compressed in blocks with each dictionary in turn; the dictionary that makes
 it smallest names the language. Every block starts from the dictionary again, so
 a long text cannot drown it in its own repeats. Narrow margins are rejected.
 
@@ -16,6 +16,7 @@ further columns do not matter.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK_BYTES = 2048
-LEVEL = 1
+LEVEL = 6
 UNKNOWN = "und"
+NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """Lower-cased words: capitals, marks and digits say little about the language."""
+    return NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 def held_out(id: Column) -> Column:
@@ -51,15 +58,16 @@ def learn(
         return {}
     table = docs.sparkSession.range(1).select(F.explode(F.array(*wanted)).alias("w")).select("w.*")
     sample = known.withColumn("_at", place).join(F.broadcast(table), "lang").filter(F.col("_at") < F.col("share"))
-    # A long document gives one block's worth of pages, so that many documents fit.
     rows = sample.select("lang", "_at", "text").collect()
     content: dict[str, list[bytes]] = {k: [] for k in share}
     room = dict.fromkeys(share, dictionary_bytes)
     for row in sorted(rows, key=lambda r: (r["lang"], r["_at"], r["text"])):
-        data = row["text"].encode()[:room[row["lang"]]]
+        data = letters(row["text"])[:room[row["lang"]]]
         content[row["lang"]].append(data)
         room[row["lang"]] -= len(data)
-    return {k: b"\n".join(v) for k, v in sorted(content.items()) if v}
+    # The most frequent language first: it gets the texts too short to tell.
+    common = sorted(sizes, key=lambda r: (-r["bytes"], r["lang"]))
+    return {r["lang"]: b"\n".join(content[r["lang"]]) for r in common}
 
 
 def classify(
@@ -92,7 +100,7 @@ def classify(
                     score.append(0.0)
                     margins.append(0.0)
                     continue
-                data = value.encode("utf-8", "replace")
+                data = letters(value)
                 blocks = [data[at:at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)]
                 sizes = np.array([sum(len(encode(b)) for b in blocks) for encode in encoders], dtype=float)
                 order = np.argsort(sizes, kind="stable")
