@@ -18,6 +18,8 @@ input are ignored, unless named in ``keep``.
 
 from __future__ import annotations
 
+import os
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -31,7 +33,19 @@ from chatloom.llm.common import BUCKET, buckets_of, hash_bucket, pinned, running
 
 MAX_TOKENS = 2048
 END_ID = 0
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 900_000
+
+# Where all characters are of these kinds, the tokenizer's own splitting of a
+# lower-cased text is what PARTS finds, and stops and commas that touch no other
+# mark stand alone.
+PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-įı-ž–—‘-”•…€]*")
+PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+TOUCHING = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
+
+# Byte-level vocabularies write the bytes without a visible character of their
+# own as the characters from 256 on, in order.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,50 +54,59 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Chunks(dict):
+    """Ids by chunk, worked out when first asked for; forgets all when full."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def __missing__(self, chunk: str) -> bytes:
+        if PLAIN.fullmatch(chunk):
+            parts = [chunk] if chunk.isalpha() else PARTS.findall(chunk.lower())
+            ids = [
+                token.id for part in parts
+                for token in self.model.tokenize(part.lower().encode().decode("latin-1").translate(BYTE_NAMES))
+            ]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        if len(self) >= CACHED_CHUNKS:
+            self.clear()
+        found = self[chunk] = np.array(ids, dtype="<u4").tobytes()
+        return found
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
     The tokenizer never joins characters across white space, so a text's ids are
-    those of its white-space-free chunks, and chunks repeat. A Python worker
-    keeps one bounded cache for all its tasks.
+    those of its white-space-free chunks, and chunks repeat. A Python worker keeps
+    one bounded cache for all its tasks.
     """
 
     def __init__(self, path: str):
-        shared = sys.modules.setdefault("_chunk_ids", types.ModuleType("_chunk_ids")).__dict__
+        shared = sys.modules.setdefault("_token_ids", types.ModuleType("_token_ids")).__dict__
         if path not in shared:
-            import os
-
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
-            shared[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.known = shared[path]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+            shared[path] = Chunks(Tokenizer.from_file(path))
+        self.chunks = shared[path]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, wholly = self.known, {}
-        chunks = []
-        for i, text in enumerate(texts):
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-                wholly[i], parts = text, []
-            else:
-                # Lower-casing is the tokenizer's own first step on such texts.
-                parts = (text.lower() if text.isascii() else text).split()
-            chunks.append(parts)
-        missing = list(set().union(*chunks).difference(known))
-        if len(known) + len(missing) > CACHED_CHUNKS:
-            known.clear()
-            missing = list(set().union(*chunks))
-        for start in range(0, len(missing), 4096):
-            part = missing[start:start + 4096]
-            known.update(zip(part, self._encode(part)))
-        ids = [b"".join(map(known.__getitem__, parts)) for parts in chunks]
-        for i, text in wholly.items():
-            ids[i] = self._encode([text])[0]
-        return ids
+        known, found = self.chunks.__getitem__, []
+        for text in texts:
+            # The names of tokens, and what is white space to Python alone.
+            if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                ids = self.chunks.tokenizer.encode(text, add_special_tokens=False).ids
+                found.append(np.array(ids, dtype="<u4").tobytes())
+                continue
+            if PLAIN.fullmatch(text):
+                text = text.lower()
+                if not TOUCHING.search(text):
+                    text = text.replace(".", " . ").replace(",", " , ")
+            found.append(b"".join(map(known, text.split())))
+        return found
 
 
 def tokenize(
