@@ -49,15 +49,27 @@ def running_total(
     )
 
 
-SALTS = 24
 
-
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """Join ``rows`` to a ``table`` with one row per key, where a key may own many rows.
-
-    Each table row is repeated for every salt, and rows draw their salt from
-    ``by``, so the rows of one key meet in as many tasks as there are salts.
+def skewed_join(
+    rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int | None = None
+) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` of one row per key, whatever a key's share.
+
+    ``weight`` is a column of the table: how many rows a key has; ``total`` is their
+    sum, where the caller knows it or a bound near it. Keys with at
+    least a quarter of a partition's fair share of all weights are joined by
+    broadcast: by that definition they are at most four times as many as there
+    are partitions. All other keys are too small to skew a shuffle. Both inputs
+    are read twice; pin what is costly.
     """
-    salted = rows.withColumn("_salt", hash_bucket(SALTS, *by))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    parts = buckets_of(rows.sparkSession)
+    if total is None:
+        total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * (4 * parts) >= F.lit(total)
+    few = table.filter(hot).withColumn("_hot", F.lit(True))
+    few = few.drop(weight) if weight not in keys else few
+    more = [c for c in few.columns if c not in keys]
+    marked = rows.join(F.broadcast(few), keys, "left")
+    easy = marked.filter("_hot").drop("_hot")
+    rest = marked.filter("_hot IS NULL").drop(*more).join(table.filter(~hot).drop(weight), keys)
+    return easy.unionByName(rest)

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from chatloom.llm.common import BUCKET, buckets_of, pinned, running_total, spread_join
+from chatloom.llm.common import BUCKET, buckets_of, pinned, running_total, skewed_join
 from chatloom.llm.graph import components, local_roots
 
 THRESHOLD = 0.93
@@ -177,12 +177,12 @@ def near_duplicates(
         groups.withColumnRenamed("vertex", "_class"), "_class", "left"
     ).withColumn("least", F.coalesce("least", "_class"))
     named = pinned(known.select(
-        "_class", "_check", "least", "node", (F.col("times") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links")
+        "_class", "_check", "least", "node", "times", (F.col("times") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links")
     ))
-    first = named.groupBy("least").agg(F.min("node").alias("component"))
-    result = spread_join(named, first, ["least"], ["_class"]).select("_class", "_check", "n_links", "component")
-    joined = spread_join(
-        usable.select("_id", "_class", "_check"), result, ["_class", "_check"], ["_id"]
+    first = named.groupBy("least").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("_classes"))
+    result = pinned(skewed_join(named, first, ["least"], "_classes", named.count()).select("_class", "_check", "times", "n_links", "component"))
+    joined = skewed_join(
+        usable.select("_id", "_class", "_check"), result, ["_class", "_check"], "times"
     ).select("_id", "n_links", "component")
     alone = given.filter("NOT _ok").select("_id", F.lit(0).cast("bigint").alias("n_links"), F.col("_id").alias("component"))
     return joined.unionByName(alone).select(

@@ -10,8 +10,8 @@ pairs of a cluster are then compared exactly, tile by tile, on the whole sets.
 
 A tile pair returns counts and a spanning forest of its links, never the links,
 so a group of thousands of copies costs comparisons but no rows. Tiles hold a
-bounded number of shingles; nodes, clusters and classes with a third of all rows
-are joined in salted parts.
+bounded number of shingles; trie nodes, clusters and classes with a large share of
+all rows, of which there can only be few, are joined by broadcast.
 
 Defined cases: a text of one to four words has one shingle, all its words; null,
 empty and wordless texts link with nothing and are their own class; rows of one
@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chatloom.llm.common import BUCKET, buckets_of, hash_bucket, pinned, running_total, spread_join
+from chatloom.llm.common import BUCKET, buckets_of, hash_bucket, pinned, running_total, skewed_join
 from chatloom.llm.graph import components, local_roots
 
 THRESHOLD = 0.8
@@ -38,6 +38,10 @@ TREES = 32
 MOST_DEPTH = 8
 TARGET_RECALL = 0.99999
 TILE_SHINGLES = 200_000
+# What a document adds to its tile beside its shingles, so that a tile's table of
+# pairs stays small where documents are short.
+TILE_DOCUMENT = 200
+STRIP = 256
 NO_ID = 2**63 - 1
 
 WORD = re.compile(r"\w+")
@@ -151,12 +155,16 @@ def similar_pairs(sets: list[np.ndarray], first: np.ndarray | None, threshold: f
         used = np.flatnonzero(block.any(axis=1))
         part = block[used]
         common[np.ix_(used, used)] += part @ part.T
-    both = sizes[:, None] + sizes[None, :]
-    near = common / np.maximum(both - common.astype(np.float64), 1) >= threshold
-    if first is not None:
-        near &= first[:, None] != first[None, :]
-    i, j = np.nonzero(np.triu(near, 1))
-    return i, j
+    found = []
+    for at in range(0, count, STRIP):
+        part = common[at:at + STRIP].astype(np.float64)
+        both = sizes[at:at + STRIP, None] + sizes[None, :]
+        near = part / np.maximum(both - part, 1) >= threshold
+        if first is not None:
+            near &= first[at:at + STRIP, None] != first[None, :]
+        i, j = np.nonzero(np.triu(near, at + 1))
+        found.append((i + at, j))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def near_duplicate_classes(
@@ -176,18 +184,18 @@ def near_duplicate_classes(
     ))
     placed = classes.select("node", F.explode("prefixes").alias("prefix"))
     nodes = placed.groupBy("prefix").agg(F.count(F.lit(1)).alias("_members"), F.min("node").alias("pivot"))
-    met = spread_join(placed, nodes.filter("_members > 1").select("prefix", "pivot"), ["prefix"], ["node"])
+    met = skewed_join(placed, pinned(nodes.filter("_members > 1")), ["prefix"], "_members")
     clusters = components(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     members = pinned(
         classes.drop("prefixes").join(clusters.select(F.col("vertex").alias("node"), F.col("least").alias("cluster")), "node")
         .withColumn(BUCKET, hash_bucket(buckets_of(docs.sparkSession), "node"))
     )
-    tiled = running_total(members, ["cluster"], ["node"], F.col("n") + 64, "_before").withColumn(
+    tiled = running_total(members, ["cluster"], ["node"], F.col("n") + TILE_DOCUMENT, "_before").withColumn(
         "tile", F.floor(F.col("_before") / tile_shingles).cast("int")
     ).select("cluster", "node", "times", "_at", "tile")
     tiled = pinned(tiled)
-    last = tiled.groupBy("cluster").agg(F.max("tile").alias("last"))
-    meetings = spread_join(tiled, last, ["cluster"], ["node"]).select(
+    last = tiled.groupBy("cluster").agg(F.max("tile").alias("last"), F.count(F.lit(1)).alias("_members"))
+    meetings = skewed_join(tiled, last, ["cluster"], "_members", tiled.count()).select(
         F.col("_at._id").alias("_id"), F.col("_at._text").alias("_text"), "cluster", "node", "times", "tile", "last",
     )
     texts = docs.select(
@@ -233,12 +241,12 @@ def near_duplicate_classes(
     )
     named = pinned(known.select(
         "node", F.coalesce("least", "node").alias("least"), "_first",
-        (F.col("times") - 1 + F.coalesce("_links", F.lit(0))).cast("bigint").alias("n_links"),
+        "times", (F.col("times") - 1 + F.coalesce("_links", F.lit(0))).cast("bigint").alias("n_links"),
     ))
-    ids = named.groupBy("least").agg(F.min("_first").alias("class_id"))
-    result = spread_join(named, ids, ["least"], ["node"]).select("node", "n_links", "class_id")
-    linked = spread_join(
-        signed.filter("node IS NOT NULL").select("_id", "_text", "node"), result, ["node"], ["_id"]
+    ids = named.groupBy("least").agg(F.min("_first").alias("class_id"), F.count(F.lit(1)).alias("_classes"))
+    result = pinned(skewed_join(named, ids, ["least"], "_classes", named.count()).select("node", "times", "n_links", "class_id"))
+    linked = skewed_join(
+        signed.filter("node IS NOT NULL").select("_id", "_text", "node"), result, ["node"], "times"
     ).select("_id", "_text", "class_id", "n_links")
     alone = signed.filter("node IS NULL").select("_id", "_text", F.col("_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return linked.unionByName(alone)
@@ -255,7 +263,8 @@ def drop_near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "te
     """One document of each class: the one with the smallest id. All columns stay."""
     found = near_duplicate_classes(docs, id=id, text=text, **options)
     kept = found.filter("_id = class_id").select("_id", "_text").distinct()
-    rows = docs.withColumns({
-        "_id": F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)), "_text": F.coalesce(F.xxhash64(text), F.lit(0)),
-    })
-    return rows.join(kept, ["_id", "_text"], "left_semi").select(*docs.columns)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("_id"),
+        F.xxhash64(text).alias("_text"),
+    )
+    return rows.join(kept, ["_id", "_text"], "left_semi").select("_row.*")

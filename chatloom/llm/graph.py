@@ -4,8 +4,8 @@ Large stars join the greater neighbours of each vertex to its least neighbour,
 small stars the lesser ones; after a number of rounds that grows with the
 logarithm of the longest chain, all links of a component lead to its least
 vertex. Each round is pinned in the shared folder. No component and no
-neighbourhood is gathered: minima are partial aggregates, and a hub's links are
-joined to its minimum in salted parts.
+neighbourhood is gathered: minima are partial aggregates, and a hub's links meet
+its minimum by broadcast.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from chatloom.llm.common import pinned, spread_join
+from chatloom.llm.common import pinned, skewed_join
 
 
-def _least_of(pairs: DataFrame, by: str, other: str) -> DataFrame:
-    least = pairs.groupBy(by).agg(F.least(F.min(other), F.first(by)).alias("least"))
-    return spread_join(pairs, least, [by], [other])
+def _least_of(pairs: DataFrame, by: str, other: str, total: int) -> DataFrame:
+    least = pairs.groupBy(by).agg(F.least(F.min(other), F.col(by)).alias("least"), F.count(F.lit(1)).alias("_links"))
+    return skewed_join(pairs, least, [by], "_links", total)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = mark
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _least_of(both, "a", "b").filter("b > a").select(F.col("least").alias("a"), "b").distinct()
-        near = _least_of(large, "b", "a")
+        count = mark[0]
+        large = _least_of(both, "a", "b", 2 * count).filter("b > a").select(F.col("least").alias("a"), "b").distinct()
+        near = _least_of(large, "b", "a", count)
         small = near.select(F.col("least").alias("a"), "b").unionByName(
             near.filter("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
         ).distinct()

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chatloom.llm.common import buckets_of, pinned
+from chatloom.llm.common import buckets_of, pinned, skewed_join
 
 # Headers that a not-modified answer may update, and query
 # parameters that only track the visitor.
@@ -103,15 +103,22 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.col("fetched_at").cast("bigint").alias("fetched_at"), (F.col("kind") == "response").alias("full"),
     ))
     found = pinned(_latest_before(narrow, buckets_of(records.sparkSession)))
-    # A response may answer many revisits: what they take from it is read once per response.
-    wanted = found.filter("source_id IS NOT NULL").select("source_id").distinct()
-    sources = rows.filter(F.col("kind") == "response").join(
-        wanted, F.col("record_id") == F.col("source_id"), "left_semi"
-    ).select(F.col("record_id").alias("source_id"), F.col("headers").alias("_headers"), F.col("page").alias("_page"))
+    # A response that answers many revisits is copied once per share of them, so
+    # that they need not meet in one task.
+    parts = buckets_of(records.sparkSession)
+    wanted = found.filter("source_id IS NOT NULL").groupBy("source_id").agg(F.count(F.lit(1)).alias("_asked"))
+    total = found.count()
+    wanted = pinned(wanted.withColumn("_shares", F.ceil(F.col("_asked") * (4 * parts) / F.lit(total + 1)).cast("int")))
+    share = F.pmod(F.xxhash64("record_id"), F.col("_shares")).cast("int").alias("_share")
+    found = skewed_join(found, wanted, ["source_id"], "_asked").select("record_id", "source_id", share)
+    copies = wanted.select("source_id", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
+    sources = rows.filter(F.col("kind") == "response").select(
+        F.col("record_id").alias("source_id"), F.col("headers").alias("_headers"), F.col("page").alias("_page")
+    ).join(copies, "source_id")
     fixed = rows.filter(F.col("kind") != "revisit").withColumns({
         "source_id": F.lit(None).cast("bigint"), "outcome": F.lit("full"),
     })
-    asked = rows.filter(F.col("kind") == "revisit").join(found, "record_id", "left").join(sources, "source_id", "left")
+    asked = rows.filter(F.col("kind") == "revisit").join(found, "record_id", "left").join(sources, ["source_id", "_share"], "left")
     agree = lambda name: F.col("headers")[name] == F.col("_headers")[name]
     same, other = [], []
     for name in ("etag", "last-modified"):
