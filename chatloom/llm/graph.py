@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from chatloom.llm.common import pinned, skewed_join
 
+LINKS_IN_FILE = 200_000
+
 
 def _least_of(pairs: DataFrame, by: str, other: str, total: int) -> DataFrame:
     least = pairs.groupBy(by).agg(F.least(F.min(other), F.col(by)).alias("least"), F.count(F.lit(1)).alias("_links"))
@@ -42,7 +44,8 @@ def components(links: DataFrame) -> DataFrame:
         small = near.select(F.col("least").alias("a"), "b").unionByName(
             near.filter("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
         ).distinct()
-        stars = pinned(small)
+        # Links are narrow and grow few: they need no more files than their number asks for.
+        stars = pinned(small.coalesce(max(8, count // LINKS_IN_FILE)))
     roots = stars.select(F.col("a").alias("vertex"), F.col("a").alias("least")).distinct()
     return stars.select(F.col("b").alias("vertex"), F.col("a").alias("least")).unionByName(roots)
 
