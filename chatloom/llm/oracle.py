@@ -131,17 +131,24 @@ parsed AS (
 counts AS (
   SELECT template, lead, n, count(DISTINCT th) AS texts, min(doc_id) AS first FROM parsed GROUP BY ALL
 ),
-shared AS (SELECT lead, n FROM counts WHERE n >= 5 GROUP BY lead, n HAVING count(*) > 1 AND sum(texts) >= 3),
-contested AS (SELECT c.*, string_split(c.template, ' ') AS tk FROM counts c JOIN shared USING (lead, n)),
-placed AS (SELECT template, lead, n, texts, unnest(tk) AS token, generate_subscripts(tk, 1) AS place FROM contested),
+shared AS (SELECT lead, n FROM counts WHERE n >= 7 GROUP BY lead, n HAVING count(*) > 1 AND sum(texts) >= 3),
+contested AS (
+  SELECT c.*, string_split(c.template, ' ') AS tk, least(8, c.n - 3) AS k, c.n - 3 AS rest FROM counts c JOIN shared USING (lead, n)
+),
+placed AS (
+  SELECT template, lead, n, texts, k, j AS place,
+    array_to_string(tk[4 + CAST(floor(j * rest / k) AS BIGINT) : 3 + CAST(floor((j + 1) * rest / k) AS BIGINT)], ' ') AS token
+  FROM contested, unnest(range(k)) AS t(j)
+),
 votes AS (SELECT lead, n, place, token, sum(texts) AS votes FROM placed GROUP BY ALL),
+best AS (SELECT lead, n, place, max(votes) AS votes FROM votes GROUP BY ALL),
 usual AS (
-  SELECT lead, n, place, token FROM votes
-  QUALIFY row_number() OVER (PARTITION BY lead, n, place ORDER BY votes DESC, token DESC) = 1
+  SELECT lead, n, place, min(token) AS token FROM votes JOIN best USING (lead, n, place, votes)
+  GROUP BY lead, n, place HAVING count(*) = 1
 ),
 agreeing AS (
   SELECT p.template, p.lead, p.n FROM placed p JOIN usual u USING (lead, n, place)
-  GROUP BY ALL HAVING sum(CASE WHEN p.token = u.token THEN 1 ELSE 0 END) >= 0.8 * p.n
+  GROUP BY p.template, p.lead, p.n, p.k HAVING sum(CASE WHEN p.token = u.token THEN 1 ELSE 0 END) >= 0.75 * p.k
 ),
 grouped AS (
   SELECT a.lead, a.n, min(p.doc_id) AS first FROM parsed p JOIN agreeing a USING (template)

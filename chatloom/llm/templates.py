@@ -2,21 +2,24 @@
 
 Lines are parsed like log messages by a tree of fixed depth: by their number of
 tokens, then by their leading tokens, where a token that holds a digit is a
-variable field. In each leaf the token that most documents have at a position is
-the position's token; lines that agree with the leaf in nearly all positions share
-one template, whose other positions are variable fields as well. A line that is
-alone in its leaf is its own template, with its digits as fields.
+variable field. What follows the leading tokens is cut into up to ``FIELDS``
+fields, single tokens in a short line, runs of tokens in a longer one. In each
+leaf the value that most texts have in a field is the field's value, none if there
+is a tie; lines that agree with the leaf in three quarters of its fields share one
+template, whose other fields are variable as well. A line that shares none is its
+own template, with its digits as fields.
 
 A template that occurs in at least ``least_texts`` different texts recurs. It
 stays in the document with the smallest id that has it and is dropped from all
 others. Exact copies of a text count once: they are no recurring lines.
 
-Only DataFrame operations. Lines travel as hashes; the texts are shuffled twice
-by row key. Counts are partial aggregates, joins on templates have one row per
-template on one side, which lets Spark split a template of a third of all lines.
+Only DataFrame operations. Lines and fields travel as hashes; the texts are
+shuffled once, by row key. Counts are partial aggregates; templates and leaves
+with a large share of all lines, of which there can only be few, are joined by
+broadcast.
 
 Defined cases: null and empty texts stay as they are; lines of fewer than
-``least_tokens`` tokens are never dropped, blank ones included; null ids come
+``LEAST_TOKENS`` tokens are never dropped, blank ones included; null ids come
 after all others; rows of one id and text share a fate; an empty table gives no
 rows; a document may be left with an empty text; further columns stay.
 """
@@ -25,95 +28,117 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chatloom.llm.common import pinned
+from chatloom.llm.common import pinned, skewed_join
+from chatloom.operators.columns import compute_once
 
 DEPTH = 3
+FIELDS = 8
 FIELD = "<*>"
 LEAST_TOKENS = 3
 LEAST_TEXTS = 3
-LEAST_TOKENS_TO_GENERALISE = 5
-LEAST_AGREEMENT = 0.8
+LEAST_TOKENS_TO_GENERALISE = 7
+LEAST_AGREEMENT = 0.75
 
 NO_ID = 2**63 - 1
 
 
 def masked(line: Column) -> Column:
     """Tokens joined by one blank, those with a digit replaced by the field mark."""
-    spaced = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*[0-9][^ ]*", FIELD)
+    # Most lines need neither step.
+    blanks = line.startswith(" ") | line.endswith(" ")
+    for odd in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        blanks = blanks | F.contains(line, F.lit(odd))
+    spaced = F.when(blanks, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+    return F.when(
+        F.regexp_like(spaced, F.lit("[0-9]")), F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*[0-9][^ ]*", FIELD)
+    ).otherwise(spaced)
 
 
 def _tokens(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, " ", "")) + 1
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+
+def _fields(line: Column, tokens: Column) -> Column:
+    """Hashes of the fields after the leading tokens, in order."""
+    rest = tokens - DEPTH
+    count = F.least(F.lit(FIELDS), rest)
+    end = lambda j: (F.floor(F.lit(j) * rest / count) + DEPTH).cast("int")
+    first = lambda text, number: F.call_function("substring_index", text, F.lit(" "), number)
+    # A negative number counts from the end.
+    field = lambda j: first(first(line, end(j + 1)), end(j) - end(j + 1))
+    return F.slice(F.array(*[F.hash(field(j)) for j in range(FIELDS)]), F.lit(1), count)
 
 
 def _parsed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(_id, _text, pos, template, leaf, n): a row per line that may recur."""
+    """(_id, _text, pos, template, leaf, fields): a row per line that may recur; leaf
+    and fields are null for lines that are too short to generalise."""
     lines = docs.select(
         F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_text"),
         F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"),
     )
-    parsed = lines.select("_id", "_text", "pos", masked(F.col("line")).alias("m"))
-    counted = parsed.withColumn("n", _tokens(F.col("m"))).filter(F.col("n") >= LEAST_TOKENS)
+    parsed = compute_once(lines.select("_id", "_text", "pos", "line"), m=masked(F.col("line")))
+    counted = compute_once(parsed, n=_tokens(F.col("m"))).filter(F.col("n") >= LEAST_TOKENS)
+    long_ = F.col("n") >= LEAST_TOKENS_TO_GENERALISE
     return counted.select(
         "_id", "_text", "pos", F.xxhash64("m").alias("template"),
-        F.xxhash64("n", F.substring_index("m", " ", DEPTH)).alias("leaf"), "n",
+        F.when(long_, F.xxhash64("n", F.substring_index("m", " ", DEPTH))).alias("leaf"),
+        F.when(long_, _fields(F.col("m"), F.col("n"))).alias("fields"),
     )
 
 
-def _generalised(docs: DataFrame, id: str, text: str, parsed: DataFrame, counts: DataFrame, least_texts: int) -> DataFrame:
-    """(template, leaf): templates that agree with their leaf's most frequent tokens.
+def _generalised(contested: DataFrame) -> DataFrame:
+    """(template, leaf) of the templates that agree with their leaf's usual fields.
 
-    Only leaves with several templates are looked at. One line of each template
-    is read again, from the first document that has it.
+    ``contested``: (template, leaf, texts, fields), a row per template.
     """
-    shared = counts.filter(F.col("n") >= LEAST_TOKENS_TO_GENERALISE).groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("templates"), F.sum("texts").alias("all_texts")
-    ).filter((F.col("templates") > 1) & (F.col("all_texts") >= least_texts))
-    contested = counts.filter(F.col("n") >= LEAST_TOKENS_TO_GENERALISE).join(shared.select("leaf"), "leaf", "left_semi")
-    first = contested.select("template", "texts", F.col("first").alias("_id"))
-    places = parsed.join(first, ["template", "_id"]).groupBy("template", "leaf", "_id", "texts").agg(
-        F.min(F.struct("_text", "pos")).alias("at")
-    ).groupBy("_id", F.col("at._text").alias("_text")).agg(
-        F.collect_list(F.struct("template", "leaf", "texts", F.col("at.pos").alias("pos"))).alias("wanted")
-    )
-    rows = docs.select(
-        F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_text"),
-        F.col(text).alias("_t"),
-    )
-    found = rows.join(places, ["_id", "_text"]).withColumn("_lines", F.split("_t", "\n")).select(
-        F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("_lines", w["pos"]).alias("line")))).alias("x")
-    )
-    lines = pinned(found.select(
-        "x.w.template", "x.w.leaf", "x.w.texts", F.split(masked(F.col("x.line")), " ").alias("tokens")
-    ).dropDuplicates(["template"]))
-    votes = lines.select("leaf", "texts", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(
+    votes = contested.select("leaf", "texts", F.posexplode("fields").alias("at", "value")).groupBy("leaf", "at", "value").agg(
         F.sum("texts").alias("votes")
     )
-    chosen = votes.groupBy("leaf", "at").agg(F.max(F.struct("votes", "token")).alias("top"))
+    # The greatest and the least of the most frequent values: if they differ, the
+    # field has no usual value.
+    chosen = votes.groupBy("leaf", "at").agg(
+        F.max(F.struct("votes", "value")).alias("top"), F.max(F.struct("votes", (-F.col("value").cast("bigint")).alias("value"))).alias("low")
+    ).select("leaf", "at", F.when(F.col("top.value") == -F.col("low.value"), F.col("top.value")).alias("value"))
     usual = chosen.groupBy("leaf").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("top.token").alias("token")))), lambda x: x["token"]).alias("usual")
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("usual")
     )
-    same = F.size(F.filter(F.zip_with("tokens", "usual", lambda a, b: a == b), lambda x: x))
-    agreeing = lines.join(usual, "leaf").filter(same >= F.lit(LEAST_AGREEMENT) * F.size("tokens"))
-    return agreeing.select("template", "leaf")
+    sizes = contested.groupBy("leaf").agg(F.count(F.lit(1)).alias("_templates"))
+    joined = skewed_join(contested, pinned(usual.join(sizes, "leaf")), ["leaf"], "_templates")
+    same = F.size(F.filter(F.zip_with("fields", "usual", lambda a, b: a == b), lambda x: x))
+    return joined.filter(same >= F.lit(LEAST_AGREEMENT) * F.size("fields")).select("template", "leaf")
 
 
-def recurring(parsed: DataFrame, docs: DataFrame, id: str, text: str, least_texts: int = LEAST_TEXTS) -> DataFrame:
-    """(template, first): the templates that recur and the document that keeps them."""
-    by_text = parsed.groupBy("template", "leaf", "n", "_text").agg(F.min("_id").alias("first"))
-    counts = pinned(by_text.groupBy("template", "leaf", "n").agg(
+def recurring_lines(parsed: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """(_id, _text, pos) of the lines to drop."""
+    by_text = parsed.groupBy("template", "leaf", "_text").agg(F.min("_id").alias("first"))
+    counts = pinned(by_text.groupBy("template", "leaf").agg(
         F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")
     ))
-    alone = counts.filter(F.col("texts") >= least_texts).select("template", "first")
-    merged = pinned(_generalised(docs, id, text, parsed, counts, least_texts))
+    shared = counts.filter("leaf IS NOT NULL").groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("templates"), F.sum("texts").alias("all_texts")
+    ).filter((F.col("templates") > 1) & (F.col("all_texts") >= least_texts))
+    contested = skewed_join(counts, pinned(shared.select("leaf", "templates")), ["leaf"], "templates").select(
+        "template", "texts", "first", F.lit(True).alias("contested")
+    )
+    wanted = contested.unionByName(
+        counts.filter(F.col("texts") >= least_texts).select("template", "texts", "first", F.lit(False).alias("contested"))
+    ).groupBy("template").agg(F.max("texts").alias("texts"), F.min("first").alias("first"), F.max("contested").alias("contested"))
+    wanted = pinned(wanted.withColumn("_lines", F.col("texts")))
+    # From here on only lines of templates that recur or may be generalised.
+    lines = pinned(skewed_join(parsed, wanted, ["template"], "_lines"))
+    examples = lines.filter("contested AND _id = first").select("template", "leaf", "texts", "fields").dropDuplicates(["template"])
+    merged = pinned(_generalised(pinned(examples)))
     # A text with two lines of one template counts once, so texts are counted anew.
-    members = parsed.select("template", "_id", "_text").join(merged, "template")
+    narrow = lines.select("template", "_id", "_text", "pos")
+    sizes = merged.join(wanted.select("template", "texts"), "template")
+    members = skewed_join(narrow, pinned(sizes), ["template"], "texts")
     groups = members.groupBy("leaf", "_text").agg(F.min("_id").alias("first")).groupBy("leaf").agg(
         F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")
     ).filter(F.col("texts") >= least_texts)
-    general = merged.join(groups, "leaf").select("template", "first")
-    return alone.unionByName(general).groupBy("template").agg(F.min("first").alias("first"))
+    general = merged.join(groups, "leaf").select("template", "texts", "first")
+    alone = wanted.filter(F.col("texts") >= least_texts).select("template", "texts", "first")
+    final = alone.unionByName(general).groupBy("template").agg(F.min("first").alias("first"), F.max("texts").alias("texts"))
+    return skewed_join(narrow, pinned(final), ["template"], "texts").filter("_id > first").select("_id", "_text", "pos")
 
 
 def drop_recurring_lines(
@@ -121,8 +146,7 @@ def drop_recurring_lines(
     report: bool = False,
 ) -> DataFrame:
     """The documents without recurring lines; ``report`` adds n_lines and n_dropped."""
-    parsed = pinned(_parsed(docs, id, text))
-    drops = parsed.join(recurring(parsed, docs, id, text, least_texts), "template").filter("_id > first")
+    drops = recurring_lines(pinned(_parsed(docs, id, text)), least_texts)
     per_row = drops.groupBy("_id", "_text").agg(F.collect_set("pos").alias("_drops"))
     rows = docs.select(
         F.struct(*docs.columns).alias("_row"),
