@@ -20,8 +20,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +31,7 @@ from chatloom.llm.common import BUCKET, buckets_of, hash_bucket, pinned, running
 
 MAX_TOKENS = 2048
 END_ID = 0
-CACHED_CHUNKS = 900_000
+CACHED_CHUNKS = 400_000
 
 # Where all characters are of these kinds, the tokenizer's own splitting of a
 # lower-cased text is what PARTS finds, and stops and commas that touch no other
@@ -80,18 +78,15 @@ class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
     The tokenizer never joins characters across white space, so a text's ids are
-    those of its white-space-free chunks, and chunks repeat. A Python worker keeps
-    one bounded cache for all its tasks.
+    those of its white-space-free chunks, and chunks repeat. The cache is bounded and
+    ends with its task: a reused Python worker must not keep it for later stages.
     """
 
     def __init__(self, path: str):
-        shared = sys.modules.setdefault("_token_ids", types.ModuleType("_token_ids")).__dict__
-        if path not in shared:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-            shared[path] = Chunks(Tokenizer.from_file(path))
-        self.chunks = shared[path]
+        self.chunks = Chunks(Tokenizer.from_file(path))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known, found = self.chunks.__getitem__, []
