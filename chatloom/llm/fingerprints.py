@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SAMPLES = 64
+TOGETHER = 8
 NOT_IN_WORDS = r"[^\p{L}\p{N}]+"
 LOW_BITS = 24
 
@@ -45,22 +46,23 @@ def weighted_words(df: DataFrame, text: str) -> DataFrame:
     return hashed.withColumn("_first", first).withColumn("_terms", F.transform("_first", run))
 
 
-def _uniform(bits: Column, shift: int, width: int) -> Column:
-    part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(2**width - 1).cast("bigint"))
-    return (part.cast("double") + 0.5) / F.lit(float(2**width))
+def _bits(hash: Column, shift: int, width: int) -> Column:
+    """Some bits of a hash as a number from 0.5 to 2**width - 0.5."""
+    return F.shiftrightunsigned(hash, shift).bitwiseAND(F.lit(2**width - 1).cast("bigint")).cast("double") + 0.5
 
 
 def sample(k: int, term: Column, log_weight: Column) -> Column:
     """Sample k's value of one weighted word; a text's sample is the minimum."""
     one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.ln(_uniform(one, 0, 24) * _uniform(one, 24, 24))
-    c = -F.ln(_uniform(two, 0, 24) * _uniform(two, 24, 24))
-    b = (_uniform(one, 48, 16) + _uniform(two, 48, 16) / 65536.0) * (65536.0 / 65537.0)
+    # Minus the logarithm of a product of two uniforms is Gamma(2, 1).
+    r = -F.ln(_bits(one, 0, 24) * _bits(one, 24, 24) * F.lit(2.0**-48))
+    c = -F.ln(_bits(two, 0, 24) * _bits(two, 24, 24) * F.lit(2.0**-48))
+    b = _bits(one, 48, 16) * F.lit(2.0**-16)
     t = F.floor(log_weight / r + b)
     value = F.ln(c) - r * (t.cast("double") - b + 1.0)
     # ln a lies in (-1000, 1000): 39 bits with 2**-28 as the unit, then 24 bits of (word, t).
-    high = F.floor((value + 1000.0) * F.lit(float(2**28))).cast("bigint")
-    low = F.xxhash64(term, t).bitwiseAND(F.lit(2**LOW_BITS - 1).cast("bigint"))
+    high = F.floor((value + 1000.0) * F.lit(2.0**28)).cast("bigint")
+    low = F.shiftrightunsigned(two, 40).bitwiseXOR(t).bitwiseAND(F.lit(2**LOW_BITS - 1).cast("bigint"))
     return F.shiftleft(high, LOW_BITS).bitwiseOR(low)
 
 
@@ -71,14 +73,21 @@ def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES
     them, what is shuffled is one partial minimum per row and sample.
     """
     rows = weighted_words(df.select(*keys, F.col(text).alias("_t")), "_t")
+    if samples % TOGETHER:
+        raise ValueError(f"samples must be a multiple of {TOGETHER}")
+    # A few samples at a time: the code of an aggregate of all would be too large to
+    # be compiled. Each group of samples hashes the word anew.
     terms = rows.select(*keys, F.explode_outer("_terms").alias("_x")).select(
-        *keys, F.col("_x.h").alias("_h"), F.col("_x.w").alias("_w")
+        *keys, F.col("_x.h").alias("_h"), F.col("_x.w").alias("_w"),
+        F.explode(F.sequence(F.lit(0), F.lit(samples // TOGETHER - 1))).alias("_part"),
+    ).withColumn("_h", F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_part")))
+    least = [F.min(sample(k, F.col("_h"), F.col("_w"))).alias(f"_s{k}") for k in range(TOGETHER)]
+    found = terms.groupBy(*keys, "_part").agg(*least)
+    some = F.struct("_part", F.array(*[f"_s{k}" for k in range(TOGETHER)]).alias("s"))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(some)), lambda x: x["s"]))
+    return found.groupBy(*keys).agg(whole.alias("_all")).select(
+        *keys, F.when(F.get("_all", F.lit(0)).isNotNull(), F.col("_all")).alias("signature")
     )
-    least = [F.min(sample(k, F.col("_h"), F.col("_w"))).alias(f"_s{k}") for k in range(samples)]
-    marked = F.max(F.col("_h").isNotNull()).alias("_any")
-    found = terms.groupBy(*keys).agg(marked, *least)
-    whole = F.array(*[f"_s{k}" for k in range(samples)])
-    return found.select(*keys, F.when(F.col("_any"), whole).alias("signature"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -114,7 +123,8 @@ def neighbour_fingerprints(
     last document is followed by the first.
     """
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts, least = _range_starts(docs, id, count)
+    # More ranges than partitions: hashing then deals them out evenly.
+    starts, least = _range_starts(docs, id, 4 * count)
     rows = docs.select(F.col(id).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     limits = F.array(*[F.lit(int(s)) for s in starts]).cast("array<bigint>")
     own = F.when(F.col("_id").isNull(), 0).otherwise(
