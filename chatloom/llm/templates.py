@@ -6,12 +6,17 @@ variable field. What follows the leading tokens is cut into up to ``FIELDS``
 fields, single tokens in a short line, runs of tokens in a longer one. In each
 leaf the value that most texts have in a field is the field's value, none if there
 is a tie; lines that agree with the leaf in three quarters of its fields share one
-template, whose other fields are variable as well. A line that shares none is its
-own template, with its digits as fields.
+template, whose other fields are variable as well. Beside it a leaf holds families:
+lines with the same values in the same three quarters of their fields share a
+template too, so a leaf yields as many as it has, whatever else stands in it. A
+line that shares none is its own template, with its digits as fields.
 
 A template that occurs in at least ``least_texts`` different texts recurs. It
 stays in the document with the smallest id that has it and is dropped from all
-others. Exact copies of a text count once: they are no recurring lines.
+others; a line of several templates stays where it is the first of each. Exact copies of a text count once: they are no recurring lines.
+
+The SQL of the query has the usual values only, no families; ``families`` off does
+the same.
 
 Only DataFrame operations. Lines and fields travel as hashes; the texts are
 shuffled once, by row key. Counts are partial aggregates; templates and leaves
@@ -26,6 +31,9 @@ rows; a document may be left with an empty text; further columns stay.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chatloom.llm.common import pinned, skewed_join
@@ -108,7 +116,31 @@ def _generalised(contested: DataFrame) -> DataFrame:
     return joined.filter(same >= F.lit(LEAST_AGREEMENT) * F.size("fields")).select("template", "leaf")
 
 
-def recurring_lines(parsed: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
+def _families(examples: DataFrame, least_texts: int) -> DataFrame:
+    """(template, group) of the templates that have the same values in the same share of
+    their fields as others of their leaf; a row per group of a template.
+
+    ``examples``: (template, leaf, texts, fields), a row per template.
+    """
+    hashes = [F.xxhash64(F.lit(i), F.get("fields", F.lit(i))) for i in range(FIELDS)]
+    placed = examples.select("template", "leaf", "texts", F.size("fields").alias("k"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
+    keys = F.lit(None).cast("array<bigint>")
+    for k in range(LEAST_TOKENS_TO_GENERALISE - DEPTH, FIELDS + 1):
+        subsets = []
+        for subset in combinations(range(k), ceil(LEAST_AGREEMENT * k)):
+            subsets.append(F.xxhash64("leaf", F.lit(sum(1 << i for i in subset)), *[f"h{i}" for i in subset]))
+        keys = F.when(F.col("k") == k, F.array(*subsets)).otherwise(keys)
+    keyed = pinned(placed.select("template", "texts", F.explode(keys).alias("key")))
+    # Sets of the same members, which differ in the fields compared only, become one.
+    sets = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("_members"), F.sum("texts").alias("texts"), F.bit_xor("template").alias("x"),
+        F.sum(F.pmod("template", F.lit(2**31 - 1))).alias("s"),
+    ).filter((F.col("_members") > 1) & (F.col("texts") >= least_texts))
+    sets = pinned(sets.select("key", "_members", F.xxhash64("_members", "x", "s").alias("group")))
+    return skewed_join(keyed.select("template", "key"), sets, ["key"], "_members").select("template", "group").distinct()
+
+
+def recurring_lines(parsed: DataFrame, least_texts: int = LEAST_TEXTS, families: bool = True) -> DataFrame:
     """(_id, _text, pos) of the lines to drop."""
     by_text = parsed.groupBy("template", "leaf", "_text").agg(F.min("_id").alias("first"))
     counts = pinned(by_text.groupBy("template", "leaf").agg(
@@ -127,15 +159,20 @@ def recurring_lines(parsed: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFr
     # From here on only lines of templates that recur or may be generalised.
     lines = pinned(skewed_join(parsed, wanted, ["template"], "_lines"))
     examples = lines.filter("contested AND _id = first").select("template", "leaf", "texts", "fields").dropDuplicates(["template"])
-    merged = pinned(_generalised(pinned(examples)))
+    examples = pinned(examples)
+    grouped = _generalised(examples).withColumnRenamed("leaf", "group")
+    if families:
+        grouped = grouped.unionByName(_families(examples, least_texts))
+    merged = pinned(grouped.groupBy("template").agg(F.collect_set("group").alias("groups")))
     # A text with two lines of one template counts once, so texts are counted anew.
     narrow = lines.select("template", "_id", "_text", "pos")
-    sizes = merged.join(wanted.select("template", "texts"), "template")
-    members = skewed_join(narrow, pinned(sizes), ["template"], "texts")
-    groups = members.groupBy("leaf", "_text").agg(F.min("_id").alias("first")).groupBy("leaf").agg(
+    sizes = merged.join(wanted.select("template", "texts"), "template").withColumn("texts", F.col("texts") * F.size("groups"))
+    members = skewed_join(narrow, pinned(sizes), ["template"], "texts").select("_id", "_text", F.explode("groups").alias("group"))
+    groups = pinned(members.groupBy("group", "_text").agg(F.min("_id").alias("first")).groupBy("group").agg(
         F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")
-    ).filter(F.col("texts") >= least_texts)
-    general = merged.join(groups, "leaf").select("template", "texts", "first")
+    ).filter(F.col("texts") >= least_texts).withColumn("_lines", F.col("texts")))
+    general = skewed_join(merged.select("template", F.explode("groups").alias("group")), groups, ["group"], "_lines")
+    general = general.select("template", "texts", "first")
     alone = wanted.filter(F.col("texts") >= least_texts).select("template", "texts", "first")
     final = alone.unionByName(general).groupBy("template").agg(F.min("first").alias("first"), F.max("texts").alias("texts"))
     return skewed_join(narrow, pinned(final), ["template"], "texts").filter("_id > first").select("_id", "_text", "pos")
@@ -143,10 +180,10 @@ def recurring_lines(parsed: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFr
 
 def drop_recurring_lines(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS,
-    report: bool = False,
+    families: bool = True, report: bool = False,
 ) -> DataFrame:
     """The documents without recurring lines; ``report`` adds n_lines and n_dropped."""
-    drops = recurring_lines(pinned(_parsed(docs, id, text)), least_texts)
+    drops = recurring_lines(pinned(_parsed(docs, id, text)), least_texts, families)
     per_row = drops.groupBy("_id", "_text").agg(F.collect_set("pos").alias("_drops"))
     rows = docs.select(
         F.struct(*docs.columns).alias("_row"),

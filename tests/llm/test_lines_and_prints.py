@@ -104,6 +104,20 @@ def test_leaves_generalise_varying_words(spark):
     assert kept_lines(spark, prose) == dict(prose)
 
 
+def test_a_leaf_holds_several_templates(spark):
+    hot = "Sign up today for the free weekly letter from us"
+    names = ["ann", "bob", "cem", "dee", "eva"]
+    rows = [(k, f"{hot}\nown {'abcdefgh'[k]} line") for k in range(8)]
+    rows += [(10 + k, f"Sign up today with {n} and friends to win prizes") for k, n in enumerate(names)]
+    # Two families of the same weight in one leaf, with eight fields.
+    rows += [(20 + k, f"Read more on this {n} page about green trees now") for k, n in enumerate(names)]
+    rows += [(30 + k, f"Read more on our {n} site with blue rivers instead") for k, n in enumerate(names)]
+    rows += [(40, "Sign up today to hear a very old story told")]
+    got = kept_lines(spark, rows)
+    assert {k for k, text in got.items() if text} == {*range(8), 10, 20, 30, 40}
+    assert all((hot in got[k]) == (k == 0) for k in range(8)) and got[10] == rows[8][1] and got[40] == rows[-1][1]
+
+
 def test_copies_count_once(spark):
     text = "a line that stands in copies only\nand one more such line here"
     assert set(kept_lines(spark, [(k, text) for k in range(5)]).values()) == {text}
