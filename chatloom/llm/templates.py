@@ -11,7 +11,9 @@ lines with the same values in the same three quarters of their fields share a
 template too, so a leaf yields as many as it has, whatever else stands in it. A
 line that shares none is its own template, with its digits as fields.
 
-A template that occurs in at least ``least_texts`` different texts recurs. It
+A template that occurs in at least ``least_texts`` different texts recurs; one of
+``LONG_TOKENS`` tokens or more does so from ``least_texts_long`` texts on. The unit
+is the whole line: a shared run within otherwise different lines stays. A template
 stays in the document with the smallest id that has it and is dropped from all
 others; a line of several templates stays where it is the first of each. Exact copies of a text count once: they are no recurring lines.
 
@@ -44,6 +46,8 @@ FIELDS = 8
 FIELD = "<*>"
 LEAST_TOKENS = 3
 LEAST_TEXTS = 3
+LONG_TOKENS = 50
+LEAST_TEXTS_LONG = 2
 LEAST_TOKENS_TO_GENERALISE = 7
 LEAST_AGREEMENT = 0.75
 
@@ -77,9 +81,10 @@ def _fields(line: Column, tokens: Column) -> Column:
     return F.slice(F.array(*[F.hash(field(j)) for j in range(FIELDS)]), F.lit(1), count)
 
 
-def _parsed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(_id, _text, pos, template, leaf, fields): a row per line that may recur; leaf
-    and fields are null for lines that are too short to generalise."""
+def _parsed(docs: DataFrame, id: str, text: str, least_texts: int, least_texts_long: int) -> DataFrame:
+    """(_id, _text, pos, least, template, leaf, fields): a row per line that may recur;
+    least is the number of texts from which it does; leaf and fields are null for lines
+    that are too short to generalise."""
     lines = docs.select(
         F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_text"),
         F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"),
@@ -88,7 +93,8 @@ def _parsed(docs: DataFrame, id: str, text: str) -> DataFrame:
     counted = compute_once(parsed, n=_tokens(F.col("m"))).filter(F.col("n") >= LEAST_TOKENS)
     long_ = F.col("n") >= LEAST_TOKENS_TO_GENERALISE
     return counted.select(
-        "_id", "_text", "pos", F.xxhash64("m").alias("template"),
+        "_id", "_text", "pos", F.when(F.col("n") >= LONG_TOKENS, least_texts_long).otherwise(least_texts).alias("least"),
+        F.xxhash64("m").alias("template"),
         F.when(long_, F.xxhash64("n", F.substring_index("m", " ", DEPTH))).alias("leaf"),
         F.when(long_, _fields(F.col("m"), F.col("n"))).alias("fields"),
     )
@@ -116,74 +122,75 @@ def _generalised(contested: DataFrame) -> DataFrame:
     return joined.filter(same >= F.lit(LEAST_AGREEMENT) * F.size("fields")).select("template", "leaf")
 
 
-def _families(examples: DataFrame, least_texts: int) -> DataFrame:
+def _families(examples: DataFrame) -> DataFrame:
     """(template, group) of the templates that have the same values in the same share of
     their fields as others of their leaf; a row per group of a template.
 
-    ``examples``: (template, leaf, texts, fields), a row per template.
+    ``examples``: (template, leaf, least, texts, fields), a row per template.
     """
     hashes = [F.xxhash64(F.lit(i), F.get("fields", F.lit(i))) for i in range(FIELDS)]
-    placed = examples.select("template", "leaf", "texts", F.size("fields").alias("k"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
+    placed = examples.select("template", "leaf", "least", "texts", F.size("fields").alias("k"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
     keys = F.lit(None).cast("array<bigint>")
     for k in range(LEAST_TOKENS_TO_GENERALISE - DEPTH, FIELDS + 1):
         subsets = []
         for subset in combinations(range(k), ceil(LEAST_AGREEMENT * k)):
             subsets.append(F.xxhash64("leaf", F.lit(sum(1 << i for i in subset)), *[f"h{i}" for i in subset]))
         keys = F.when(F.col("k") == k, F.array(*subsets)).otherwise(keys)
-    keyed = pinned(placed.select("template", "texts", F.explode(keys).alias("key")))
+    keyed = pinned(placed.select("template", "least", "texts", F.explode(keys).alias("key")))
     # Sets of the same members, which differ in the fields compared only, become one.
-    sets = keyed.groupBy("key").agg(
+    sets = keyed.groupBy("key", "least").agg(
         F.count(F.lit(1)).alias("_members"), F.sum("texts").alias("texts"), F.bit_xor("template").alias("x"),
         F.sum(F.pmod("template", F.lit(2**31 - 1))).alias("s"),
-    ).filter((F.col("_members") > 1) & (F.col("texts") >= least_texts))
+    ).filter((F.col("_members") > 1) & (F.col("texts") >= F.col("least")))
     sets = pinned(sets.select("key", "_members", F.xxhash64("_members", "x", "s").alias("group")))
     return skewed_join(keyed.select("template", "key"), sets, ["key"], "_members").select("template", "group").distinct()
 
 
-def recurring_lines(parsed: DataFrame, least_texts: int = LEAST_TEXTS, families: bool = True) -> DataFrame:
+def recurring_lines(parsed: DataFrame, families: bool = True) -> DataFrame:
     """(_id, _text, pos) of the lines to drop."""
-    by_text = parsed.groupBy("template", "leaf", "_text").agg(F.min("_id").alias("first"))
-    counts = pinned(by_text.groupBy("template", "leaf").agg(
+    enough = F.col("texts") >= F.col("least")
+    by_text = parsed.groupBy("template", "leaf", "least", "_text").agg(F.min("_id").alias("first"))
+    counts = pinned(by_text.groupBy("template", "leaf", "least").agg(
         F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")
     ))
-    shared = counts.filter("leaf IS NOT NULL").groupBy("leaf").agg(
+    shared = counts.filter("leaf IS NOT NULL").groupBy("leaf", "least").agg(
         F.count(F.lit(1)).alias("templates"), F.sum("texts").alias("all_texts")
-    ).filter((F.col("templates") > 1) & (F.col("all_texts") >= least_texts))
+    ).filter((F.col("templates") > 1) & (F.col("all_texts") >= F.col("least")))
     contested = skewed_join(counts, pinned(shared.select("leaf", "templates")), ["leaf"], "templates").select(
-        "template", "texts", "first", F.lit(True).alias("contested")
+        "template", "texts", "first", F.lit(True).alias("contested"), enough.alias("enough")
     )
     wanted = contested.unionByName(
-        counts.filter(F.col("texts") >= least_texts).select("template", "texts", "first", F.lit(False).alias("contested"))
-    ).groupBy("template").agg(F.max("texts").alias("texts"), F.min("first").alias("first"), F.max("contested").alias("contested"))
+        counts.filter(enough).select("template", "texts", "first", F.lit(False).alias("contested"), F.lit(True).alias("enough"))
+    ).groupBy("template").agg(F.max("texts").alias("texts"), F.min("first").alias("first"), F.max("contested").alias("contested"), F.max("enough").alias("enough"))
     wanted = pinned(wanted.withColumn("_lines", F.col("texts")))
     # From here on only lines of templates that recur or may be generalised.
     lines = pinned(skewed_join(parsed, wanted, ["template"], "_lines"))
-    examples = lines.filter("contested AND _id = first").select("template", "leaf", "texts", "fields").dropDuplicates(["template"])
+    examples = lines.filter("contested AND _id = first").select("template", "leaf", "least", "texts", "fields").dropDuplicates(["template"])
     examples = pinned(examples)
     grouped = _generalised(examples).withColumnRenamed("leaf", "group")
     if families:
-        grouped = grouped.unionByName(_families(examples, least_texts))
+        grouped = grouped.unionByName(_families(examples))
     merged = pinned(grouped.groupBy("template").agg(F.collect_set("group").alias("groups")))
     # A text with two lines of one template counts once, so texts are counted anew.
-    narrow = lines.select("template", "_id", "_text", "pos")
+    narrow = lines.select("template", "least", "_id", "_text", "pos")
     sizes = merged.join(wanted.select("template", "texts"), "template").withColumn("texts", F.col("texts") * F.size("groups"))
-    members = skewed_join(narrow, pinned(sizes), ["template"], "texts").select("_id", "_text", F.explode("groups").alias("group"))
-    groups = pinned(members.groupBy("group", "_text").agg(F.min("_id").alias("first")).groupBy("group").agg(
+    members = skewed_join(narrow, pinned(sizes), ["template"], "texts").select("least", "_id", "_text", F.explode("groups").alias("group"))
+    groups = pinned(members.groupBy("group", "least", "_text").agg(F.min("_id").alias("first")).groupBy("group", "least").agg(
         F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")
-    ).filter(F.col("texts") >= least_texts).withColumn("_lines", F.col("texts")))
+    ).filter(enough).select("group", "texts", "first", F.col("texts").alias("_lines")))
     general = skewed_join(merged.select("template", F.explode("groups").alias("group")), groups, ["group"], "_lines")
     general = general.select("template", "texts", "first")
-    alone = wanted.filter(F.col("texts") >= least_texts).select("template", "texts", "first")
+    alone = wanted.filter("enough").select("template", "texts", "first")
     final = alone.unionByName(general).groupBy("template").agg(F.min("first").alias("first"), F.max("texts").alias("texts"))
     return skewed_join(narrow, pinned(final), ["template"], "texts").filter("_id > first").select("_id", "_text", "pos")
 
 
 def drop_recurring_lines(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS,
-    families: bool = True, report: bool = False,
+    least_texts_long: int = LEAST_TEXTS_LONG, families: bool = True, report: bool = False,
 ) -> DataFrame:
     """The documents without recurring lines; ``report`` adds n_lines and n_dropped."""
-    drops = recurring_lines(pinned(_parsed(docs, id, text)), least_texts, families)
+    drops = recurring_lines(pinned(_parsed(docs, id, text, least_texts, least_texts_long)), families)
     per_row = drops.groupBy("_id", "_text").agg(F.collect_set("pos").alias("_drops"))
     rows = docs.select(
         F.struct(*docs.columns).alias("_row"),

@@ -118,6 +118,18 @@ def test_a_leaf_holds_several_templates(spark):
     assert all((hot in got[k]) == (k == 0) for k in range(8)) and got[10] == rows[8][1] and got[40] == rows[-1][1]
 
 
+def test_long_lines_recur_from_two_texts(spark):
+    long = " ".join(f"{a}{b}" for a in "abcdefg" for b in "stuvwxyz")
+    run = f"{long} but the line goes on"
+    rows = [(k, f"{long}\nshort one of two texts") for k in range(5)]  # copies count once
+    rows += [(10, f"{long}\nshort one of two texts\nmore"), (11, f"a start of its own {run}"), (12, f"another one {run}")]
+    got = kept_lines(spark, rows)
+    assert got[0] == rows[0][1] and all(got[k] == "short one of two texts" for k in range(1, 5))
+    assert got[10] == "short one of two texts\nmore"
+    assert (got[11], got[12]) == (rows[6][1], rows[7][1])  # the unit is the whole line
+    assert kept_lines(spark, rows, least_texts_long=3) == dict(rows)
+
+
 def test_copies_count_once(spark):
     text = "a line that stands in copies only\nand one more such line here"
     assert set(kept_lines(spark, [(k, text) for k in range(5)]).values()) == {text}
