@@ -15,7 +15,8 @@ Defined cases: a revisit without an earlier response is `unresolved`; one whose
 validators contradict the response is `mismatch`, one without any validator in
 common is `unverified` (both keep their own headers and have no page); a null
 address or time can resolve nothing; captures of one time are ordered by record
-number; null headers are an empty map, null values are kept as they are; header
+number; captures of any other kind, or of none, stay with outcome `full` and resolve
+nothing; null headers are an empty map, null values are kept as they are; header
 names are compared without case; an empty table gives no rows.
 """
 
@@ -115,7 +116,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     sources = rows.filter(F.col("kind") == "response").select(
         F.col("record_id").alias("source_id"), F.col("headers").alias("_headers"), F.col("page").alias("_page")
     ).join(copies, "source_id")
-    fixed = rows.filter(F.col("kind") != "revisit").withColumns({
+    fixed = rows.filter(~F.col("kind").eqNullSafe("revisit")).withColumns({
         "source_id": F.lit(None).cast("bigint"), "outcome": F.lit("full"),
     })
     asked = rows.filter(F.col("kind") == "revisit").join(found, "record_id", "left").join(sources, ["source_id", "_share"], "left")

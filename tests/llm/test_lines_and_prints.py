@@ -170,6 +170,12 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(docs.limit(0)).collect() == []
 
 
+def test_captures_without_a_kind_stay(spark):
+    rows = [(1, "http://x.org/", 1, None, {"A": "b"}, "page"), (2, "http://x.org/", 2, "revisit", None, None)]
+    got = plain(revisits.resolve_revisits(spark.createDataFrame(rows, revisits.RECORD_COLUMNS)).select("record_id", "kind", "outcome", "source_id", "page").collect())
+    assert got == plain([(1, None, "full", None, "page"), (2, "revisit", "unresolved", None, None)])
+
+
 def test_a_hot_address_is_cut_by_time(spark, conf):
     conf("spark.sql.shuffle.partitions", "16")
     records = spark.range(2000).select(
