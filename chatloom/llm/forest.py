@@ -15,8 +15,10 @@ all rows, of which there can only be few, are joined by broadcast.
 
 Defined cases: a text of one to four words has one shingle, all its words; null,
 empty and wordless texts link with nothing and are their own class; rows of one
-id and text share a decision; null ids come after all others; an empty table
-gives no rows; further columns stay in ``drop_near_duplicates``.
+id and text share a class; null ids come after all others; an empty table gives
+no rows. ``drop_near_duplicates`` keeps one row of each class of worded texts, that
+of the least (id, hash of the text) and among its repeats the one whose hash as
+JSON is least; rows without words all stay, and so do further columns.
 """
 
 from __future__ import annotations
@@ -171,9 +173,9 @@ def near_duplicate_classes(
     docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
     trees: int = TREES, recall: float = TARGET_RECALL, tile_shingles: int = TILE_SHINGLES,
 ) -> DataFrame:
-    """(_id, _text, class_id, n_links) for every row.
+    """(_id, _text, class_id, n_links, keeper) for every row.
 
-    class_id is the smallest id among the documents reachable by links; n_links
+    keeper is the class's least (_id, _text), null without words; class_id is the smallest id among the documents reachable by links; n_links
     counts the other documents linked directly, copies included. _id is the id,
     or the largest number for a null one; _text is the text's hash.
     """
@@ -236,19 +238,19 @@ def near_duplicate_classes(
     found_links = pinned(paired.groupBy("cluster", "one", "two").applyInPandas(compare, "a bigint, b bigint, links bigint"))
     groups = components(found_links.select("a", "b"))
     more = found_links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("_links"))
-    known = classes.select("node", "times", F.col("_at._id").alias("_first")).join(more, "node", "left").join(
+    known = classes.select("node", "times", F.col("_at").alias("_first")).join(more, "node", "left").join(
         groups.withColumnRenamed("vertex", "node"), "node", "left"
     )
     named = pinned(known.select(
         "node", F.coalesce("least", "node").alias("least"), "_first",
         "times", (F.col("times") - 1 + F.coalesce("_links", F.lit(0))).cast("bigint").alias("n_links"),
     ))
-    ids = named.groupBy("least").agg(F.min("_first").alias("class_id"), F.count(F.lit(1)).alias("_classes"))
-    result = pinned(skewed_join(named, ids, ["least"], "_classes", named.count()).select("node", "times", "n_links", "class_id"))
+    ids = named.groupBy("least").agg(F.min("_first").alias("keeper"), F.count(F.lit(1)).alias("_classes"))
+    result = pinned(skewed_join(named, ids, ["least"], "_classes", named.count()).select("node", "times", "n_links", "keeper"))
     linked = skewed_join(
         signed.filter("node IS NOT NULL").select("_id", "_text", "node"), result, ["node"], "times"
-    ).select("_id", "_text", "class_id", "n_links")
-    alone = signed.filter("node IS NULL").select("_id", "_text", F.col("_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    ).select("_id", "_text", F.col("keeper._id").alias("class_id"), "n_links", "keeper")
+    alone = signed.filter("node IS NULL").select("_id", "_text", F.col("_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("struct<_id:bigint,_text:bigint>").alias("keeper"))
     return linked.unionByName(alone)
 
 
@@ -260,11 +262,21 @@ def near_duplicate_join(docs: DataFrame, *, id: str = "doc_id", **options) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class: the one with the smallest id. All columns stay."""
+    """One row of each class, that of the smallest id. All columns stay."""
     found = near_duplicate_classes(docs, id=id, text=text, **options)
-    kept = found.filter("_id = class_id").select("_id", "_text").distinct()
+    kept = pinned(found.filter("keeper IS NULL OR (_id = keeper._id AND _text = keeper._text)").groupBy("_id", "_text").agg(
+        ((F.count(F.lit(1)) > 1) & F.bool_and(F.col("keeper").isNotNull())).alias("repeated")
+    ))
     rows = docs.select(
         F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("_id"),
         F.xxhash64(text).alias("_text"),
     )
-    return rows.join(kept, ["_id", "_text"], "left_semi").select("_row.*")
+    single = rows.join(kept.filter("NOT repeated"), ["_id", "_text"], "left_semi").select("_row")
+    repeated = kept.filter("repeated")
+    if not repeated.isEmpty():
+        # Partial aggregates: a row repeated often meets in no one task.
+        one = rows.join(repeated, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(
+            F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")
+        )
+        single = single.unionByName(one.select("_row"))
+    return single.select("_row.*")

@@ -103,6 +103,20 @@ def test_odd_documents(spark):
     assert forest.near_duplicate_join(empty).collect() == [] and forest.drop_near_duplicates(empty).collect() == []
 
 
+def test_one_row_of_each_class_stays(spark):
+    base = [f"w{k}" for k in range(120)]
+    near = [" ".join([*base, *[f"x{j}"] * j]) for j in range(4)]
+    other = " ".join(f"u{k}" for k in range(60))
+    rows = [(None, t) for t in near + near[:2]]  # a class of null ids
+    rows += [(7, other), (7, other + " more"), (7, other), (8, other), (9, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    kept = [tuple(r) for r in forest.drop_near_duplicates(docs).collect()]
+    assert len([r for r in kept if r[0] is None]) == 1 and len([r for r in kept if r[0] == 7]) == 1
+    assert plain(r for r in kept if r[0] in (8, 9)) == plain([(9, None), (9, ""), (9, "")])
+    tied = spark.createDataFrame([(1, other, x) for x in "abc"], "doc_id BIGINT, text STRING, source STRING")
+    assert forest.drop_near_duplicates(tied).collect() == forest.drop_near_duplicates(tied.orderBy(F.desc("source"))).collect()
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = np.random.default_rng(0)
     chain = [(k, k + 1) for k in range(100, 160)]
