@@ -1,16 +1,19 @@
-"""Near-duplicate documents by a MinHash LSH forest with exact verification.
+"""Near-duplicate documents by MinHash bands with exact verification.
 
 A document is its set of five-word shingles; equal sets are one class. Each class
-gets a signature of ``trees`` prefixes. The forest starts from prefixes of
-``most_depth`` values and shortens them until a pair at the threshold shares a
-prefix in some tree with at least the target recall. Sorted by their prefixes,
-the members of a trie node at that depth are candidates of each other; they are
-joined to the node's least member, and connected candidates form a cluster. All
-pairs of a cluster are then compared exactly, tile by tile, on the whole sets.
+gets a signature of ``trees`` prefixes, all of one depth: the longest at which a
+pair at the threshold shares a prefix in some tree with at least the target recall,
+worked out from the parameters. This takes the place of an LSH forest, whose depth
+follows the data: the longest prefix that has the recall for every pair is known
+beforehand, and a group of any size under one prefix is cut into tiles anyway.
+Documents of one prefix, found by the hash of its values, are candidates of each
+other; they are joined to the prefix's least member, and connected candidates form
+a cluster. All pairs of a cluster are then compared exactly, tile by tile, on the
+whole sets.
 
 A tile pair returns counts and a spanning forest of its links, never the links,
 so a group of thousands of copies costs comparisons but no rows. Tiles hold a
-bounded number of shingles; trie nodes, clusters and classes with a large share of
+bounded number of shingles; prefixes, clusters and classes with a large share of
 all rows, of which there can only be few, are joined by broadcast.
 
 Defined cases: a text of one to four words has one shingle, all its words; null,
