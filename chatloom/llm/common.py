@@ -49,7 +49,6 @@ def running_total(
     )
 
 
-
 def skewed_join(
     rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int | None = None
 ) -> DataFrame:
@@ -59,17 +58,21 @@ def skewed_join(
     sum, where the caller knows it or a bound near it. Keys with at
     least a quarter of a partition's fair share of all weights are joined by
     broadcast: by that definition they are at most four times as many as there
-    are partitions. All other keys are too small to skew a shuffle. Both inputs
-    are read twice; pin what is costly.
+    are partitions, so they are read first and no branch is planned for keys that
+    do not exist. All other keys are too small to skew a shuffle. The table is read
+    up to three times, and rows twice where there are hot keys; pin what is costly.
     """
-    parts = buckets_of(rows.sparkSession)
+    spark = rows.sparkSession
+    parts = buckets_of(spark)
     if total is None:
         total = table.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) * (4 * parts) >= F.lit(total)
-    few = table.filter(hot).withColumn("_hot", F.lit(True))
-    few = few.drop(weight) if weight not in keys else few
-    more = [c for c in few.columns if c not in keys]
-    marked = rows.join(F.broadcast(few), keys, "left")
+    plain = table if weight in keys else table.drop(weight)
+    few = table.filter(hot).select(*plain.columns).collect()
+    if not few:
+        return rows.join(plain, keys)
+    known = spark.createDataFrame(few, plain.schema).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(known), keys, "left")
     easy = marked.filter("_hot").drop("_hot")
-    rest = marked.filter("_hot IS NULL").drop(*more).join(table.filter(~hot).drop(weight), keys)
+    rest = marked.filter("_hot IS NULL").select(*rows.columns).join(table.filter(~hot).select(*plain.columns), keys)
     return easy.unionByName(rest)

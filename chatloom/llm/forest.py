@@ -205,7 +205,7 @@ def near_duplicate_classes(
     )
     texts = docs.select(
         F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_text"), F.col(text).alias("_t")
-    ).join(meetings, ["_id", "_text"])
+    ).join(meetings, ["_id", "_text"]).dropDuplicates(["_id", "_text"])  # of a row repeated under one id, one
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}

@@ -3,24 +3,57 @@
 Large stars join the greater neighbours of each vertex to its least neighbour,
 small stars the lesser ones; after a number of rounds that grows with the
 logarithm of the longest chain, all links of a component lead to its least
-vertex. Each round is pinned in the shared folder. No component and no
-neighbourhood is gathered: minima are partial aggregates, and a hub's links meet
-its minimum by broadcast.
+vertex. Before the first round each task contracts the links it holds to stars of
+its own. The least neighbours and the links are pinned in the shared folder
+between the steps, so that no plan holds more than one join, and a round is only
+begun for links that are not stars yet. No component and no neighbourhood is
+gathered: minima are partial aggregates, and a hub's links meet its minimum by
+broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chatloom.llm.common import pinned, skewed_join
 
 LINKS_IN_FILE = 200_000
+CONTRACTED_LINKS = 500_000
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """The links of each task as stars, a bounded number of links at a time."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+            vertices, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = local_roots(len(vertices), at[:len(a)], at[len(a):])
+            leaf = np.flatnonzero(root != np.arange(len(vertices)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(vertices[root[leaf]]), pa.array(vertices[leaf])], names=["a", "b"]
+            )
 
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= CONTRACTED_LINKS:
+                yield forest(held)
+                held, count = [], 0
+        if count:
+            yield forest(held)
 
-def _least_of(pairs: DataFrame, by: str, other: str, total: int) -> DataFrame:
-    least = pairs.groupBy(by).agg(F.least(F.min(other), F.col(by)).alias("least"), F.count(F.lit(1)).alias("_links"))
-    return skewed_join(pairs, least, [by], "_links", total)
+    return links.mapInArrow(stars, "a bigint, b bigint")
+
+
+def _least_neighbours(pairs: DataFrame, by: str, other: str) -> DataFrame:
+    """Per vertex its least neighbour, or itself if that is less, and how many links it has."""
+    return pairs.groupBy(by).agg(F.least(F.min(other), F.col(by)).alias("least"), F.count(F.lit(1)).alias("_links"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,26 +61,28 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has two bigint columns a and b; order and repeats do not matter.
     """
-    stars = links.filter("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
-    stars, before = pinned(stars), None
+    several = links.filter("a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
+    stars = pinned(_contracted(several).distinct())
     while True:
-        mark = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        count = mark[0]
-        large = _least_of(both, "a", "b", 2 * count).filter("b > a").select(F.col("least").alias("a"), "b").distinct()
-        near = _least_of(large, "b", "a", count)
-        small = near.select(F.col("least").alias("a"), "b").unionByName(
-            near.filter("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
-        ).distinct()
+        vertices = pinned(_least_neighbours(both, "a", "b"))
+        # Links are stars when all vertices but the centres have one link.
+        ends, open_ = vertices.agg(F.sum("_links"), F.count_if(F.expr("_links > 1 AND least < a"))).first()
+        if not open_:
+            return vertices.select(F.col("a").alias("vertex"), "least")
         # Links are narrow and grow few: they need no more files than their number asks for.
-        stars = pinned(small.coalesce(max(8, count // LINKS_IN_FILE)))
-    roots = stars.select(F.col("a").alias("vertex"), F.col("a").alias("least")).distinct()
-    return stars.select(F.col("b").alias("vertex"), F.col("a").alias("least")).unionByName(roots)
+        files = max(8, ends // (2 * LINKS_IN_FILE))
+        large = pinned(
+            skewed_join(both, vertices, ["a"], "_links", ends).filter("b > a")
+            .select(F.col("least").alias("a"), "b").distinct().coalesce(files)
+        )
+        nearest = pinned(_least_neighbours(large, "b", "a").coalesce(files))
+        near = skewed_join(large, nearest, ["b"], "_links", ends // 2)
+        # Of a link (a, b) with b's least neighbour: (least, b), and (least, a) where a is another.
+        stars = pinned(near.select(F.explode(F.array(
+            F.struct(F.col("least").alias("a"), F.col("b").alias("b")),
+            F.struct(F.col("least").alias("a"), F.col("a").alias("b")),
+        )).alias("_l")).select("_l.*").filter("a <> b").distinct().coalesce(files))
 
 
 def local_roots(count: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
