@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import conversations, embeddings, fingerprints, forest, language, mixing, packing, pii, revisits, templates, toxicity
+from chatloom.llm import conversations, embeddings, fingerprints, forest, language, mixing, packing, pii, revisits, spelling, templates, toxicity
 from chatloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,11 @@ def op10_source_mixing(spark, table):
     return mixing.mix(table("documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register
+def op12_spelling_variants(spark, table):
+    return spelling.spelling_variants(table("documents"), slip_every=199)
+
+
 @register
 def op13_conversation_repair(spark, table):
     rows = table("conversations")
