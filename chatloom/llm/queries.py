@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import conversations, embeddings, fingerprints, forest, language, mixing, packing, pii, revisits, spelling, templates, toxicity
-from chatloom.session import tune
+from chatloom.llm import conversations, embeddings, fingerprints, forest, language, mixing, packing, pii, revisits, spelling, templates, tokens, toxicity
+from chatloom.session import fresh_folder, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -111,6 +111,13 @@ def op10_source_mixing(spark, table):
     return mixing.mix(table("documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register
+def op11_token_files(spark, table):
+    path = fresh_folder(spark, "token-files")
+    tokens.write_tokens(table("documents"), path)
+    return tokens.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @register
 def op12_spelling_variants(spark, table):
     return spelling.spelling_variants(table("documents"), slip_every=199)
