@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from chatloom.llm.common import BUCKET, buckets_of, hash_bucket, pinned, running
 
 MAX_TOKENS = 2048
 END_ID = 0
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 128_000
 
 # Where all characters are of these kinds, the tokenizer's own splitting of a
 # lower-cased text is what PARTS finds, and stops and commas that touch no other
@@ -53,24 +54,36 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Chunks(dict):
-    """Ids by chunk, worked out when first asked for; forgets all when full."""
+    """Ids by chunk, worked out when first asked for.
+
+    When full, it begins anew and keeps the last generation aside, so chunks in use stay.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def _ids(self, chunk: str) -> list[int]:
+        if chunk.isascii() and chunk.isalpha():
+            return [token.id for token in self.model.tokenize(chunk.lower())]
         if PLAIN.fullmatch(chunk):
             parts = [chunk] if chunk.isalpha() else PARTS.findall(chunk.lower())
-            ids = [
+            return [
                 token.id for part in parts
                 for token in self.model.tokenize(part.lower().encode().decode("latin-1").translate(BYTE_NAMES))
             ]
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            ids = self._ids(chunk)
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHED_CHUNKS:
+            self.older = dict(self)
             self.clear()
-        found = self[chunk] = np.array(ids, dtype="<u4").tobytes()
+        self[chunk] = found
         return found
 
 

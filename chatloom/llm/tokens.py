@@ -43,8 +43,9 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
 )
 
-from chatloom.llm.common import buckets_of, pinned
+from chatloom.llm.common import buckets_of
 from chatloom.llm.packing import ChunkEncoder, tokenizer_path
+from chatloom.session import fresh_folder
 
 FORMAT = "chatloom_tokens"
 END_ID = 2
@@ -302,11 +303,14 @@ def write_tokens(
     tokenizer = tokenizer or tokenizer_path()
     highest = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab().values())
     width = "<u2" if highest < 1 << 16 else "<u4"
-    encoded = pinned(encode(docs, tokenizer, id=id, text=text, end_id=end_id, width=width))
+    # Ids in few distinct values: compressed, a stored table is smaller than a checkpoint.
+    stored = fresh_folder(spark, "token-ids")
+    encode(docs, tokenizer, id=id, text=text, end_id=end_id, width=width).write.option("compression", "zstd").parquet(stored)
+    encoded = spark.read.schema("doc_id bigint, ids binary").parquet(stored)
     counted = sorted((-r["n"], r["token"]) for r in frequencies(encoded, width).collect())
     ranks = f"ranks-{uuid.uuid4().hex}.bin"
     _write(path, ranks, np.array([token for _, token in counted], dtype="<u4").tobytes())
-    # The place in the pinned rows cuts even repeated rows of one id.
+    # The place in the stored rows cuts even repeated rows of one id.
     keyed = encoded.select("doc_id", F.xxhash64("ids").alias("_hash"), F.monotonically_increasing_id().alias("_place"), "ids")
     order = ["doc_id", "_hash", "_place"]
     dealt = keyed.repartitionByRange(buckets_of(spark), *order).sortWithinPartitions(*order)
