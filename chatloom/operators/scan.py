@@ -7,9 +7,12 @@ gets the carry of the earlier slices. Only the first group of a slice can have
 begun earlier: there are fewer carry rows than slices, whatever the data, so the
 carry is safe to broadcast.
 
-Where the slices begin is read off a sample of the order key of bounded size. The
-slice number is then an expression of the row, so a lost task works it out again
-and nothing has to be stored. All rows are shuffled once.
+Where the slices begin is read off a weighted sample of the order key, which one
+narrow job takes without a count: each task puts its rows into a fixed number of
+random lots and keeps one row per lot and the lot's size. The slice number is then
+an expression of the row, found by halving among the sorted starts, so a row costs
+the logarithm of the number of slices, a lost task works it out again and nothing
+has to be stored. All rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 SLICE = "_slice"
 SAMPLED_PER_SLICE = 60
+LOTS_PER_TASK = 400
 
 
 @dataclass(frozen=True)
@@ -65,20 +69,70 @@ class Slices:
         return joined.drop(*[f"{key}_of_carry" for key in self.keys])
 
 
-def slice_starts(df: DataFrame, keys: list[str], slices: int) -> Column:
-    """Up to ``slices`` - 1 keys, evenly spread over the table, as an array of structs.
+def starts_at_or_before(starts: Column, count: int, own: Column) -> Column:
+    """How many of ``count`` ascending starts are at most ``own``, in as many steps as count has bits."""
+    if not count:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(count.bit_length()))])
 
-    The sample has about ``SAMPLED_PER_SLICE`` narrow rows per slice. It decides
-    only where slices begin, never what a scan returns.
+    def place(key: Column) -> Column:
+        further = lambda at, step: F.when(F.get(starts, at + step - F.lit(1)) <= key, at + step).otherwise(at)
+        return F.aggregate(steps, F.lit(0), further)
+
+    # As a lambda's argument the key is made once per row, not once per step.
+    return F.get(F.transform(F.array(own), place), F.lit(0))
+
+
+def _weighted_sample(df: DataFrame, keys: list[str], slices: int) -> DataFrame:
+    """One row: the sampled keys in order, each with the rows it stands for and as texts.
+
+    A task keeps at most as many rows as it has lots. Tasks are about as many as there
+    are slices; where there are fewer, each has more lots.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    lots = max(LOTS_PER_TASK, SAMPLED_PER_SLICE * slices // tasks)
+    drawn = df.select(
+        *keys, F.spark_partition_id().alias("_task"), F.floor(F.rand(1) * lots).cast("int").alias("_lot"), F.rand(2).alias("_draw")
+    )
+    # One aggregate per column: numbers and times then need no sort.
+    kept = drawn.groupBy("_task", "_lot").agg(
+        *[F.min_by(key, "_draw").alias(key) for key in keys], F.count(F.lit(1)).alias("_rows")
+    )
+    texts = [F.hex(field.name) if _in_hex(field) else F.col(field.name).cast("string") for field in df.select(*keys).schema]
+    return kept.agg(F.sort_array(F.collect_list(
+        F.struct(F.struct(*keys).alias("key"), F.col("_rows").alias("rows"), F.array(*texts).alias("texts"))
+    )).alias("sample"))
+
+
+def _in_hex(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.StringType, T.BinaryType))
+
+
+def _literal(texts: list[str | None], schema: T.StructType) -> str:
+    """A sampled key as SQL; letters and bytes as hexadecimal digits, so nothing has to be escaped."""
+    values = []
+    for text, field in zip(texts, schema):
+        plain = "NULL" if text is None else f"X'{text}'" if _in_hex(field) else f"'{text}'"
+        values.append(f"CAST({plain} AS {field.dataType.simpleString()})")
+    return f"struct({', '.join(values)})"
+
+
+def slice_starts(df: DataFrame, keys: list[str], slices: int) -> tuple[Column, int]:
+    """Up to ``slices`` - 1 keys, evenly spread over the table's rows, as an array of structs.
+
+    The sample decides only where slices begin, never what a scan returns.
     """
-    narrow = df.select(*keys)
-    rows = narrow.count()
-    share = min(1.0, SAMPLED_PER_SLICE * slices / max(rows, 1))
-    found = narrow.sample(share, seed=1).orderBy(*keys).collect()
-    starts = [found[k * len(found) // slices] for k in range(1, slices)] if found else []
-    kind = narrow.schema.simpleString()
-    made = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, narrow.schema)]) for row in starts]
-    return F.array(*made).cast(f"array<{kind}>")
+    sample = _weighted_sample(df, keys, slices).first()["sample"]
+    total, before, starts = sum(row["rows"] for row in sample), 0, []
+    for row in sample:
+        # This key begins the next slice once its share of the rows lies before it.
+        if before and len(starts) < slices - 1 and before * slices >= (len(starts) + 1) * total:
+            starts.append(row["texts"])
+        before += row["rows"]
+    schema = df.select(*keys).schema
+    # One expression, folded to one literal, however many starts there are.
+    made = F.expr(f"array({', '.join(_literal(texts, schema) for texts in starts)})")
+    return made.cast(f"array<{schema.simpleString()}>"), len(starts)
 
 
 def slice_rows(
@@ -88,9 +142,9 @@ def slice_rows(
     group = group or []
     keys = [*group, *order]
     count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts = slice_starts(df, keys, count)
-    own = F.struct(*keys)
-    return Slices(df.withColumn(SLICE, F.size(F.filter(starts, lambda s: s <= own))), group, order)
+    starts, found = slice_starts(df, keys, count)
+    own = F.struct(*keys).cast(df.select(*keys).schema.simpleString())
+    return Slices(df.withColumn(SLICE, starts_at_or_before(starts, found, own)), group, order)
 
 
 def running_sum(

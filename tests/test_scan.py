@@ -133,3 +133,48 @@ def test_throughput_in_pieces_equals_the_whole(spark, slicing):
 def test_tokens_per_step():
     assert throughput.tokens_per_step(8192, 1, 8, 8) == 524288
     assert throughput.tokens_per_step(8192, 2, 0, 0) == 16384
+
+
+def test_ten_thousand_slices_cost_the_logarithm(spark):
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("k"), F.col("id").cast("string").alias("s"))
+    sliced = scan.slice_rows(df, ["k", "s"], slices=10_000)
+    sizes = [r["count"] for r in sliced.rows.groupBy("_slice").count().collect()]
+    assert len(sizes) > 5000 and max(sizes) < 100
+    keys, found = scan.slice_starts(df, ["k", "s"], 10_000)
+    # One step per bit of the number of starts, one literal for all of them.
+    place = scan.starts_at_or_before(keys, found, F.struct("k", "s")).alias("place")
+    plan = df.select(place)._jdf.queryExecution().optimizedPlan().toString()
+    assert "X'" not in plan and f"[{','.join(str(1 << b) for b in range(found.bit_length() - 1, -1, -1))}]" in plan
+    assert found.bit_length() <= 14
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 3, 7, 8, 100])
+def test_halving_finds_the_slice(spark, count):
+    starts = F.array(*[F.lit(3 * k) for k in range(count)]).cast("array<bigint>")
+    got = spark.range(310).select("id", scan.starts_at_or_before(starts, count, F.col("id")).alias("n")).collect()
+    assert [r["n"] for r in got] == [min(count, r["id"] // 3 + 1) for r in got]
+
+
+def test_one_job_places_the_slices(spark):
+    df = spark.createDataFrame(hot_rows(), "g INT, a INT, b INT, v INT")
+    tracker, group = spark.sparkContext.statusTracker(), "one-job"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        scan.number_rows(df, "n", ["a", "b"], ["g"], slices=7)
+        # The sample and its sort: the stages of one query, and no count before it.
+        assert len(tracker.getJobIdsForGroup(group)) <= 3
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_keys_of_all_types_keep_their_order(spark):
+    rows = [
+        (None if k % 9 == 0 else f"gé\"{k % 5}\n", dt.datetime(2024, 1, 1, 0, 0, k % 3, k), bytearray([k % 250, 0, 255]),
+         None if k % 7 == 0 else [float("nan"), float("inf"), k / 3][k % 3], dt.date(2024, 1, 1 + k % 28), k)
+        for k in range(300)
+    ]
+    df = spark.createDataFrame(rows, "g STRING, t TIMESTAMP, b BINARY, d DOUBLE, y DATE, k INT").withColumn("n", F.col("t").cast("timestamp_ntz"))
+    order = ["t", "n", "b", "d", "y", "k"]
+    whole = scan.number_rows(df, "at", order, ["g"], slices=1).select("k", "at").collect()
+    cut = scan.number_rows(df, "at", order, ["g"], slices=40).select("k", "at").collect()
+    assert sorted(whole) == sorted(cut)

@@ -433,15 +433,23 @@ def repair_summary(spark, sf_dir):
 # ---- throughput and packing ------------------------------------------------
 
 
+def _train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as it is kept: its rows are numbered once and stored."""
+    path = fresh_folder(spark, "train-log")
+    log = views.train_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    writers.save_table(log.select(*schemas.TRAIN_LOG.fieldNames()), path)
+    return readers.read_table(spark, path, schema=schemas.TRAIN_LOG)
+
+
 @query
 def tokens_per_sec(spark, sf_dir):
-    rates = throughput.throughput(views.train_log(spark, sf_dir), TOKENS_IN_STEP)
+    rates = throughput.throughput(_train_log(spark, sf_dir), TOKENS_IN_STEP)
     return rates.select("run_id", "log_id", "step", _rounded("tokens_per_sec", 4))
 
 
 @query
 def tokens_per_sec_avg(spark, sf_dir):
-    rates = throughput.throughput(views.train_log(spark, sf_dir), TOKENS_IN_STEP)
+    rates = throughput.throughput(_train_log(spark, sf_dir), TOKENS_IN_STEP)
     return rates.select("run_id", "log_id", _rounded("tokens_per_sec_avg", 4))
 
 
