@@ -10,9 +10,11 @@ collected; as every turn costs at least its marks, a collected chat has at most
 
 from __future__ import annotations
 
+import time
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from chatloom.functions import chat, text
 from chatloom.functions.tokens import TokenCounter, count_tokens, turn_tokens
@@ -28,6 +30,58 @@ Summarize = Callable[[DataFrame], DataFrame]
 MAX_SEQ_LEN = 8192
 
 
+# The outcomes of a chat, those of the screen and those of the draft.
+SCREENED = ("no_messages", "no_reply", "no_code", "other_language")
+DRAFTED = ("too_long", "kept")
+
+
+class Funnel:
+    """Chats per outcome, counted by the run that writes them.
+
+    Hand it to ``prepare_chats`` or ``prepare_turns`` and ask after the rows have been
+    written: the counts are metrics observed in front of the filters, so nothing is
+    computed twice. A task that runs again after a loss may be counted again;
+    ``funnel`` counts anew where that matters.
+    """
+
+    PATIENCE = 30.0
+
+    def __init__(self):
+        self._observed: list[tuple[Observation, tuple[str, ...], DataFrame]] = []
+
+    def watch(self, rows: DataFrame, outcomes: tuple[str, ...]) -> DataFrame:
+        """Rows as they are, with their ``reason`` (null: kept) observed."""
+        observation = Observation()
+        counts = [F.count_if(F.coalesce("reason", F.lit("kept")) == name).alias(name) for name in outcomes]
+        self._observed.append((observation, outcomes, rows))
+        return rows.observe(observation, *counts)
+
+    def chats(self) -> dict[str, int]:
+        """Chats per outcome that occurred, once the run has ended."""
+        total: Counter[str] = Counter()
+        for observation, outcomes, rows in self._observed:
+            total.update(self._arrived(observation) or self._counted(rows, outcomes))
+        return {name: n for name, n in total.items() if n}
+
+    def _arrived(self, observation: Observation) -> dict[str, int] | None:
+        """Metrics come shortly after the run's end, unless its plan lost them: where
+        nothing passes, later stages are cut off at run time."""
+        until = time.monotonic() + self.PATIENCE
+        future = observation._jo.future()
+        while not future.isCompleted() and time.monotonic() < until:
+            time.sleep(0.02)
+        return observation.get if future.isCompleted() else None
+
+    @staticmethod
+    def _counted(rows: DataFrame, outcomes: tuple[str, ...]) -> dict[str, int]:
+        found = rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("outcome")).count().collect()
+        return {r["outcome"]: r["count"] for r in found if r["outcome"] in outcomes}
+
+
+def _watched(rows: DataFrame, seen: Funnel | None, outcomes: tuple[str, ...]) -> DataFrame:
+    return rows if seen is None else seen.watch(rows, outcomes)
+
+
 def think_as_summary(df: DataFrame) -> DataFrame:
     """Stand-in summary without a model: the sanitised reasoning text itself."""
     return df.withColumn("summary", text.sanitize_explanation(F.coalesce("think", F.lit(""))))
@@ -150,6 +204,7 @@ def prepare_chats(
     counter: TokenCounter = count_tokens,
     done: DataFrame | None = None,
     part_turns: int = PART_TURNS,
+    seen: Funnel | None = None,
 ) -> DataFrame:
     """Training chats from chat rows.
 
@@ -161,12 +216,12 @@ def prepare_chats(
         options = (language, max_seq_len, summarize, default_system, counter, done)
         whole = chats.filter("coalesce(parts, 1) <= 1").drop("part", "parts")
         turns = explode_turns(chats.filter("parts > 1"), part_turns)
-        return prepare_chats(whole, *options).unionByName(prepare_turns(turns, *options))
+        return prepare_chats(whole, *options, seen=seen).unionByName(prepare_turns(turns, *options, seen=seen))
     if done is not None:
         chats = not_done(chats, done, "source_idx")
-    asked = screen(profile_chats(chats, counter), language).filter("reason IS NULL")
-    drafted = draft(asked, max_seq_len, summarize, default_system, counter)
-    return finish(drafted.filter("reason IS NULL"), default_system)
+    screened = _watched(screen(profile_chats(chats, counter), language), seen, SCREENED)
+    drafted = draft(screened.filter("reason IS NULL"), max_seq_len, summarize, default_system, counter)
+    return finish(_watched(drafted, seen, DRAFTED).filter("reason IS NULL"), default_system)
 
 
 def prepare_turns(
@@ -177,14 +232,14 @@ def prepare_turns(
     default_system: str = CHAT_DEFAULT_SYSTEM,
     counter: TokenCounter = count_tokens,
     done: DataFrame | None = None,
+    seen: Funnel | None = None,
 ) -> DataFrame:
     """Training chats from flat turns. Finished chats leave before any token is counted."""
     if done is not None:
         turns = not_done(turns, done, "source_idx")
-    profile = profile_turns(turns, counter)
-    asked = screen(profile, language).filter("reason IS NULL")
-    drafted = draft(asked, max_seq_len, summarize, default_system, counter)
-    kept = drafted.filter("reason IS NULL").select(
+    screened = _watched(screen(profile_turns(turns, counter), language), seen, SCREENED)
+    drafted = draft(screened.filter("reason IS NULL"), max_seq_len, summarize, default_system, counter)
+    kept = _watched(drafted, seen, DRAFTED).filter("reason IS NULL").select(
         "source_idx", "answer", "language", "num_tokens_serialized"
     )
     return finish(collect_prompts(turns, kept), default_system)

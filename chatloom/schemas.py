@@ -97,3 +97,8 @@ TRAIN_LOG = T.StructType([
     T.StructField("ts", T.TimestampType()),
     T.StructField("step", T.LongType()),
 ])
+
+
+def struct(ddl: str) -> T.StructType:
+    """A schema from its text."""
+    return T.StructType.fromDDL(ddl)

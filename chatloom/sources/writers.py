@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from chatloom import schemas
+from chatloom.operators.keyindex import KeyIndex
 from chatloom.operators.resume import not_done
 from chatloom.sources.readers import read_if_present, read_shards
 
@@ -27,10 +28,17 @@ def append_new(
     schema: T.StructType,
     *keys: str,
     transform: Callable[[DataFrame], DataFrame] = lambda fresh: fresh,
+    index: KeyIndex | None = None,
 ) -> None:
-    """Append transform(rows whose key the target does not hold yet); safe to repeat."""
-    written = read_if_present(df.sparkSession, path, schema)
-    if written is not None:
+    """Append transform(rows whose key the target does not hold yet); safe to repeat.
+
+    An ``index`` of the target's keys is brought up to date and asked for the rows'
+    keys; without one all keys of the target are read.
+    """
+    if index is not None:
+        index.refresh()
+        df = not_done(df, index.finished(df), *keys)
+    elif (written := read_if_present(df.sparkSession, path, schema)) is not None:
         df = not_done(df, written, *keys)
     transform(df).write.mode("append").parquet(path)
 

@@ -469,6 +469,8 @@ def statements() -> dict[str, str]:
             SELECT source_idx, turn, {cut('line')} AS summary FROM l""",
         "udf_token_count": f"WITH {CHAT_TURNS} SELECT source_idx, turn, {tokens('content')} AS tokens FROM chat_turns",
     }
+    # Counted while the chats are written, in one run or per micro-batch.
+    sql["observed_funnel"] = sql["stream_funnel"] = sql["skip_funnel"]
     return sql
 
 

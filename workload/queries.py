@@ -102,6 +102,25 @@ def skip_funnel_rows(spark, sf_dir):
     return prepare.funnel(profile, "python", MAX_SEQ_LEN)
 
 
+@query
+def observed_funnel(spark, sf_dir):
+    """The funnel of ``skip_funnel`` as the run that writes the chats has counted it."""
+    seen = prepare.Funnel()
+    _prepared(spark, sf_dir, language="python", seen=seen).write.parquet(fresh_folder(spark, "funnel"))
+    return spark.createDataFrame(sorted(seen.chats().items()), "outcome STRING, chats BIGINT")
+
+
+@query
+def stream_funnel(spark, sf_dir):
+    """The same counts from the micro-batches of a stream, summed."""
+    folder = fresh_folder(spark, "stream")
+    stream_prepare.stream_prepare(
+        _stored_chats(spark, sf_dir, folder), f"{folder}/out", f"{folder}/checkpoint",
+        max_seq_len=MAX_SEQ_LEN, language="python", part_turns=3, funnel=True,
+    ).awaitTermination()
+    return stream_prepare.read_stream_funnel(spark, f"{folder}/out")
+
+
 @query
 def lang_filter(spark, sf_dir):
     return _prepared(spark, sf_dir, language="python").select("source_idx", "language")
