@@ -8,7 +8,8 @@ the probability of their generalised Jaccard similarity, sum of minima over sum
 of maxima of the counts. A sample is kept as one number, the value's leading bits
 above a hash of (word, t).
 
-Only DataFrame operations. ``neighbour_fingerprints`` shuffles the texts once, by
+Only DataFrame operations. Words with the same count in a text and its edited text are
+sampled once for both. ``neighbour_fingerprints`` shuffles the texts once, by
 ranges of the id; the row that begins a range is sent to the range before it as
 well, so a document's successor is always in its own partition and the counts,
 minima and comparisons need no further exchange.
@@ -24,26 +25,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chatloom.operators.scan import starts_at_or_before
+
 SAMPLES = 64
 TOGETHER = 8
+# Of a word's number: counts up to 16 million are exact.
+COUNT_BITS = 24
 NOT_IN_WORDS = r"[^\p{L}\p{N}]+"
 LOW_BITS = 24
 
 
-def weighted_words(df: DataFrame, text: str) -> DataFrame:
-    """Add ``_terms``: (hash, ln count) of each distinct word of a text column."""
+def weighted_words(text: Column) -> Column:
+    """The distinct words of a text with their counts, a number each: leading bits of
+    the word's hash above the count. Null where there is no word."""
     words = F.array_remove(F.split(F.lower(text), NOT_IN_WORDS), "")
-    hashed = df.withColumn("_hashes", F.sort_array(F.transform(words, lambda w: F.xxhash64(w))))
-    n = F.size("_hashes")
-    first = F.filter(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 1) | (F.get("_hashes", i - 1) != F.get("_hashes", i - 2)),
-    )
-    run = lambda v, j: F.struct(
-        F.get("_hashes", v - 1).alias("h"),
-        F.ln((F.coalesce(F.get("_first", j + 1), F.size("_hashes") + 1) - v).cast("double")).alias("w"),
-    )
-    return hashed.withColumn("_first", first).withColumn("_terms", F.transform("_first", run))
+    counted = F.lit(2**COUNT_BITS - 1).cast("bigint")
+
+    def runs(hashes: Column) -> Column:
+        n = F.size(hashes)
+        first = F.filter(
+            F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
+            lambda i: (i == 1) | (F.get(hashes, i - 1) != F.get(hashes, i - 2)),
+        )
+        return F.get(F.transform(F.array(first), lambda starts: F.transform(starts, lambda v, j: F.get(hashes, v - 1).bitwiseOR(
+            F.least((F.coalesce(F.get(starts, j + 1), n + 1) - v).cast("bigint"), counted)
+        ))), F.lit(0))
+
+    hashed = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.bitwise_not(counted)))
+    # As a lambda's argument the sorted hashes are worked out once.
+    return F.get(F.transform(F.array(F.sort_array(hashed)), runs), F.lit(0))
 
 
 def _bits(hash: Column, shift: int, width: int) -> Column:
@@ -66,28 +76,48 @@ def sample(k: int, term: Column, log_weight: Column) -> Column:
     return F.shiftleft(high, LOW_BITS).bitwiseOR(low)
 
 
-def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(*keys, signature): one array per row; null where a text has no words.
+def _least(rows: DataFrame, keys: list[str], samples: int, sides: int) -> DataFrame:
+    """(*keys, signature per side) from ``_terms``, numbers of words each with the sides they stand in.
 
-    ``keys`` must identify the rows. Without an existing partitioning by some of
-    them, what is shuffled is one partial minimum per row and sample.
+    ``side`` is one side's number, or ``sides`` where a word has the same count in all.
+    A value is worked out once for all sides.
     """
-    rows = weighted_words(df.select(*keys, F.col(text).alias("_t")), "_t")
     if samples % TOGETHER:
         raise ValueError(f"samples must be a multiple of {TOGETHER}")
     # A few samples at a time: the code of an aggregate of all would be too large to
     # be compiled. Each group of samples hashes the word anew.
+    mask = F.lit(2**COUNT_BITS - 1).cast("bigint")
+    word = F.col("_x.word")
     terms = rows.select(*keys, F.explode_outer("_terms").alias("_x")).select(
-        *keys, F.col("_x.h").alias("_h"), F.col("_x.w").alias("_w"),
-        F.explode(F.sequence(F.lit(0), F.lit(samples // TOGETHER - 1))).alias("_part"),
+        *keys, word.bitwiseAND(F.bitwise_not(mask)).alias("_h"), F.ln(word.bitwiseAND(mask).cast("double")).alias("_w"),
+        F.col("_x.side").alias("_side"), F.explode(F.sequence(F.lit(0), F.lit(samples // TOGETHER - 1))).alias("_part"),
     ).withColumn("_h", F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_part")))
-    least = [F.min(sample(k, F.col("_h"), F.col("_w"))).alias(f"_s{k}") for k in range(TOGETHER)]
-    found = terms.groupBy(*keys, "_part").agg(*least)
-    some = F.struct("_part", F.array(*[f"_s{k}" for k in range(TOGETHER)]).alias("s"))
-    whole = F.flatten(F.transform(F.sort_array(F.collect_list(some)), lambda x: x["s"]))
-    return found.groupBy(*keys).agg(whole.alias("_all")).select(
-        *keys, F.when(F.get("_all", F.lit(0)).isNotNull(), F.col("_all")).alias("signature")
+    valued = terms.select(
+        *keys, "_part", "_side", *[sample(k, F.col("_h"), F.col("_w")).alias(f"_v{k}") for k in range(TOGETHER)]
     )
+    stands = lambda side: F.col("_side").isin(side, sides)
+    found = valued.groupBy(*keys, "_part").agg(*[
+        F.min(F.when(stands(side), F.col(f"_v{k}"))).alias(f"_s{side}_{k}") for side in range(sides) for k in range(TOGETHER)
+    ])
+    some = F.struct("_part", *[F.array(*[f"_s{side}_{k}" for k in range(TOGETHER)]).alias(f"s{side}") for side in range(sides)])
+    joined = found.groupBy(*keys).agg(F.sort_array(F.collect_list(some)).alias("_all"))
+
+    def signature(side: int) -> Column:
+        whole = F.flatten(F.transform("_all", lambda x: x[f"s{side}"]))
+        return F.when(F.get(whole, F.lit(0)).isNotNull(), whole)
+
+    return joined.select(*keys, *[signature(side).alias(f"signature_{side}") for side in range(sides)])
+
+
+def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(*keys, signature): one array per row; null where a text has no words.
+
+    ``keys`` must identify the rows. Without an existing partitioning by some of
+    them, what is shuffled is one partial minimum per row and sample.
+    """
+    terms = F.transform(weighted_words(F.col(text)), lambda w: F.struct(w.alias("word"), F.lit(0).alias("side")))
+    found = _least(df.select(*keys, terms.alias("_terms")), keys, samples, 1)
+    return found.withColumnRenamed("signature_0", "signature")
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -128,7 +158,7 @@ def neighbour_fingerprints(
     rows = docs.select(F.col(id).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     limits = F.array(*[F.lit(int(s)) for s in starts]).cast("array<bigint>")
     own = F.when(F.col("_id").isNull(), 0).otherwise(
-        F.coalesce(F.size(F.filter(limits, lambda s: s <= F.col("_id"))), F.lit(0))
+        starts_at_or_before(limits, len(starts), F.col("_id"))
     ).cast("int")
     is_start = F.coalesce(F.array_contains(limits, F.col("_id")), F.lit(False))
     is_first = F.col("_id").isNull() if least is None else F.coalesce(F.col("_id") == F.lit(int(least)), F.lit(False))
@@ -149,25 +179,27 @@ def neighbour_fingerprints(
     # Of the rows sent ahead only the first one is a successor.
     numbered = numbered.withColumn("_used", (F.col("ahead") == 0) | F.lag("ahead").over(Window.partitionBy("range").orderBy("_no")).eqNullSafe(0))
     size = F.length("_text")
+    no_words = F.array().cast("array<bigint>")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), size - half), F.substring("_next", F.lit(1), half))
-    both = F.when(F.col("ahead") == 0, F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_text").alias("t"), size.alias("n"), F.lit(None).cast("string").alias("sha")),
-        F.struct(F.lit(1).alias("side"), F.col("_edited").alias("t"), size.alias("n"), F.sha2("_edited", 256).alias("sha")),
-    )).otherwise(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_text").alias("t"), size.alias("n"), F.lit(None).cast("string").alias("sha")),
-    ))
-    sides = numbered.filter("_used").withColumn("_edited", edited).select(
-        "range", "ahead", "_id", "_no", F.explode(both).alias("_b")
-    ).select("range", "ahead", "_id", "_no", "_b.*")
-    signed = signatures(sides, "t", ["range", "_no", "side", "ahead", "_id", "n", "sha"], samples)
-    following = Window.partitionBy("range").orderBy("_no", "side")
+    # A word with the same count in the text and the edited text is sampled once for both.
+    of = lambda words, side: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(side).alias("side")))
+    pair = numbered.filter("_used").withColumn("_edited", F.when(F.col("ahead") == 0, edited)).select(
+        "range", "ahead", "_id", "_no", size.alias("n"), F.sha2("_edited", 256).alias("sha"),
+        F.coalesce(weighted_words(F.col("_text")), no_words).alias("_own"),
+        F.coalesce(weighted_words(F.col("_edited")), no_words).alias("_other"),
+    )
+    terms = F.concat(
+        of(F.array_except("_own", "_other"), 0), of(F.array_except("_other", "_own"), 1), of(F.array_intersect("_own", "_other"), 2)
+    )
+    keys = ["range", "_no", "ahead", "_id", "n", "sha"]
+    signed = _least(pair.select(*keys, terms.alias("_terms")), keys, samples, 2)
+    following = Window.partitionBy("range").orderBy("_no")
     near = signed.select(
-        "ahead", "side", F.col("_id").alias(id), F.col("n").cast("bigint").alias("n_chars"), "signature",
-        F.lead("sha").over(following).alias("edited_sha256"),
-        F.lead("signature").over(following).alias("_edited"),
-        F.lead("signature", 2).over(following).alias("_after"),
-    ).filter("ahead = 0 AND side = 0")
+        "ahead", F.col("_id").alias(id), F.col("n").cast("bigint").alias("n_chars"), F.col("sha").alias("edited_sha256"),
+        F.col("signature_0").alias("signature"), F.col("signature_1").alias("_edited"),
+        F.lead("signature_0").over(following).alias("_after"),
+    ).filter("ahead = 0")
     return near.select(
         id, "n_chars", "edited_sha256", as_text(F.col("signature")).alias("fingerprint"),
         as_text(F.col("_edited")).alias("edited_fingerprint"),
