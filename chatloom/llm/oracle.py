@@ -171,3 +171,157 @@ SELECT d.doc_id,
   CAST(coalesce(len(x.gone), 0) AS BIGINT) AS n_dropped
 FROM documents d LEFT JOIN drops x ON x.doc_id = d.doc_id
 """
+
+CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY n) AS crc FROM (
+    SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n))
+)"""
+
+
+def _codes(text: str) -> str:
+    """Code points of a text."""
+    return f"list_transform(range(1, length({text}) + 1), lambda i: CAST(unicode(substr({text}, CAST(i AS INTEGER), 1)) AS BIGINT))"
+
+
+def _crc_on(start: str, codes: str) -> str:
+    """The CRC-32 remainder after a list of bytes; begin with 4294967295 and invert at the end."""
+    return f"list_reduce({codes}, lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), {start})"
+
+
+def _edit(rest: str, cost: str, edit: str, line: str = "''") -> str:
+    """A way as text, ``<12 digits of cost><edits>|<lines>``, with one edit in front.
+
+    Ways of equal cost are compared by their edits, which never begin with one another.
+    """
+    return (
+        f"(lpad(CAST(CAST(left({rest}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || '{edit}' || "
+        f"substr({rest}, 13, instr({rest}, '|') - 12) || {line} || substr({rest}, instr({rest}, '|') + 1))"
+    )
+
+
+def _repair_step() -> str:
+    """The ways from each state in front of a row ``r``, from those behind it, ``a``."""
+    asked = {0: 2, 1: 2, 2: 3, 3: 2}
+    kept = {0: {0: 1, 1: 2}, 1: {1: 2}, 2: {2: 3}, 3: {1: 2}}
+    said = lambda state: "assistant" if state == 2 else "user"
+    line = lambda role: f"chr(10) || {role} || ':' || r.said"
+    blank = lambda state: f"chr(10) || '{said(state)}:'"
+    plain = []
+    for state in range(4):
+        ways = [_edit(f"a.s{state}", "3", "D")]
+        ways += [
+            f"CASE WHEN NOT r.must AND r.initial = {initial} THEN {_edit(f'a.s{then}', 'r.cut', 'K', line('r.role'))} END"
+            for initial, then in kept[state].items()
+        ]
+        again = line(f"'{said(state)}'")
+        ways.append(f"CASE WHEN NOT r.must THEN {_edit(f'a.s{asked[state]}', '(2 + r.cut)', 'R', again)} END")
+        plain.append(f"n{state}: least({', '.join(ways)})")
+    ends = []
+    for state in range(4):
+        ways = [f"n.n{state}", _edit(f"n.n{asked[state]}", "2", "I", blank(state))]
+        if state < 2:
+            ways.append(_edit(_edit("n.n3", "2", "I", blank(2)), "2", "I", blank(state)))
+        ends.append(f"s{state}: least({', '.join(ways)})")
+    row = "initial: r.initial, must: r.must, cut: r.cut, role: r.role, said: r.said"
+    return f"list_transform([{{{', '.join(plain)}}}], lambda n: {{{row}, {', '.join(ends)}}})[1]"
+
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+SQL["op13_conversation_repair"] = f"""
+WITH {CRC_TABLE},
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS said,
+    concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key
+  FROM conversations
+),
+fated AS (SELECT *, xor({_crc_on('4294967295', _codes('key'))}, 4294967295) % 20 AS fate FROM given, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(said, '[.!?]', '', 'g') ELSE said END AS said,
+    unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM fated WHERE fate <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(said)) AS place FROM damaged
+),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, said ORDER BY place) > 1 AS again,
+    rtrim(said, {_SPACES}) AS visible, left(role, 1) AS first,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before
+  FROM placed
+),
+marked AS (
+  SELECT *, visible = '' AS blank, visible <> '' AND again AS duplicate,
+    visible <> '' AND NOT again AND right(visible, 1) NOT IN ('.', '!', '?') AS truncated
+  FROM seen
+),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+    count_if(duplicate) AS duplicate, count_if(truncated) AS truncated,
+    count_if(before IS NOT NULL AND concat(before, first) NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{initial: CASE first WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END, must: blank OR duplicate,
+      cut: CASE WHEN truncated THEN 1 ELSE 0 END, role: role, said: said,
+      s0: '', s1: '', s2: '', s3: ''}} ORDER BY place DESC) AS rows
+  FROM marked GROUP BY conv_id
+),
+solved AS (
+  SELECT * EXCLUDE (rows), list_reduce(rows, lambda a, r: {_repair_step()},
+    {{initial: 3, must: false, cut: 0, role: '', said: '', s0: '000000000000|',
+      s1: '000000000004II|' || chr(10) || 'user:' || chr(10) || 'assistant:', s2: '000000000002I|' || chr(10) || 'assistant:',
+      s3: '000000000000|'}}).s0 AS way
+  FROM counted
+),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(left(way, 12), '0') AS BIGINT) AS cost,
+  coalesce(substr(way, 13, instr(way, '|') - 13), '') AS audit,
+  sha256(coalesce(substr(way, instr(way, '|') + 2), '')) AS repaired_sha256
+FROM every e LEFT JOIN solved s ON e.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+SQL["op12_spelling_variants"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+),
+lowered AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM runs),
+times AS (SELECT id, word, count(*) AS n FROM lowered WHERE length(word) >= 6 GROUP BY id, word),
+ids AS (SELECT id, {_crc_on('4294967295', _codes("concat(id, ':')"))} AS begun FROM (SELECT DISTINCT id FROM times), crc_table),
+hashed AS (
+  SELECT word, n, xor({_crc_on('begun', "flatten(list_transform(" + _codes('word') + ", lambda c: CASE WHEN c < 128 THEN [c] ELSE [195, c - 64] END))")}, 4294967295) AS h
+  FROM times JOIN ids USING (id), crc_table
+),
+slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN concat(left(word, CAST(h % length(word) AS INTEGER)), substr(word, CAST(h % length(word) + 2 AS INTEGER))) ELSE word END AS word, n
+  FROM hashed
+),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+short AS (
+  SELECT word, n, gone, concat(left(word, CAST(gone - 1 AS INTEGER)), substr(word, CAST(gone + 1 AS INTEGER))) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS gone FROM words)
+),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM short a JOIN short b ON a.rest = b.rest AND a.gone = b.gone AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM short s JOIN words w ON w.word = s.rest
+  UNION SELECT w.word, s.word, s.n FROM short s JOIN words w ON w.word = s.rest
+),
+best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most, arg_min(other, (-n, other)) AS form FROM near GROUP BY word
+),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 5 * w.n THEN b.most END AS form_n,
+    CASE WHEN b.most >= 5 * w.n THEN b.form END AS form
+  FROM words w LEFT JOIN best b USING (word)
+),
+up(word, root) AS (
+  SELECT word, form FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT u.word, f.form FROM up u JOIN formed f ON f.word = u.root WHERE f.form IS NOT NULL
+),
+ends AS (SELECT u.word, u.root FROM up u JOIN formed f ON f.word = u.root WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM formed f LEFT JOIN ends e USING (word)
+"""
