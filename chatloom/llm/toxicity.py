@@ -139,7 +139,7 @@ def learn(
     # At most twice most_labels rows of two numbers.
     sample = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
         F.broadcast(chosen), "_id"
-    )
+    ).dropDuplicates(["_id", "toxic", "text"])  # a row repeated under one id teaches once
     lexicon = {word: 3.0 for word in INSULTS} | learned_lexicon(sample, lexicon_size)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
