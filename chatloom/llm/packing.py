@@ -59,9 +59,9 @@ class Chunks(dict):
     When full, it begins anew and keeps the last generation aside, so chunks in use stay.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, code: str):
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, code
         self.older: dict[str, bytes] = {}
 
     def _ids(self, chunk: str) -> list[int]:
@@ -79,7 +79,7 @@ class Chunks(dict):
         found = self.older.get(chunk)
         if found is None:
             ids = self._ids(chunk)
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = struct.pack(f"<{len(ids)}{self.code}", *ids)
         if len(self) >= CACHED_CHUNKS:
             self.older = dict(self)
             self.clear()
@@ -88,18 +88,19 @@ class Chunks(dict):
 
 
 class ChunkEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers.
+    """Ids of whole texts as little-endian unsigned integers of 32 bits, or of ``width``.
 
     The tokenizer never joins characters across white space, so a text's ids are
     those of its white-space-free chunks, and chunks repeat. The cache is bounded and
     ends with its task: a reused Python worker must not keep it for later stages.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: str = "<u4"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.chunks = Chunks(Tokenizer.from_file(path))
+        self.width = width
+        self.chunks = Chunks(Tokenizer.from_file(path), np.dtype(width).char)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known, found = self.chunks.__getitem__, []
@@ -107,7 +108,7 @@ class ChunkEncoder:
             # The names of tokens, and what is white space to Python alone.
             if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
                 ids = self.chunks.tokenizer.encode(text, add_special_tokens=False).ids
-                found.append(np.array(ids, dtype="<u4").tobytes())
+                found.append(np.array(ids, dtype=self.width).tobytes())
                 continue
             if PLAIN.fullmatch(text):
                 text = text.lower()

@@ -16,14 +16,14 @@ A folder holds
 * ``manifest.json``: the files in document order with their counts. It is written
   last, when all tasks have ended, so files of lost or repeated tasks are never read.
 
-Texts are encoded in one pass; what is stored, counted and sorted are ids in two
-or four bytes each. Documents are dealt out by range, so files are in ascending
-order of the document id, null ids first, and where a file's documents start is a
-sum over the manifest. A task writes and reads a block at a time. The driver sees
-one row per token of the vocabulary and one entry per file.
+Texts are encoded and their ids counted in one pass; what is stored and sorted are ids
+in two or four bytes each. Documents are dealt out by slices of the document id, so
+files are in its ascending order, null ids first, and where a file's documents start
+is a sum over the manifest. A task writes and reads a block at a time. The driver sees
+a few arrays of the vocabulary's size and one entry per file.
 
 Defined cases: a null text counts as empty and is the end token alone; rows of one
-document id follow each other by their ids' hash, whatever their number, and are
+document id follow each other as they are stored, whatever their number, and are
 documents of their own; an empty table gives a manifest without files; further
 columns are ignored. Files go to any file system that pyarrow opens by the folder's
 address.
@@ -45,12 +45,15 @@ from pyspark.sql.datasource import (
 
 from chatloom.llm.common import buckets_of
 from chatloom.llm.packing import ChunkEncoder, tokenizer_path
+from chatloom.operators.scan import slice_starts, starts_at_or_before
 from chatloom.session import fresh_folder
 
 FORMAT = "chatloom_tokens"
 END_ID = 2
 BLOCK_IDS = 1 << 18
 MAGIC = b"TOKENS01"
+ENCODED = "doc_id bigint, ids binary, counts binary"
+COUNTING_TASKS = 8
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 # Which of the four bytes of each of four ranks a control byte says are written.
@@ -111,7 +114,7 @@ class Written(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Writes (doc_id, _hash, _place, ids) in the order given, one file per task."""
+    """Writes (doc_id, _place, ids) in the order given, one file per task."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.ranks, self.width = options["path"], options["ranks"], options["width"]
@@ -164,7 +167,7 @@ class TokenWriter(DataSourceArrowWriter):
             for part in (np.concatenate(documents).astype("<i8"), np.concatenate(nulls).astype(np.uint8), counted, np.array(blocks, dtype="<i8")):
                 file.write(part.tobytes())
             file.write(np.array([place, len(counted), len(blocks)], dtype="<i8").tobytes() + MAGIC)
-        key = (first["doc_id"] is not None, first["doc_id"] or 0, first["_hash"], first["_place"])
+        key = (first["doc_id"] is not None, first["doc_id"] or 0, first["_place"])
         return Written(name, key, len(counted), int(counted.sum()))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -260,37 +263,55 @@ def register(spark: SparkSession) -> None:
 
 
 def encode(docs: DataFrame, path: str, *, id: str, text: str, end_id: int, width: str) -> DataFrame:
-    """(doc_id, ids): the ids of whole texts with the end id, in ``width``."""
+    """(doc_id, ids, counts): the ids of whole texts with the end id, in ``width``; and from
+    each task one row more, with how often each id occurs as 64-bit integers."""
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("_t"))
     end = np.array([end_id], dtype=width).tobytes()
+    names = ["doc_id", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = ChunkEncoder(path, width)
+        total = np.zeros(0, dtype="<i8")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = encoder([x or "" for x in batch.column("_t").to_pylist()])
-                ids = [np.frombuffer(x, dtype="<u4").astype(width).tobytes() + end for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                ids = [x + end for x in encoder([x or "" for x in batch.column("_t").to_pylist()])]
+                found = np.bincount(np.frombuffer(b"".join(ids), dtype=width), minlength=len(total))
+                found[:len(total)] += total
+                total = found
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names
+                )
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names
+        )
 
-    return rows.mapInArrow(run, "doc_id bigint, ids binary")
+    return rows.mapInArrow(run, ENCODED)
 
 
-def frequencies(encoded: DataFrame, width: str) -> DataFrame:
-    """(token, n): how often each id occurs; a row per token of the vocabulary at most."""
+def frequencies(encoded: DataFrame) -> np.ndarray:
+    """How often each id occurs, from the tasks' counts, which are added up in a few tasks."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype="<i8")
+        for batch in batches:
+            for part in batch.column("counts").to_pylist():
+                total = _sum(total, np.frombuffer(part, dtype="<i8"))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+
+    few = encoded.filter("counts IS NOT NULL").select("counts").coalesce(COUNTING_TASKS).mapInArrow(added, "counts binary")
+    total = np.zeros(0, dtype="<i8")
+    for row in few.toLocalIterator():
+        total = _sum(total, np.frombuffer(bytes(row["counts"]), dtype="<i8"))
+    return total
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                ids = np.frombuffer(b"".join(whole.column("ids").slice(at, 256).to_pylist()), dtype=width)
-                found = np.bincount(ids, minlength=len(total))
-                found[:len(total)] += total
-                total = found
-        token = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(total[token])], names=["token", "n"])
 
-    return encoded.select("ids").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+def _sum(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts, the shorter one filled up."""
+    whole = np.zeros(max(len(one), len(other)), dtype="<i8")
+    whole[:len(one)] += one
+    whole[:len(other)] += other
+    return whole
 
 
 def write_tokens(
@@ -306,14 +327,20 @@ def write_tokens(
     # Ids in few distinct values: compressed, a stored table is smaller than a checkpoint.
     stored = fresh_folder(spark, "token-ids")
     encode(docs, tokenizer, id=id, text=text, end_id=end_id, width=width).write.option("compression", "zstd").parquet(stored)
-    encoded = spark.read.schema("doc_id bigint, ids binary").parquet(stored)
-    counted = sorted((-r["n"], r["token"]) for r in frequencies(encoded, width).collect())
+    encoded = spark.read.schema(ENCODED).parquet(stored)
+    counts = frequencies(encoded)
+    # The most frequent id first, of equally frequent ones the least; ids that do not occur have no rank.
+    ranked = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)]
     ranks = f"ranks-{uuid.uuid4().hex}.bin"
-    _write(path, ranks, np.array([token for _, token in counted], dtype="<u4").tobytes())
+    _write(path, ranks, ranked.astype("<u4").tobytes())
     # The place in the stored rows cuts even repeated rows of one id.
-    keyed = encoded.select("doc_id", F.xxhash64("ids").alias("_hash"), F.monotonically_increasing_id().alias("_place"), "ids")
-    order = ["doc_id", "_hash", "_place"]
-    dealt = keyed.repartitionByRange(buckets_of(spark), *order).sortWithinPartitions(*order)
+    order = ["doc_id", "_place"]
+    keyed = encoded.withColumn("_place", F.monotonically_increasing_id()).filter("counts IS NULL").select(*order, "ids")
+    count = buckets_of(spark)
+    starts, found = slice_starts(keyed, order, count)
+    own = F.struct(*order).cast(keyed.select(*order).schema.simpleString())
+    placed = keyed.withColumn("_slice", starts_at_or_before(starts, found, own))
+    dealt = placed.repartitionById(count, F.col("_slice")).sortWithinPartitions(*order).drop("_slice")
     register(spark)
     dealt.write.format(FORMAT).mode("append").options(path=path, ranks=ranks, width=width).save()
 
