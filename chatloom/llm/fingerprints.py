@@ -8,8 +8,8 @@ the probability of their generalised Jaccard similarity, sum of minima over sum
 of maxima of the counts. A sample is kept as one number, the value's leading bits
 above a hash of (word, t).
 
-Only DataFrame operations. Words with the same count in a text and its edited text are
-sampled once for both. ``neighbour_fingerprints`` shuffles the texts once, by
+Only DataFrame operations. A value depends on nothing but the word, its count and k,
+so ``neighbour_fingerprints`` works it out once for all texts of a range. ``neighbour_fingerprints`` shuffles the texts once, by
 ranges of the id; the row that begins a range is sent to the range before it as
 well, so a document's successor is always in its own partition and the counts,
 minima and comparisons need no further exchange.
@@ -76,48 +76,79 @@ def sample(k: int, term: Column, log_weight: Column) -> Column:
     return F.shiftleft(high, LOW_BITS).bitwiseOR(low)
 
 
-def _least(rows: DataFrame, keys: list[str], samples: int, sides: int) -> DataFrame:
-    """(*keys, signature per side) from ``_terms``, numbers of words each with the sides they stand in.
+def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """(*keys, signature): one array per row; null where a text has no words.
 
-    ``side`` is one side's number, or ``sides`` where a word has the same count in all.
-    A value is worked out once for all sides.
+    ``keys`` must identify the rows. Without an existing partitioning by some of
+    them, what is shuffled is one partial minimum per row and sample.
     """
     if samples % TOGETHER:
         raise ValueError(f"samples must be a multiple of {TOGETHER}")
-    # A few samples at a time: the code of an aggregate of all would be too large to
-    # be compiled. Each group of samples hashes the word anew.
     mask = F.lit(2**COUNT_BITS - 1).cast("bigint")
-    word = F.col("_x.word")
-    terms = rows.select(*keys, F.explode_outer("_terms").alias("_x")).select(
+    word = F.col("_x")
+    # Each group of samples hashes the word anew.
+    terms = df.select(*keys, F.explode_outer(weighted_words(F.col(text))).alias("_x")).select(
         *keys, word.bitwiseAND(F.bitwise_not(mask)).alias("_h"), F.ln(word.bitwiseAND(mask).cast("double")).alias("_w"),
-        F.col("_x.side").alias("_side"), F.explode(F.sequence(F.lit(0), F.lit(samples // TOGETHER - 1))).alias("_part"),
+        F.explode(F.sequence(F.lit(0), F.lit(samples // TOGETHER - 1))).alias("_part"),
     ).withColumn("_h", F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_part")))
-    valued = terms.select(
-        *keys, "_part", "_side", *[sample(k, F.col("_h"), F.col("_w")).alias(f"_v{k}") for k in range(TOGETHER)]
+    least = [F.min(sample(k, F.col("_h"), F.col("_w"))).alias(f"_s{k}") for k in range(TOGETHER)]
+    found = terms.groupBy(*keys, "_part").agg(*least)
+    some = F.struct("_part", F.array(*[f"_s{k}" for k in range(TOGETHER)]).alias("s"))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(some)), lambda x: x["s"]))
+    return found.groupBy(*keys).agg(whole.alias("_all")).select(
+        *keys, F.when(F.get("_all", F.lit(0)).isNotNull(), F.col("_all")).alias("signature")
     )
-    stands = lambda side: F.col("_side").isin(side, sides)
-    found = valued.groupBy(*keys, "_part").agg(*[
-        F.min(F.when(stands(side), F.col(f"_v{k}"))).alias(f"_s{side}_{k}") for side in range(sides) for k in range(TOGETHER)
-    ])
-    some = F.struct("_part", *[F.array(*[f"_s{side}_{k}" for k in range(TOGETHER)]).alias(f"s{side}") for side in range(sides)])
-    joined = found.groupBy(*keys).agg(F.sort_array(F.collect_list(some)).alias("_all"))
 
-    def signature(side: int) -> Column:
-        whole = F.flatten(F.transform("_all", lambda x: x[f"s{side}"]))
-        return F.when(F.get(whole, F.lit(0)).isNotNull(), whole)
 
-    return joined.select(*keys, *[signature(side).alias(f"signature_{side}") for side in range(sides)])
+# What an occurrence stands for, beside the sides 0, 1 and 2 (both): a field of its row.
+FIELDS = ("ahead", "id", "n", "sha0", "sha1", "sha2", "sha3")
+CODES = 16
 
 
-def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(*keys, signature): one array per row; null where a text has no words.
+def _pair_signatures(pair: DataFrame, samples: int) -> DataFrame:
+    """(range, _no, *FIELDS, signature_0, signature_1) from the words of both sides of a row.
 
-    ``keys`` must identify the rows. Without an existing partitioning by some of
-    them, what is shuffled is one partial minimum per row and sample.
+    ``pair``: (range, _no, ``_terms`` of (word, side), ``_fields``: the values of
+    FIELDS as numbers). Everything is grouped within ``range``, by which the rows are
+    dealt, so nothing is exchanged. First the occurrences of a word with one count
+    meet, so that its values are worked out once for all texts of a range; then they
+    go back to their rows. A row's fields travel as occurrences of no word.
     """
-    terms = F.transform(weighted_words(F.col(text)), lambda w: F.struct(w.alias("word"), F.lit(0).alias("side")))
-    found = _least(df.select(*keys, terms.alias("_terms")), keys, samples, 1)
-    return found.withColumnRenamed("signature_0", "signature")
+    number = F.col("_no").cast("bigint") * CODES
+    absent = F.lit(None).cast("bigint")
+    words = F.transform("_terms", lambda x: F.struct(x["word"].alias("word"), (number + x["side"]).alias("who"), absent.alias("value")))
+    fields = F.transform("_fields", lambda value, k: F.struct(absent.alias("word"), (number + k + 3).alias("who"), value.alias("value")))
+    met = pair.select("range", F.explode(F.concat(words, fields)).alias("_x")).select("range", "_x.*").groupBy("range", "word").agg(
+        F.collect_list(F.struct("who", "value")).alias("_all")
+    )
+    mask = F.lit(2**COUNT_BITS - 1).cast("bigint")
+    word = F.col("word")
+    # A few samples at a time: the code of all would be too large to be compiled.
+    parts = F.when(word.isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(samples // TOGETHER - 1)))
+    terms = met.select("range", "word", "_all", F.explode(parts).alias("_part")).select(
+        "range", "_part", "_all", F.when(word.isNotNull(), F.xxhash64(word.bitwiseAND(F.bitwise_not(mask)), "_part")).alias("_h"),
+        F.ln(word.bitwiseAND(mask).cast("double")).alias("_w"),
+    )
+    values = [f"_v{k}" for k in range(TOGETHER)]
+    valued = terms.select("range", "_part", "_all", *[sample(k, F.col("_h"), F.col("_w")).alias(v) for k, v in enumerate(values)])
+    back = valued.select("range", "_part", *values, F.explode("_all").alias("_o")).select(
+        "range", "_part", *values, F.floor(F.col("_o.who") / CODES).alias("_no"), (F.col("_o.who") % CODES).alias("_code"), "_o.value"
+    )
+    stands = lambda side: F.col("_code").isin(side, 2)
+    found = back.groupBy("range", "_no", "_part").agg(
+        *[F.min(F.when(stands(side), F.col(v))).alias(f"_s{side}{v}") for side in (0, 1) for v in values],
+        *[F.max(F.when(F.col("_code") == k + 3, F.col("value"))).alias(name) for k, name in enumerate(FIELDS)],
+    )
+    some = F.struct("_part", *[F.array(*[f"_s{side}{v}" for v in values]).alias(f"s{side}") for side in (0, 1)])
+    joined = found.groupBy("range", "_no").agg(
+        F.sort_array(F.collect_list(some)).alias("_all"), *[F.max(name).alias(name) for name in FIELDS]
+    )
+
+    def signature(side: int) -> Column:
+        whole = F.flatten(F.transform("_all", lambda x: x[f"s{side}"]))
+        return F.when(F.get(whole, F.lit(0)).isNotNull(), whole)
+
+    return joined.select("range", "_no", *FIELDS, *[signature(side).alias(f"signature_{side}") for side in (0, 1)])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -192,11 +223,13 @@ def neighbour_fingerprints(
     terms = F.concat(
         of(F.array_except("_own", "_other"), 0), of(F.array_except("_other", "_own"), 1), of(F.array_intersect("_own", "_other"), 2)
     )
-    keys = ["range", "_no", "ahead", "_id", "n", "sha"]
-    signed = _least(pair.select(*keys, terms.alias("_terms")), keys, samples, 2)
+    digest = [F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10).cast("bigint") for k in range(4)]
+    fields = F.array(F.col("ahead").cast("bigint"), "_id", F.col("n").cast("bigint"), *digest)
+    signed = _pair_signatures(pair.select("range", "_no", terms.alias("_terms"), fields.alias("_fields")), samples)
     following = Window.partitionBy("range").orderBy("_no")
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"sha{k}")), 16, "0") for k in range(4)])
     near = signed.select(
-        "ahead", F.col("_id").alias(id), F.col("n").cast("bigint").alias("n_chars"), F.col("sha").alias("edited_sha256"),
+        "ahead", F.col("id").alias(id), F.col("n").alias("n_chars"), sha.alias("edited_sha256"),
         F.col("signature_0").alias("signature"), F.col("signature_1").alias("_edited"),
         F.lead("signature_0").over(following).alias("_after"),
     ).filter("ahead = 0")
