@@ -147,21 +147,24 @@ def slice_rows(
     return Slices(df.withColumn(SLICE, starts_at_or_before(starts, found, own)), group, order)
 
 
+def running_sums(
+    df: DataFrame, values: dict[str, Column], order: list[str], group: list[str] | None = None, **slicing
+) -> DataFrame:
+    """Exclusive running sums in ``order``, per group or over the table, one per name."""
+    sliced = slice_rows(df.withColumns({f"_value_{out}": value for out, value in values.items()}), order, group, **slicing)
+    carried = sliced.with_carry({f"_carry_{out}": (F.sum(f"_value_{out}"), F.sum) for out in values})
+    before = sliced.window().rowsBetween(Window.unboundedPreceding, -1)
+    totals = {
+        out: F.coalesce(f"_carry_{out}", F.lit(0)) + F.coalesce(F.sum(f"_value_{out}").over(before), F.lit(0)) for out in values
+    }
+    return carried.select(*df.columns, *[total.alias(out) for out, total in totals.items()])
+
+
 def running_sum(
-    df: DataFrame,
-    value: Column,
-    out: str,
-    order: list[str],
-    group: list[str] | None = None,
-    **slicing,
+    df: DataFrame, value: Column, out: str, order: list[str], group: list[str] | None = None, **slicing
 ) -> DataFrame:
     """Exclusive running sum of ``value`` in ``order``, per group or over the table."""
-    sliced = slice_rows(df.withColumn("_value", value), order, group, **slicing)
-    carried = sliced.with_carry({"_carry": (F.sum("_value"), F.sum)})
-    before = sliced.window().rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.sum("_value").over(before)
-    total = F.coalesce(F.col("_carry"), F.lit(0)) + F.coalesce(inside, F.lit(0))
-    return carried.withColumn(out, total).drop(SLICE, "_value", "_carry")
+    return running_sums(df, {out: value}, order, group, **slicing)
 
 
 def number_rows(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from chatloom.functions import chat, text
 from chatloom.functions.tokens import TokenCounter, count_tokens, turn_tokens
-from chatloom.operators.chats import PART_TURNS, explode_turns
+from chatloom.operators.chats import explode_turns
 from chatloom.operators.columns import compute_once
 from chatloom.operators.filters import language_is
 from chatloom.operators.resume import not_done
@@ -203,7 +203,6 @@ def prepare_chats(
     default_system: str = CHAT_DEFAULT_SYSTEM,
     counter: TokenCounter = count_tokens,
     done: DataFrame | None = None,
-    part_turns: int = PART_TURNS,
     seen: Funnel | None = None,
 ) -> DataFrame:
     """Training chats from chat rows.
@@ -215,7 +214,7 @@ def prepare_chats(
     if "parts" in chats.columns:
         options = (language, max_seq_len, summarize, default_system, counter, done)
         whole = chats.filter("coalesce(parts, 1) <= 1").drop("part", "parts")
-        turns = explode_turns(chats.filter("parts > 1"), part_turns)
+        turns = explode_turns(chats.filter("parts > 1"))
         return prepare_chats(whole, *options, seen=seen).unionByName(prepare_turns(turns, *options, seen=seen))
     if done is not None:
         chats = not_done(chats, done, "source_idx")

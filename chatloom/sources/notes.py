@@ -16,7 +16,10 @@ def _opened(spark: SparkSession, path: str):
 
 
 def write_note(spark: SparkSession, path: str, content: str) -> None:
-    """Write a note under another name and rename it: it is there completely or not at all."""
+    """Write a note under another name and rename it: it is there completely or not at all.
+
+    An older note goes first; a reader that finds none in between begins anew.
+    """
     system, place = _opened(spark, path)
     part = place.suffix(f"-{uuid.uuid4().hex}.part")
     stream = system.create(part, True)
@@ -24,6 +27,7 @@ def write_note(spark: SparkSession, path: str, content: str) -> None:
         stream.write(content.encode())
     finally:
         stream.close()
+    system.delete(place, False)
     if not system.rename(part, place):
         raise OSError(f"cannot write {path}")
 
@@ -40,6 +44,23 @@ def read_note(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def file_sizes(spark: SparkSession, pattern: str) -> dict[str, int]:
+    """Bytes of the files a pattern names, and of those in the folders it names; hidden ones aside."""
+    system, place = _opened(spark, pattern)
+    sizes: dict[str, int] = {}
+    open_ = list(system.globStatus(place) or [])
+    while open_:
+        status = open_.pop()
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            open_ += list(system.listStatus(status.getPath()))
+        else:
+            sizes[status.getPath().toString()] = status.getLen()
+    return sizes
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder, in order; none where it does not exist."""
     system, place = _opened(spark, path)

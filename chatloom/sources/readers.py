@@ -70,15 +70,17 @@ def read_done_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
 
 
 def read_shards(
-    spark: SparkSession, root: str, schema: T.StructType, extension: str = ".jsonl", line: str | None = None
+    spark: SparkSession, root: str, schema: T.StructType, extension: str = ".jsonl", line: str | None = None,
+    files: list[str] | None = None,
 ) -> DataFrame | None:
     """All shards ``<root>.rank<r><ext>`` (files or folders) as one table, tagged
     with shard name and rank; None when there is no shard.
 
     With ``line`` a column of that name holds the text of each broken line, and
-    ``_file`` and ``_block`` say where a row was read.
+    ``_file`` and ``_block`` say where a row was read. With ``files`` only those
+    of the shards' files are read.
     """
-    paths = f"{root}.rank*{extension}"
+    paths = f"{root}.rank*{extension}" if files is None else files
     if line is None:
         table = read_if_present(spark, paths, schema, "json")
     else:

@@ -186,23 +186,22 @@ def _foreach_batch(
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def _prepared(whole: DataFrame, long: DataFrame | None, part_turns: dict, funnel: Funnel | None, options: dict) -> DataFrame:
+def _prepared(whole: DataFrame, long: DataFrame | None, funnel: Funnel | None, options: dict) -> DataFrame:
     rows = prepare_chats(whole, seen=funnel, **options)
-    return rows if long is None else rows.unionByName(prepare_chats(long, seen=funnel, **part_turns, **options))
+    return rows if long is None else rows.unionByName(prepare_chats(long, seen=funnel, **options))
 
 
 def stream_prepare(
-    chats: DataFrame, target: str, checkpoint: str, wait_seconds: int = WAIT_SECONDS, part_turns: int | None = None,
+    chats: DataFrame, target: str, checkpoint: str, wait_seconds: int = WAIT_SECONDS,
     funnel: bool = False, **options,
 ) -> StreamingQuery:
     """Process what has arrived and stop. The plan is that of the batch; each batch
     has a folder of its own, which a replay overwrites. With ``funnel`` the chats per
     outcome of each batch, counted while it is written, go to ``<target>-funnel``."""
-    cut = {} if part_turns is None else {"part_turns": part_turns}
 
     def write(whole: DataFrame, long: DataFrame | None, _: DataFrame, batch_id: int) -> None:
         seen = Funnel() if funnel else None
-        _prepared(whole, long, cut, seen, options).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        _prepared(whole, long, seen, options).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
         if seen is not None:
             counts = whole.sparkSession.createDataFrame(sorted(seen.chats().items()), FUNNEL)
             counts.coalesce(1).write.mode("overwrite").parquet(f"{target}-funnel/batch_id={batch_id}")
@@ -227,13 +226,12 @@ def read_incomplete(spark: SparkSession, target: str) -> DataFrame:
 
 
 def stream_resume(
-    chats: DataFrame, target: str, checkpoint: str, wait_seconds: int = WAIT_SECONDS, part_turns: int | None = None, **options,
+    chats: DataFrame, target: str, checkpoint: str, wait_seconds: int = WAIT_SECONDS, **options,
 ) -> StreamingQuery:
     """Like ``stream_prepare`` into a table other runs have also written: each
     batch leaves out keys the target holds, so a replayed batch adds nothing. The
     keys are asked of an index beside the target, so a batch reads the key columns
     of files added since and the bits of its own keys."""
-    cut = {} if part_turns is None else {"part_turns": part_turns}
     schema = schemas.PREPARED_CHATS
     index = KeyIndex(chats.sparkSession, target, f"{target}-keys", schema, "source_idx", dense=True)
 
@@ -241,6 +239,6 @@ def stream_resume(
         index.refresh()
         finished = index.finished(keys)
         fresh = [None if rows is None else not_done(rows, finished, "source_idx") for rows in (whole, long)]
-        _prepared(*fresh, cut, None, options).write.mode("append").parquet(target)
+        _prepared(*fresh, None, options).write.mode("append").parquet(target)
 
     return _foreach_batch(chats, target, checkpoint, wait_seconds, write)

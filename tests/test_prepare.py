@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from chatloom import schemas
 from chatloom.operators import chats
@@ -132,10 +132,30 @@ def test_null_contents_are_empty_texts(spark):
         assert one == two and len(one) == (limit == 5000)
 
 
-@pytest.mark.parametrize("part_turns", [1, 2, 3, 1000])
-def test_parts_never_change_the_chats(spark, turns, part_turns):
-    parts = chats.assemble_chats(turns, part_turns)
-    assert as_lists(prepare.prepare_chats(parts, "python", 256, part_turns=part_turns)) == expected()
+@pytest.mark.parametrize("part_bytes", [1, 90, 250, 10**6])
+def test_parts_never_change_the_chats(spark, turns, part_bytes):
+    parts = chats.assemble_chats(turns, part_bytes)
+    assert as_lists(prepare.prepare_chats(parts, "python", 256)) == expected()
+
+
+def test_no_row_is_above_the_budget(spark):
+    """Skewed turns in a chat with most of all rows; a turn above the budget stands alone."""
+    turns = spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, 1 + F.col("id") % 7).otherwise(0).alias("source_idx"), "id",
+        F.lit("user").alias("role"), F.repeat(F.lit("x"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("int") * F.when(F.col("id") % 501 == 0, 40).otherwise(1)).alias("content"),
+    ).withColumn("turn", F.row_number().over(Window.partitionBy("source_idx").orderBy("id")) - 1).drop("id")
+    packed = chats.assemble_chats(turns.select(*schemas.CHAT_TURNS.fieldNames()), part_bytes=1000)
+    sizes = packed.select("source_idx", "part", "parts", F.size("messages").alias("n"), F.aggregate(
+        "messages", F.lit(0), lambda all_, m: all_ + F.octet_length(m["content"]) + F.octet_length(m["role"]) + chats.TURN_BYTES
+    ).alias("bytes")).collect()
+    assert all(r["bytes"] <= 1000 or r["n"] == 1 for r in sizes) and max(r["bytes"] for r in sizes) > 1000
+    assert sum(r["bytes"] for r in sizes) / len(sizes) > 300
+    for key in {r["source_idx"] for r in sizes}:
+        own = sorted((r for r in sizes if r["source_idx"] == key), key=lambda r: r["part"])
+        assert {r["parts"] for r in own} == {len(own)}
+        assert all(a["part"] + a["n"] == b["part"] for a, b in zip(own, own[1:])) and own[0]["part"] == 0
+    back = chats.explode_turns(packed)
+    assert back.exceptAll(turns.select(*back.columns)).isEmpty() and back.count() == 3000
 
 
 def test_only_kept_chats_turns_are_sorted_or_shuffled_with_their_content(spark, turns):
@@ -149,9 +169,9 @@ def test_round_trip_of_long_chats(spark):
         (F.col("id") % 3).alias("source_idx"), (F.col("id") / 3).cast("bigint").alias("turn"),
         F.lit("user").alias("role"), F.col("id").cast("string").alias("content"),
     )
-    packed = chats.assemble_chats(turns, part_turns=100)
-    assert packed.filter(F.size("messages") > 100).count() == 0 and packed.count() == 12
-    back = chats.explode_turns(packed, part_turns=100)
+    packed = chats.assemble_chats(turns, part_bytes=4000)
+    assert packed.filter(F.size("messages") > 100).count() == 0 and packed.count() >= 12
+    back = chats.explode_turns(packed)
     assert sorted(back.collect()) == sorted(turns.collect())
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom.functions.distributions import token_gem
-from chatloom.operators import scoring
+from chatloom.operators import cutlosses, scoring
 
 TOKENS = "seq_id INT, pos INT, label INT, logits ARRAY<FLOAT>, ref_logits ARRAY<FLOAT>"
 
@@ -89,3 +89,36 @@ def test_shift_labels_drops_the_last_position(spark):
     labels = {(r["seq_id"], r["pos"]): r["label"] for r in df.collect()}
     got = {(r["seq_id"], r["pos"]): r["label"] for r in scoring.shift_labels(df).collect()}
     assert got == {(s, p): labels[s, p + 1] for s in range(2) for p in range(2)}
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 9, 50])
+def test_losses_of_cut_vectors_equal_those_of_whole_ones(spark, size):
+    rows = data() + [(7, 0, 99, [1.0, 2.0], [1.0, 2.0]), (7, 1, None, [1.0, 2.0], [1.0, 2.0]), (8, 0, 0, None, None), (8, 1, 1, [1e4, -1e4, 0.0], [0.0, 1e4, 3.0])]
+    df = spark.createDataFrame(rows, TOKENS)
+    cut = cutlosses.cut_vectors(df, size, "logits", "ref_logits")
+    assert cut.agg(F.max(F.size("logits"))).first()[0] == min(size, 9)
+
+    def same(one, other, *keys):
+        one, other = ({tuple(r[k] for k in keys): r.asDict() for r in df.collect()} for df in (one, other))
+        assert set(one) == set(other)
+        for key, row in one.items():
+            for name, value in row.items():
+                assert other[key][name] == (value if value is None else pytest.approx(value, rel=1e-6, abs=1e-9))
+
+    token = ("seq_id", "pos")
+    same(scoring.cross_entropy_terms(df).select(*token, "ce"), cutlosses.cut_cross_entropy_terms(cut), *token)
+    same(scoring.kl_terms(df, 2.0).select(*token, "kl"), cutlosses.cut_kl_terms(cut, 2.0), *token)
+    for weights in ("linear", "logsigmoid"):
+        same(scoring.gem_terms(df, weights=weights).select(*token, "gem"), cutlosses.cut_gem_terms(cut, weights=weights), *token)
+    for options in ({"kl_coef": 0.3}, {"kl_coef": 0.3, "kl_start_step": 5}, {}):
+        same(scoring.combined_loss(df, "seq_id", **options), cutlosses.cut_combined_loss(cut, "seq_id", **options), "seq_id")
+    same(scoring.gem_loss(df, num_items=10), cutlosses.cut_gem_loss(cut, num_items=10))
+
+
+def test_cut_vectors_do_not_move(spark):
+    """Numbers are made where a piece stands; what is shuffled has no arrays."""
+    cut = cutlosses.cut_vectors(spark.createDataFrame(data(), TOKENS), 3, "logits", "ref_logits")
+    plan = cutlosses.cut_combined_loss(cut, "seq_id", kl_coef=0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    for part in plan.split("Exchange hashpartitioning(")[1:]:
+        assert "logits" not in part.split("\n")[0]

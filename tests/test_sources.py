@@ -148,3 +148,29 @@ def test_prompt_registry(spark):
 
 def test_peek(spark):
     assert readers.peek(spark.range(100), 3).count() == 3
+
+
+def test_a_second_merge_parses_new_shards_only(spark, tmp_path):
+    root, target = f"{tmp_path}/data", f"{tmp_path}/merged"
+    line = '{"messages": [], "language": "%s", "num_tokens_serialized": 1, "source_idx": %s}\n'
+    (tmp_path / "data.rank0.jsonl").write_text(line % ("a", 1) + line % ("a", 2))
+    first = writers.finalize_shards(spark, root, target, dedup=True)
+    assert keys_of(first) == [1, 2]
+    # The same length with other content: a parser that came by would notice.
+    length = (tmp_path / "data.rank0.jsonl").stat().st_size
+    (tmp_path / "data.rank0.jsonl").write_text("x" * length)
+    (tmp_path / "data.rank1.jsonl").write_text(line % ("b", 2) + line % ("b", 3))
+    second = writers.finalize_shards(spark, root, target, dedup=True)
+    assert sorted((r["source_idx"], r["language"]) for r in second.collect()) == [(1, "a"), (2, "a"), (3, "b")]
+    # A shard of another length is another shard: the stage begins anew.
+    (tmp_path / "data.rank0.jsonl").write_text(line % ("c", 7))
+    assert keys_of(writers.finalize_shards(spark, root, target)) == [2, 3, 7]
+    (tmp_path / "data.rank1.jsonl").unlink()
+    assert keys_of(writers.finalize_shards(spark, root, target)) == [7]
+
+
+def test_a_repeated_append_of_a_run_adds_nothing(spark, tmp_path):
+    for _ in range(2):
+        writers.append_jsonl(prepared(spark, [1, 2]), f"{tmp_path}/out", run="a")
+    writers.append_jsonl(prepared(spark, [3]), f"{tmp_path}/out", run="b")
+    assert keys_of(readers.read_prepared(spark, f"{tmp_path}/out")) == [1, 2, 3]

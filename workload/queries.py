@@ -10,7 +10,8 @@ from chatloom import schemas
 from chatloom.functions import chat, problems as rules, text
 from chatloom.functions.tokens import count_tokens, counter_from, turn_tokens
 from chatloom.operators import (
-    chats, filters, generate, grading, packing, resume, scan, scoring, throughput,
+    chats, cutlosses, filters, generate, grading, packing, positions, resume, scan, scoring,
+    throughput,
 )
 from chatloom.plans import evaluate, prepare
 from chatloom.session import fresh_folder, tune
@@ -23,6 +24,7 @@ MAX_SEQ_LEN = 512
 PACK_LEN = 2048
 SAMPLE = 200
 RERUN_SAMPLE = 60
+PART_BYTES = 700
 TOKENS_IN_STEP = throughput.tokens_per_step(8192, 1, 8, 8)
 KL_COEF = 0.1
 KL_TEMPERATURE = 2.0
@@ -79,9 +81,10 @@ def sft_build_rows(spark, sf_dir):
 
 @query
 def sft_build_parts(spark, sf_dir):
-    """Chats cut into parts of two turns: the same training chats."""
-    rows = chats.assemble_chats(views.chat_turns(spark, sf_dir), part_turns=2)
-    return _as_text(prepare.prepare_chats(rows, max_seq_len=MAX_SEQ_LEN, part_turns=2))
+    """Chats cut into parts of a few hundred bytes, in which turns of very different
+    lengths stand alone or together: the same training chats."""
+    rows = chats.assemble_chats(views.chat_turns(spark, sf_dir), part_bytes=PART_BYTES)
+    return _as_text(prepare.prepare_chats(rows, max_seq_len=MAX_SEQ_LEN))
 
 
 @query
@@ -116,7 +119,7 @@ def stream_funnel(spark, sf_dir):
     folder = fresh_folder(spark, "stream")
     stream_prepare.stream_prepare(
         _stored_chats(spark, sf_dir, folder), f"{folder}/out", f"{folder}/checkpoint",
-        max_seq_len=MAX_SEQ_LEN, language="python", part_turns=3, funnel=True,
+        max_seq_len=MAX_SEQ_LEN, language="python", funnel=True,
     ).awaitTermination()
     return stream_prepare.read_stream_funnel(spark, f"{folder}/out")
 
@@ -488,6 +491,36 @@ def row_numbers(spark, sf_dir):
     return documents.select("doc_id", "text").join(numbered, "doc_id")
 
 
+@query
+def storage_numbers(spark, sf_dir):
+    """Rows of several files numbered where they stand."""
+    path = fresh_folder(spark, "numbers")
+    place = F.md5(F.col("doc_id").cast("string"))
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "source")
+    writers.save_table(documents.repartitionByRange(5, place).sortWithinPartitions(place), path)
+    stored = readers.read_table(spark, path, schema=documents.schema)
+    return positions.number_stored(stored, "number").select("doc_id", "number")
+
+
+@query
+def zip_answers(spark, sf_dir):
+    """Replies and answers without a key, stored in one order but in other files."""
+    folder = fresh_folder(spark, "zip")
+    ordered = lambda files: _replies(spark, sf_dir).repartitionByRange(
+        files, "source_idx", "turn"
+    ).sortWithinPartitions("source_idx", "turn")
+    writers.save_table(ordered(4).select("source_idx", "turn"), f"{folder}/asked")
+    writers.save_table(ordered(7).select(F.md5("content").alias("answer")), f"{folder}/answers")
+    return positions.zip_stored(readers.read_table(spark, f"{folder}/asked"), readers.read_table(spark, f"{folder}/answers"))
+
+
+@query
+def first_half(spark, sf_dir):
+    """Half of a table in key order, selected where its rows stand."""
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return resume.select_first(documents, documents.count() // 2, "source", "n_chars", "doc_id")
+
+
 # ---- losses ----------------------------------------------------------------
 
 
@@ -536,6 +569,44 @@ def reference_kl(spark, sf_dir):
     return terms.groupBy("seq_id").agg(F.round(F.avg("kl"), 6).alias("mean_kl"))
 
 
+def _cut(tokens: DataFrame, *vectors: str) -> DataFrame:
+    """Each vector in four rows."""
+    return cutlosses.cut_vectors(tokens, -(-views.VOCABULARY // 4), *vectors)
+
+
+@query
+def token_kl_cut(spark, sf_dir):
+    pieces = _cut(views.token_logits(spark, sf_dir), "logits", "ref_logits")
+    return cutlosses.cut_kl_terms(pieces, KL_TEMPERATURE).select("seq_id", "pos", _rounded("kl"))
+
+
+@query
+def token_ce_cut(spark, sf_dir):
+    pieces = _cut(views.student_logits(spark, sf_dir), "logits")
+    return cutlosses.cut_cross_entropy_terms(pieces).select("seq_id", "pos", _rounded("ce"))
+
+
+@query
+def gem_loss_cut(spark, sf_dir):
+    pieces = _cut(views.student_logits(spark, sf_dir), "logits")
+    return cutlosses.cut_gem_loss(pieces, "seq_id").select("seq_id", _rounded("gem_loss"))
+
+
+@query
+def gem_loss_linear_cut(spark, sf_dir):
+    pieces = _cut(views.student_logits(spark, sf_dir), "logits")
+    return cutlosses.cut_gem_loss(pieces, num_items=1000, weights="linear").select(_rounded("gem_loss"))
+
+
+@query
+def seq_loss_cut(spark, sf_dir):
+    pieces = _cut(views.token_logits(spark, sf_dir), "logits", "ref_logits")
+    loss = cutlosses.cut_combined_loss(pieces, "seq_id", kl_coef=KL_COEF)
+    return loss.select(
+        "seq_id", "trained_tokens", _rounded("loss_ce"), _rounded("loss_kl"), _rounded("loss")
+    )
+
+
 @query
 def align_vectors(spark, sf_dir):
     vectors = views.table(spark, sf_dir, "embeddings")
@@ -710,9 +781,9 @@ def json_records(spark, sf_dir):
 
 
 def _stored_chats(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """Chats in parts of three turns, so that parts come in different batches; whole
+    """Chats in parts of two kilobytes, so that parts come in different batches; whole
     chats among them have no part number."""
-    rows = chats.assemble_chats(views.chat_turns(spark, sf_dir), part_turns=3)
+    rows = chats.assemble_chats(views.chat_turns(spark, sf_dir), part_bytes=2048)
     rows = rows.withColumns({
         "num_tokens": F.lit(None).cast("bigint"),
         "part": F.when(F.col("parts") > 1, F.col("part")), "parts": F.when(F.col("parts") > 1, F.col("parts")),
@@ -727,7 +798,7 @@ def stream_build(spark, sf_dir):
     folder = fresh_folder(spark, "stream")
     stream = _stored_chats(spark, sf_dir, folder)
     stream_prepare.stream_prepare(
-        stream, f"{folder}/out", f"{folder}/checkpoint", max_seq_len=MAX_SEQ_LEN, part_turns=3
+        stream, f"{folder}/out", f"{folder}/checkpoint", max_seq_len=MAX_SEQ_LEN
     ).awaitTermination()
     return _as_text(stream_prepare.read_prepared_stream(spark, f"{folder}/out"))
 
@@ -743,7 +814,7 @@ def stream_resume(spark, sf_dir):
             else stream_prepare.read_chat_stream(spark, f"{folder}/in")
         )
         stream_prepare.stream_resume(
-            stream, f"{folder}/out", f"{folder}/checkpoint-{attempt}", max_seq_len=MAX_SEQ_LEN, part_turns=3
+            stream, f"{folder}/out", f"{folder}/checkpoint-{attempt}", max_seq_len=MAX_SEQ_LEN
         ).awaitTermination()
     return _as_text(readers.read_table(spark, f"{folder}/out", schema=schemas.PREPARED_CHATS))
 
@@ -784,6 +855,14 @@ def generate_batches(spark, sf_dir):
     return summed.select("source_idx", "turn", "summary")
 
 
+@query
+def generate_by_length(spark, sf_dir):
+    """The same texts from batches of prompts of like lengths."""
+    thought = _replies(spark, sf_dir).withColumn("think", text.last_think(F.col("content")))
+    summed = generate.summarize_thinks(thought, "think", "summary", _echo, token_budget=4000)
+    return summed.select("source_idx", "turn", "summary")
+
+
 def _lengths(batch: list[str]) -> list[int]:
     pattern = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]")
     return [len(pattern.findall(line)) for line in batch]

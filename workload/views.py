@@ -14,6 +14,8 @@ from chatloom.operators.scoring import with_reference
 from chatloom.schemas import MESSAGE
 
 PASSES = 3
+# Fixed value: the length of an embedding.
+VOCABULARY = 64
 
 # Replies with reasoning marks and code blocks in seven layouts.
 CHAT_CONTENT = """CASE WHEN role <> 'assistant' THEN text
