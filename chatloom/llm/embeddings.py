@@ -22,26 +22,58 @@ further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chatloom.llm.common import BUCKET, buckets_of, pinned, running_total, skewed_join
 from chatloom.llm.graph import components, local_roots
+from chatloom.operators.scan import slice_starts, starts_at_or_before
 
 THRESHOLD = 0.93
 TILE = 2048
 BOX = 6
 LEADING = 16
 STRIP = 512
+SAMPLE_TASKS = 8
 
 
-def rotation(vectors: np.ndarray) -> np.ndarray:
-    """Columns: directions of falling energy of unit vectors."""
-    energy, directions = np.linalg.eigh(vectors.T @ vectors)
+def rotation(moments: np.ndarray) -> np.ndarray:
+    """Columns: directions of falling energy, from the sum of unit vectors' outer products."""
+    energy, directions = np.linalg.eigh(moments)
     return directions[:, np.argsort(energy)[::-1]]
 
 
+def moments(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of the outer products of unit vectors ``_v``, by width.
+
+    They are summed in a few tasks; the driver gets one matrix per task and width.
+    """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            by_width: dict[int, list] = {}
+            for v in batch.column("_v").to_pylist():
+                by_width.setdefault(len(v), []).append(v)
+            for width, own in by_width.items():
+                unit = np.array(own, dtype=float)
+                unit /= np.linalg.norm(unit, axis=1)[:, None]
+                total[width] = total.get(width, 0) + unit.T @ unit
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([m.ravel() for m in total.values()], pa.list_(pa.float64()))],
+            names=["width", "products"],
+        )
+
+    found: dict[int, np.ndarray] = {}
+    for row in vectors.coalesce(SAMPLE_TASKS).mapInArrow(summed, "width int, products array<double>").toLocalIterator():
+        found[row["width"]] = found.get(row["width"], 0) + np.array(row["products"]).reshape(row["width"], row["width"])
+    return found
+
+
 def linked_pairs(x: np.ndarray, y: np.ndarray | None, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the pairs with cosine >= threshold; within ``x`` (i < j) if y is None."""
     def prepared(rows):
@@ -111,13 +143,7 @@ def near_duplicates(
     found = classes.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     share = min(1.0, sample_rows / max(found, 1))
     drawn = classes.filter(F.pmod(F.xxhash64(F.lit("sample"), "_class"), F.lit(2**30)) < F.lit(int(share * 2**30) + 1))
-    by_width: dict[int, list] = {}
-    for row in drawn.select("_dim", "_v").limit(2 * sample_rows).collect():
-        by_width.setdefault(row["_dim"], []).append(row["_v"])
-    turns = {}
-    for width, vectors in by_width.items():
-        sample = np.array(vectors, dtype=float)
-        turns[width] = rotation(sample / np.linalg.norm(sample, axis=1)[:, None])
+    turns = {width: rotation(products) for width, products in moments(drawn.select("_v").limit(2 * sample_rows)).items()}
     turn_of = lambda width: turns[width] if width in turns else np.eye(width)
 
     @F.pandas_udf("array<double>")
@@ -130,14 +156,18 @@ def near_duplicates(
         return pd.Series(heads)
 
     count = buckets_of(spark)
-    headed = pinned(classes.withColumn("_head", leading("_v")).withColumn(
-        BUCKET, F.floor((F.greatest(F.least(F.get("_head", F.lit(0)), F.lit(1.0)), F.lit(-1.0)) + 1) * count / 2).cast("int")
-    ))
-    narrow = headed.select("_label", "_dim", "node", "_class", "_check", BUCKET, F.get("_head", F.lit(0)).alias("_first"))
+    headed = pinned(classes.withColumn("_head", leading("_v")))
+    # Buckets hold like numbers of rows, also where vectors lie in a narrow cone or in one label.
+    order = ["_label", "_dim", "_first"]
+    headed = headed.withColumn("_first", F.get("_head", F.lit(0)))
+    starts, found = slice_starts(headed, order, count)
+    own = F.struct(*order).cast(headed.select(*order).schema.simpleString())
+    headed = headed.withColumn(BUCKET, starts_at_or_before(starts, found, own))
+    narrow = headed.select("_label", "_dim", "node", "_class", "_check", BUCKET, "_first")
     placed = running_total(narrow, ["_label", "_dim"], ["_first", "node", "_class", "_check"], F.lit(1), "_rank")
     tiled = pinned(headed.join(
         placed.select(*key, F.floor(F.col("_rank") / TILE).cast("int").alias("tile")), key
-    ).drop(BUCKET))
+    ).drop(BUCKET, "_first"))
     bounds = [f(F.get("_head", F.lit(k))).alias(f"{n}{k}") for k in range(BOX) for n, f in (("lo", F.min), ("hi", F.max))]
     boxes = pinned(tiled.groupBy("_label", "_dim", "tile").agg(*bounds))
     a, b = boxes.alias("a"), boxes.alias("b")
