@@ -129,9 +129,10 @@ parsed AS (
   SELECT doc_id, th, pos, len(tk) AS n, tk[1:3] AS lead, array_to_string(tk, ' ') AS template FROM tokens WHERE len(tk) >= 3
 ),
 counts AS (
-  SELECT template, lead, n, count(DISTINCT th) AS texts, min(doc_id) AS first FROM parsed GROUP BY ALL
+  SELECT template, lead, n, CASE WHEN n >= 50 THEN 2 ELSE 3 END AS needed, count(DISTINCT th) AS texts, min(doc_id) AS first
+  FROM parsed GROUP BY ALL
 ),
-shared AS (SELECT lead, n FROM counts WHERE n >= 7 GROUP BY lead, n HAVING count(*) > 1 AND sum(texts) >= 3),
+shared AS (SELECT lead, n FROM counts WHERE n >= 7 GROUP BY lead, n, needed HAVING count(*) > 1 AND sum(texts) >= needed),
 contested AS (
   SELECT c.*, string_split(c.template, ' ') AS tk, least(8, c.n - 3) AS k, c.n - 3 AS rest FROM counts c JOIN shared USING (lead, n)
 ),
@@ -152,12 +153,32 @@ agreeing AS (
 ),
 grouped AS (
   SELECT a.lead, a.n, min(p.doc_id) AS first FROM parsed p JOIN agreeing a USING (template)
-  GROUP BY a.lead, a.n HAVING count(DISTINCT p.th) >= 3
+  GROUP BY a.lead, a.n HAVING count(DISTINCT p.th) >= CASE WHEN a.n >= 50 THEN 2 ELSE 3 END
+),
+fielded AS (
+  SELECT template, lead, n, needed, texts, k, list_transform(range(k), lambda j: array_to_string(
+    tk[4 + CAST(floor(j * rest / k) AS BIGINT) : 3 + CAST(floor((j + 1) * rest / k) AS BIGINT)], ' ')) AS fields
+  FROM contested
+),
+subsets AS (
+  SELECT template, lead, n, needed, texts, mask,
+    list_transform(list_filter(range(k), lambda j: (mask >> j) & 1 = 1), lambda j: fields[j + 1]) AS same
+  FROM (SELECT *, unnest(range(CAST(power(2, k) AS BIGINT))) AS mask FROM fielded)
+  WHERE bit_count(mask) = CAST(ceil(0.75 * k) AS BIGINT)
+),
+families AS (
+  SELECT lead, n, mask, same FROM subsets GROUP BY lead, n, needed, mask, same HAVING count(*) > 1 AND sum(texts) >= needed
+),
+kin AS (SELECT DISTINCT s.template, s.lead, s.n, s.mask, s.same FROM subsets s JOIN families f USING (lead, n, mask, same)),
+related AS (
+  SELECT k.lead, k.n, k.mask, k.same, min(p.doc_id) AS first FROM parsed p JOIN kin k USING (template)
+  GROUP BY k.lead, k.n, k.mask, k.same HAVING count(DISTINCT p.th) >= CASE WHEN k.n >= 50 THEN 2 ELSE 3 END
 ),
 recurring AS (
   SELECT template, min(first) AS first FROM (
-    SELECT template, first FROM counts WHERE texts >= 3
+    SELECT template, first FROM counts WHERE texts >= needed
     UNION ALL SELECT a.template, g.first FROM agreeing a JOIN grouped g USING (lead, n)
+    UNION ALL SELECT k.template, r.first FROM kin k JOIN related r USING (lead, n, mask, same)
   ) GROUP BY template
 ),
 drops AS (

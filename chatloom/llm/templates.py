@@ -149,20 +149,21 @@ def _families(examples: DataFrame) -> DataFrame:
 def recurring_lines(parsed: DataFrame, families: bool = True) -> DataFrame:
     """(_id, _text, pos) of the lines to drop."""
     enough = F.col("texts") >= F.col("least")
-    by_text = parsed.groupBy("template", "leaf", "least", "_text").agg(F.min("_id").alias("first"))
+    by_text = parsed.groupBy("template", "leaf", "least", "_text").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("_lines"))
+    # Copies of a text count once as texts, but all their lines weigh in the joins.
     counts = pinned(by_text.groupBy("template", "leaf", "least").agg(
-        F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")
+        F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.sum("_lines").alias("_lines")
     ))
     shared = counts.filter("leaf IS NOT NULL").groupBy("leaf", "least").agg(
         F.count(F.lit(1)).alias("templates"), F.sum("texts").alias("all_texts")
     ).filter((F.col("templates") > 1) & (F.col("all_texts") >= F.col("least")))
     contested = skewed_join(counts, pinned(shared.select("leaf", "templates")), ["leaf"], "templates").select(
-        "template", "texts", "first", F.lit(True).alias("contested"), enough.alias("enough")
+        "template", "texts", "first", "_lines", F.lit(True).alias("contested"), enough.alias("enough")
     )
     wanted = contested.unionByName(
-        counts.filter(enough).select("template", "texts", "first", F.lit(False).alias("contested"), F.lit(True).alias("enough"))
-    ).groupBy("template").agg(F.max("texts").alias("texts"), F.min("first").alias("first"), F.max("contested").alias("contested"), F.max("enough").alias("enough"))
-    wanted = pinned(wanted.withColumn("_lines", F.col("texts")))
+        counts.filter(enough).select("template", "texts", "first", "_lines", F.lit(False).alias("contested"), F.lit(True).alias("enough"))
+    ).groupBy("template").agg(*[F.max(c).alias(c) for c in ("texts", "_lines", "contested", "enough")], F.min("first").alias("first"))
+    wanted = pinned(wanted)
     # From here on only lines of templates that recur or may be generalised.
     lines = pinned(skewed_join(parsed, wanted, ["template"], "_lines"))
     examples = lines.filter("contested AND _id = first").select("template", "leaf", "least", "texts", "fields").dropDuplicates(["template"])
@@ -173,16 +174,16 @@ def recurring_lines(parsed: DataFrame, families: bool = True) -> DataFrame:
     merged = pinned(grouped.groupBy("template").agg(F.collect_set("group").alias("groups")))
     # A text with two lines of one template counts once, so texts are counted anew.
     narrow = lines.select("template", "least", "_id", "_text", "pos")
-    sizes = merged.join(wanted.select("template", "texts"), "template").withColumn("texts", F.col("texts") * F.size("groups"))
-    members = skewed_join(narrow, pinned(sizes), ["template"], "texts").select("least", "_id", "_text", F.explode("groups").alias("group"))
+    sizes = merged.join(wanted.select("template", "_lines"), "template").withColumn("_lines", F.col("_lines") * F.size("groups"))
+    members = skewed_join(narrow, pinned(sizes), ["template"], "_lines").select("least", "_id", "_text", F.explode("groups").alias("group"))
     groups = pinned(members.groupBy("group", "least", "_text").agg(F.min("_id").alias("first")).groupBy("group", "least").agg(
         F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")
-    ).filter(enough).select("group", "texts", "first", F.col("texts").alias("_lines")))
-    general = skewed_join(merged.select("template", F.explode("groups").alias("group")), groups, ["group"], "_lines")
-    general = general.select("template", "texts", "first")
-    alone = wanted.filter("enough").select("template", "texts", "first")
-    final = alone.unionByName(general).groupBy("template").agg(F.min("first").alias("first"), F.max("texts").alias("texts"))
-    return skewed_join(narrow, pinned(final), ["template"], "texts").filter("_id > first").select("_id", "_text", "pos")
+    ).filter(enough).select("group", "first", F.col("texts").alias("_members")))
+    general = skewed_join(merged.select("template", F.explode("groups").alias("group")), groups, ["group"], "_members")
+    alone = wanted.filter("enough").select("template", "first")
+    final = alone.unionByName(general.select("template", "first")).groupBy("template").agg(F.min("first").alias("first"))
+    final = final.join(wanted.select("template", "_lines"), "template")
+    return skewed_join(narrow, pinned(final), ["template"], "_lines").filter("_id > first").select("_id", "_text", "pos")
 
 
 def drop_recurring_lines(

@@ -19,7 +19,7 @@ from check import rows_of
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     df = QUERIES[name](spark, SF_DIR)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
@@ -130,6 +130,26 @@ def test_long_lines_recur_from_two_texts(spark):
     assert kept_lines(spark, rows, least_texts_long=3) == dict(rows)
 
 
+def test_the_sql_follows_the_operator(spark):
+    """Families and long lines, which a count of three and usual values alone would keep."""
+    names = ["ann", "bob", "cem", "dee", "eva"]
+    long = " ".join(f"{a}{b}" for a in "abcdefg" for b in "stuvwxyz")
+    rows = [(k, f"Sign up today for the free weekly letter from us\nown {'abcdefgh'[k]} line") for k in range(8)]
+    rows += [(10 + k, f"Sign up today with {n} and friends to win prizes") for k, n in enumerate(names)]
+    rows += [(20 + k, f"Read more on this {n} page about green trees now") for k, n in enumerate(names)]
+    rows += [(30 + k, f"Read more on our {n} site with blue rivers instead") for k, n in enumerate(names)]
+    rows += [(40, f"{long}\nfirst text"), (41, f"second text\n{long}"), (42, None), (43, "")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = plain(templates.drop_recurring_lines(docs, report=True).select("doc_id", "text", "n_lines", "n_dropped").collect())
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = plain(db.execute(oracle.SQL["op9_line_templates"]).fetchall())
+    assert got == want
+    kept = {r[0]: r[1] for r in want}
+    assert kept[41] == "second text" and kept[10] and not any(kept[k] for k in (11, 21, 31))
+
+
 def test_copies_count_once(spark):
     text = "a line that stands in copies only\nand one more such line here"
     assert set(kept_lines(spark, [(k, text) for k in range(5)]).values()) == {text}
