@@ -8,6 +8,7 @@ with it, not what waits. Each waiting chat has a timer: if parts are still missi
 when it ends, those that came are set aside with their counts, and the state goes.
 Times are those Spark logs for a batch, and files are written per batch, so a
 replayed batch gives the same rows. Source files must stay until their chats are done.
+Parts without a number or a chat are set aside at once.
 
 State needs Spark's RocksDB store, which is set for the stream alone. A timer ends
 with the first batch that has new rows after its time.
@@ -113,7 +114,8 @@ class Waiting(StatefulProcessor):
 
 
 def _with_events(chats: DataFrame, wait_seconds: int) -> DataFrame:
-    """Whole chats as rows, and a row for each chat of parts that is complete or given up."""
+    """Whole chats as rows, a row for each chat of parts that is complete or given up,
+    and parts without a number or a chat, which can be placed nowhere."""
     parts = chats.filter("parts > 1 AND part IS NOT NULL AND source_idx IS NOT NULL").select(
         "source_idx", "part", "parts", F.col("_metadata.file_path").alias("file")
     )
@@ -121,7 +123,10 @@ def _with_events(chats: DataFrame, wait_seconds: int) -> DataFrame:
         Waiting(wait_seconds), EVENTS, "append", "processingTime"
     )
     whole = chats.filter("coalesce(parts, 1) <= 1").select(*schemas.CHAT_ROWS.fieldNames())
-    return whole.unionByName(events, allowMissingColumns=True)
+    unplaced = chats.filter("parts > 1 AND (part IS NULL OR source_idx IS NULL)").select(
+        *schemas.CHAT_ROWS.fieldNames(), F.lit("unplaced").alias("outcome")
+    )
+    return whole.unionByName(events, allowMissingColumns=True).unionByName(unplaced, allowMissingColumns=True)
 
 
 def _parts_of(events: DataFrame, outcome: str, files: list[str]) -> DataFrame:
@@ -152,9 +157,9 @@ def _foreach_batch(
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         events = batch.filter("outcome IS NOT NULL")
-        # Two rows at most; the files are among those the stream's source has listed.
+        # Three rows at most; the files are among those the stream's source has listed.
         known = {
-            r["outcome"]: r for r in events.select("outcome", "parts", F.explode("files").alias("file"))
+            r["outcome"]: r for r in events.select("outcome", "parts", F.explode_outer("files").alias("file"))
             .groupBy("outcome").agg(F.collect_set("file").alias("files"), F.max("parts").alias("most")).collect()
         }
         whole, long = batch.filter("outcome IS NULL").select("source_idx", "messages", "num_tokens"), None
@@ -163,6 +168,9 @@ def _foreach_batch(
             whole = whole.unionByName(_joined(parts.filter(F.col("_parts") <= WHOLE_PARTS)))
             if done["most"] > WHOLE_PARTS:
                 long = parts.filter(F.col("_parts") > WHOLE_PARTS).drop("_parts").dropDuplicates(["source_idx", "part"])
+        if "unplaced" in known:
+            unplaced = batch.filter("outcome = 'unplaced'").select(*schemas.CHAT_ROWS.fieldNames())
+            unplaced.write.mode("overwrite").parquet(f"{target}-incomplete/unplaced/batch_id={batch_id}")
         if lost := known.get("incomplete"):
             left = _parts_of(events, "incomplete", lost["files"]).drop("_parts")
             left.select(*schemas.CHAT_ROWS.fieldNames()).write.mode("overwrite").parquet(f"{target}-incomplete/rows/batch_id={batch_id}")

@@ -397,6 +397,8 @@ def statements() -> dict[str, str]:
         "prompt_passes": f"""WITH {ASKED} SELECT id, pass_idx, md5({SOLVE_PROMPT}) AS prompt_md5,
             {TIME_LIMIT} AS total_time_limit FROM (SELECT * FROM asked WHERE doc_id % 5 <> 0
             ORDER BY doc_id LIMIT {q.SAMPLE}) CROSS JOIN {PASSES}""",
+        "prompt_passes_all": f"""WITH {ASKED} SELECT id, pass_idx, md5({SOLVE_PROMPT}) AS prompt_md5,
+            {TIME_LIMIT} AS total_time_limit FROM (SELECT * FROM asked WHERE doc_id % 5 <> 0) CROSS JOIN {PASSES}""",
         "prompt_passes_by_pass": f"""WITH {PROBLEMS} SELECT id, pass_idx FROM (SELECT * FROM problems ORDER BY doc_id
             LIMIT {q.RERUN_SAMPLE} OFFSET {q.RERUN_SAMPLE}) CROSS JOIN {PASSES}
             WHERE NOT (doc_id % 5 = 0 AND pass_idx = 1)""",

@@ -342,6 +342,15 @@ def prompt_passes(spark, sf_dir):
     return asked.select("id", "pass_idx", F.md5("prompt").alias("prompt_md5"), "total_time_limit")
 
 
+@query
+def prompt_passes_all(spark, sf_dir):
+    """A sample of 0 asks for every problem that is not finished."""
+    asked = evaluate.pending_prompts(
+        views.problems(spark, sf_dir), _done_ids(spark, sf_dir), 0, views.PASSES, "doc_id"
+    )
+    return asked.select("id", "pass_idx", F.md5("prompt").alias("prompt_md5"), "total_time_limit")
+
+
 @query
 def prompt_passes_by_pass(spark, sf_dir):
     """The second of two reruns: it goes on where the first one's sample ended."""
