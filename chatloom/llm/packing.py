@@ -59,9 +59,9 @@ class Chunks(dict):
     When full, it begins anew and keeps the last generation aside, so chunks in use stay.
     """
 
-    def __init__(self, tokenizer, code: str):
+    def __init__(self, tokenizer, code: str, most: int):
         super().__init__()
-        self.tokenizer, self.model, self.code = tokenizer, tokenizer.model, code
+        self.tokenizer, self.model, self.code, self.most = tokenizer, tokenizer.model, code, most
         self.older: dict[str, bytes] = {}
 
     def _ids(self, chunk: str) -> list[int]:
@@ -80,7 +80,7 @@ class Chunks(dict):
         if found is None:
             ids = self._ids(chunk)
             found = struct.pack(f"<{len(ids)}{self.code}", *ids)
-        if len(self) >= CACHED_CHUNKS:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[chunk] = found
@@ -95,12 +95,12 @@ class ChunkEncoder:
     ends with its task: a reused Python worker must not keep it for later stages.
     """
 
-    def __init__(self, path: str, width: str = "<u4"):
+    def __init__(self, path: str, width: str = "<u4", most: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.width = width
-        self.chunks = Chunks(Tokenizer.from_file(path), np.dtype(width).char)
+        self.chunks = Chunks(Tokenizer.from_file(path), np.dtype(width).char, most or CACHED_CHUNKS)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known, found = self.chunks.__getitem__, []

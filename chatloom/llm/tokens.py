@@ -51,6 +51,8 @@ from chatloom.session import fresh_folder
 FORMAT = "chatloom_tokens"
 END_ID = 2
 BLOCK_IDS = 1 << 18
+# Ids of two bytes leave room for more chunks than those of packing.
+CACHED_CHUNKS = 300_000
 MAGIC = b"TOKENS01"
 ENCODED = "doc_id bigint, ids binary, counts binary"
 COUNTING_TASKS = 8
@@ -270,7 +272,7 @@ def encode(docs: DataFrame, path: str, *, id: str, text: str, end_id: int, width
     names = ["doc_id", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, width)
+        encoder = ChunkEncoder(path, width, CACHED_CHUNKS)
         total = np.zeros(0, dtype="<i8")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
