@@ -73,16 +73,24 @@ FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN least l ON l.a
 """
 
 SQL["op6_revisit_resolution"] = r"""
-WITH records AS (
-  SELECT page_id * 2 AS record_id, url, page_id * 60 AS fetched_at, 'response' AS kind,
-    concat('"', md5(html), '"') AS etag, CAST(page_id * 60 AS VARCHAR) AS sent, html AS page
+WITH sites AS (
+  SELECT *, concat(regexp_extract(url, '^[a-z]+://[^/]+', 0), '/page', page_id % 3) AS site, page_id * 60 AS sent,
+    page_id * 60 + CASE WHEN page_id % 7 = 0 THEN -30 ELSE 90 END + page_id % 11 * 300 AS seen
   FROM pages
+),
+versions AS (
+  SELECT *, CAST(floor(sent / 6000) AS BIGINT) AS sent_version, CAST(floor(seen / 6000) AS BIGINT) AS seen_version FROM sites
+),
+records AS (
+  SELECT page_id * 2 AS record_id, site AS url, sent AS fetched_at, 'response' AS kind, concat('"', sent_version, '"') AS etag,
+    CASE WHEN page_id % 4 < 2 THEN CAST(sent_version * 6000 AS VARCHAR) END AS changed, CAST(sent AS VARCHAR) AS date, html AS page
+  FROM versions
   UNION ALL
-  SELECT page_id * 2 + 1, CASE page_id % 3 WHEN 0 THEN concat(url, '#again') WHEN 1 THEN regexp_replace(url, '^http:', 'https:') ELSE url END,
-    page_id * 60 + CASE WHEN page_id % 7 = 0 THEN -30 ELSE 90 END, 'revisit',
-    CASE page_id % 5 WHEN 0 THEN '"other"' WHEN 1 THEN NULL ELSE concat('"', md5(html), '"') END,
-    CAST(page_id * 60 + 90 AS VARCHAR), NULL
-  FROM pages
+  SELECT page_id * 2 + 1, CASE page_id % 3 WHEN 0 THEN concat(site, '/#again') WHEN 1 THEN regexp_replace(site, '^http:', 'https:')
+      ELSE concat(site, '?utm_source=x') END,
+    seen, 'revisit', CASE page_id % 5 WHEN 0 THEN '"other"' WHEN 1 THEN NULL ELSE concat('"', seen_version, '"') END,
+    CASE WHEN page_id % 2 = 0 THEN CAST(seen_version * 6000 AS VARCHAR) END, CAST(seen AS VARCHAR), NULL
+  FROM versions
 ),
 bared AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM records),
 split AS (
@@ -94,7 +102,7 @@ split AS (
   FROM bared
 ),
 named AS (
-  SELECT record_id, fetched_at, kind, etag, sent, page,
+  SELECT record_id, fetched_at, kind, etag, changed, date, page,
     CASE WHEN host <> '' THEN concat('https://', host, path, CASE WHEN tail <> '' THEN concat('?', tail) ELSE '' END) END AS address
   FROM split
 ),
@@ -104,17 +112,23 @@ latest AS (
   WHERE r.kind = 'revisit' GROUP BY r.record_id
 ),
 joined AS (
-  SELECT r.*, a.source_id, f.etag AS etag0, f.page AS page0,
-    CASE WHEN r.kind = 'response' THEN 'full' WHEN a.source_id IS NULL THEN 'unresolved'
-      WHEN r.etag <> f.etag THEN 'mismatch' WHEN r.etag = f.etag THEN 'resolved' ELSE 'unverified' END AS outcome
+  SELECT r.*, a.source_id, f.etag AS etag0, f.changed AS changed0, f.page AS page0,
+    coalesce(r.etag = f.etag, false) AS same_tag, coalesce(r.changed = f.changed, false) AS same_time,
+    coalesce(r.etag <> f.etag, false) AS other_tag, coalesce(r.changed <> f.changed, false) AS other_time
   FROM named r LEFT JOIN latest a USING (record_id) LEFT JOIN named f ON f.record_id = a.source_id
+),
+judged AS (
+  SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN source_id IS NULL THEN 'unresolved'
+    WHEN other_tag OR (other_time AND NOT same_tag) THEN 'mismatch' WHEN same_tag OR same_time THEN 'resolved' ELSE 'unverified' END AS outcome
+  FROM joined
 )
 SELECT record_id, address, source_id, outcome,
-  CASE WHEN outcome = 'full' THEN concat('content-type=text/html;date=', sent, ';etag=', etag, ';expires=0')
-    WHEN outcome = 'resolved' THEN concat('content-type=text/html;date=', sent, ';etag=', etag, ';expires=0')
-    ELSE concat('date=', sent, ';etag=', coalesce(etag, '-'), ';server=cache') END AS headers,
-  CASE WHEN outcome = 'full' THEN page WHEN outcome = 'resolved' THEN page0 END AS page
-FROM joined
+  CASE outcome WHEN 'full' THEN concat_ws(';', 'content-type=text/html', 'date=' || date, 'etag=' || etag, 'expires=0', 'last-modified=' || changed)
+    WHEN 'resolved' THEN concat_ws(';', 'content-type=text/html', 'date=' || date, 'etag=' || coalesce(etag, etag0), 'expires=0',
+      'last-modified=' || coalesce(changed, changed0))
+    ELSE concat_ws(';', 'date=' || date, 'etag=' || etag, 'last-modified=' || changed, 'server=cache') END AS headers,
+  CASE outcome WHEN 'full' THEN page WHEN 'resolved' THEN page0 END AS page
+FROM judged
 """
 
 SQL["op9_line_templates"] = r"""

@@ -55,28 +55,37 @@ def op5_embedding_near_dedup(spark, table):
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Each page as a full response and as a later, now and then earlier, revisit.
+    """Each page as a full response of one of three addresses of its host, and as a
+    revisit of that address some time later, now and then earlier.
 
-    The revisit writes the address in another way; of five, one contradicts the
-    validator and one has none.
+    So an address has many responses over time, and the address of a common host
+    very many. Validators change every hundred pages; part of the responses tell when
+    they were modified. The revisit writes the address in another way; of five, one
+    contradicts the validator and one has none or only a time.
     """
-    id, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
-    of = lambda **h: F.map_from_arrays(
+    id = F.col("page_id")
+    of = lambda **h: F.map_filter(F.map_from_arrays(
         F.array(*[F.lit(k.replace("_", "-")) for k in h]), F.array(*h.values())
-    )
+    ), lambda _, v: v.isNotNull())
+    version = lambda at: F.floor(at / 6000).cast("bigint")
+    tag = lambda at: F.concat(F.lit('"'), version(at).cast("string"), F.lit('"'))
+    changed = lambda at: (version(at) * 6000).cast("string")
+    site = F.concat(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), F.lit("/page"), (id % 3).cast("string"))
+    sent = id * 60
     response = pages.select(
-        (id * 2).alias("record_id"), "url", (id * 60).alias("fetched_at"), F.lit("response").alias("kind"),
-        of(ETag=tag, Content_Type=F.lit("text/html"), Date=(id * 60).cast("string"), Expires=F.lit("0")).alias("headers"),
+        (id * 2).alias("record_id"), site.alias("url"), sent.alias("fetched_at"), F.lit("response").alias("kind"),
+        of(ETag=tag(sent), Content_Type=F.lit("text/html"), Date=sent.cast("string"), Expires=F.lit("0"),
+           Last_Modified=F.when(id % 4 < 2, changed(sent))).alias("headers"),
         F.col("html").alias("page"),
     )
-    other = F.when(id % 3 == 0, F.concat("url", F.lit("#again"))).when(
-        id % 3 == 1, F.regexp_replace("url", "^http:", "https:")
-    ).otherwise(F.col("url"))
-    shown = F.when(id % 5 == 0, F.lit('"other"')).when(id % 5 != 1, tag)
+    seen = sent + F.when(id % 7 == 0, -30).otherwise(90) + id % 11 * 300
+    other = F.when(id % 3 == 0, F.concat(site, F.lit("/#again"))).when(
+        id % 3 == 1, F.regexp_replace(site, "^http:", "https:")
+    ).otherwise(F.concat(site, F.lit("?utm_source=x")))
     revisit = pages.select(
-        (id * 2 + 1).alias("record_id"), other.alias("url"),
-        (id * 60 + F.when(id % 7 == 0, -30).otherwise(90)).alias("fetched_at"), F.lit("revisit").alias("kind"),
-        of(etag=shown, DATE=(id * 60 + 90).cast("string"), Server=F.lit("cache")).alias("headers"),
+        (id * 2 + 1).alias("record_id"), other.alias("url"), seen.alias("fetched_at"), F.lit("revisit").alias("kind"),
+        of(etag=F.when(id % 5 == 0, F.lit('"other"')).when(id % 5 != 1, tag(seen)), DATE=seen.cast("string"),
+           Server=F.lit("cache"), last_modified=F.when(id % 2 == 0, changed(seen))).alias("headers"),
         F.lit(None).cast("string").alias("page"),
     )
     return response.unionByName(revisit)
