@@ -14,20 +14,20 @@ has nothing of what confirms: the shape of a span (its length, letters, groups o
 digits and what stands between them, without its plus or at sign) and its
 surroundings (words that announce such data and how far off they are, what touches
 it, whether a line begins or a colon stands before it, how many candidates are
-near). They learn on a bounded sample of documents in hash order. An isotonic
-calibration of held-out margins gives, per kind, the share of confirmed ones at a
+near). They learn on the candidates of all documents. An isotonic
+calibration of all held-out margins gives, per kind, the share of confirmed ones at a
 margin. Where it reaches ``least_share`` a candidate is added, whether it checks by
 itself or not; among unlabelled kinds ``least_share`` of what confirmed candidates
 reach on the mean. Base spans always stay.
 
 Only DataFrame operations: spans are arrays of the row, positions are running
 sums over what lies between the matches, and the fitted trees are an expression.
-Nothing is shuffled. Only fitting uses numpy, in the driver, on the sample's
-numbers.
+Texts are not shuffled. Fitting counts candidates with equal features; numpy, in the
+driver, sees sums per bin and counts per margin.
 
 Defined cases: a null text counts as empty; positions are code points, ends
 exclusive; overlapping spans of different kinds are all reported, and ``redact``
-covers their union; a sample without candidates, or with confirmed or unconfirmed
+covers their union; a table without candidates, or with confirmed or unconfirmed
 ones only, adds nothing; an account number may cross a base span, other candidates
 may not; an empty table gives no rows; repeated rows are treated alike; further columns are ignored by
 ``find`` and kept by ``redact``.
@@ -41,6 +41,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chatloom.llm import boosting
+from chatloom.llm.common import pinned
 
 # Fixed values of the contract: the base patterns, in the order of their kinds. A
 # match can only begin where no earlier character extends it, which the look-behind
@@ -75,6 +76,8 @@ CUES = {
 CUE = "(?i)(" + "|".join(pattern[5:-1] for pattern in CUES.values()) + ")"
 ADDRESS = r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?<=\.[A-Za-z]{2,24})$"
 CHUNK = 256
+FOLDS = 3
+STEPS = 1024  # cells of a margin that calibration tells apart, per unit
 FEATURES = (
     "kind", "length", "digits", "letters", "groups", "longest_group", "shortest_group", "blanks", "dashes", "dots", "slashes",
     "brackets", "free_before", "free_after", "line_start", "colon", "cue_distance", *CUES, "near",
@@ -253,42 +256,44 @@ class Model:
     cuts: dict[int, float]  # the least margin to redact, by kind
 
 
-def learn(
-    docs: DataFrame, *, text: str = "text", sample_docs: int = 10_000, most_candidates: int = 40_000,
-    least_share: float = 0.9, least_rows: int = 50,
-) -> Model:
-    """Fit on the candidates of about ``sample_docs`` documents, in hash order."""
-    share = min(1.0, sample_docs / max(docs.count(), 1))
-    place = F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(2**30))
-    sample = docs.filter(place <= F.lit(int(share * 2**30))).select(text)
-    found = _with_candidates(_with_base(sample, text, [])).select(F.explode("_cands").alias("c")).select(
-        "c.f", (F.col("c.base") | F.col("c.checks")).cast("int").alias("y"), F.xxhash64("c").alias("h")
-    )
-    rows = found.orderBy("h", "f", "y").limit(most_candidates).collect()
-    x = np.array([r["f"] for r in rows], dtype=float).reshape(-1, len(FEATURES))
-    y = np.array([r["y"] for r in rows], dtype=float)
-    part = np.arange(len(y)) % 3
-    margin = np.zeros(len(y))
-    for k in range(3 if len(y) >= 3 else 0):
-        margin[part == k] = boosting.fit(x[part != k], y[part != k], rounds=30).margin(x[part == k])
+def learn(docs: DataFrame, *, text: str = "text", least_share: float = 0.9, least_rows: int = 50) -> Model:
+    """Fit on the candidates of all documents; each is held out once, with those of
+    equal texts."""
+    found = _with_candidates(_with_base(docs.select(text), text, [])).withColumn("_h", F.xxhash64("_t"))
+    # A plain explode would add a filter that works all candidates out a second time.
+    rows = pinned(boosting.counted(found.select("_h", F.explode_outer("_cands").alias("c")).filter("c IS NOT NULL").select(
+        "c.f", (F.col("c.base") | F.col("c.checks")).cast("int").alias("y"), F.pmod(F.xxhash64("_h", "c"), F.lit(FOLDS)).alias("part")
+    )))
+    trees = boosting.fit(rows, rounds=30, folds=FOLDS)
+    features = [F.col("f")[k] for k in range(len(FEATURES))]
+    held = trees.column(features)
+    for k, other in enumerate(trees.held):
+        held = F.when(F.col("part") == k, other.column(features)).otherwise(held)
+    # Counts per margin, in steps that bound them whatever the number of rows.
+    step = F.floor(held * STEPS)
+    cells = rows.select(F.col("f")[0].alias("no"), step.alias("at"), "n", "s").groupBy("no", "at").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s")
+    ).orderBy("at", "no").collect()
+    kind, margin, n, s = np.array([(r["no"], r["at"] / STEPS, r["n"], r["s"]) for r in cells], dtype=float).reshape(-1, 4).T
     cuts = {}
     for no in range(len(KINDS)):
-        own = x[:, 0] == no
-        if own.sum() < least_rows or not np.ptp(y[own]):  # too few, or all alike, to calibrate alone
-            own = np.ones(len(y), dtype=bool)
+        own = kind == no
+        if n[own].sum() < least_rows or s[own].sum() in (0, n[own].sum()):  # too few, or all alike, to calibrate alone
+            own = np.ones(len(n), dtype=bool)
         if not own.any():
             cuts[no] = float("inf")
             continue
-        curve = boosting.isotonic(margin[own], y[own])
+        at, back = np.unique(margin[own], return_inverse=True)
+        labels = np.bincount(back, s[own])
+        curve = boosting.isotonic(at, labels, np.bincount(back, n[own]))
         # What a confirmed candidate reaches by this view: where the others are
         # unlabelled, the share of the confirmed among all that are personal data.
         reached = 1.0
-        if KINDS[no] not in DECISIVE and (own & (y == 1)).any():
-            reached = np.interp(margin[own & (y == 1)], curve.at, curve.value).mean()
+        if KINDS[no] not in DECISIVE and labels.any():
+            reached = np.average(np.interp(at, curve.at, curve.value), weights=labels)
         # Margins that tell nothing apart decide nothing.
-        enough = curve.at[curve.value >= least_share * reached] if np.ptp(margin[own]) and np.ptp(curve.value) else []
+        enough = curve.at[curve.value >= least_share * reached] if np.ptp(at) and np.ptp(curve.value) else []
         cuts[no] = float(enough[0]) if len(enough) else float("inf")
-    trees = boosting.fit(x, y, rounds=30) if len(y) else boosting.Trees(0.0, np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8)))
     return Model(trees, cuts)
 
 

@@ -125,6 +125,40 @@ def test_trees_add_what_is_like_confirmed_data(spark):
     assert decided(spark, model) == wanted()
 
 
+def test_all_candidates_are_learned_from(spark):
+    """15,000 documents with one candidate each, 5,000 of them confirmed: none is left out."""
+    docs = spark.range(15_000).selectExpr(
+        "id AS doc_id", "concat(if(id % 3 = 0, 'call +49 30 ', 'sent 49 30 '), 1000000 + id, ' now') AS text"
+    )
+    trees = pii.learn(docs).trees
+    assert trees.base == pytest.approx(pii.np.log(5000.5 / 10000.5), abs=1e-12)
+    without = [pii.np.exp(t.base) for t in trees.held]  # of two thirds of the rows each
+    assert len(without) == pii.FOLDS and all(0.45 < v < 0.55 for v in without)
+
+
+def test_trees_of_counted_rows_are_those_of_the_rows(spark):
+    """The same splits and leaves as from a matrix of all rows, and of those without a fold."""
+    rng = pii.np.random.default_rng(3)
+    x = pii.np.floor(rng.gamma(2.0, 20.0, size=(600, 4)))
+    y = (x[:, 0] + 0.5 * x[:, 2] + rng.normal(size=600) * 8 > 60).astype(float)
+    x, y, part = pii.np.r_[x, x[:200]], pii.np.r_[y, y[:200]], pii.np.arange(800) % 2  # some rows twice
+    rows = spark.createDataFrame([(f.tolist(), int(p), int(v)) for f, p, v in zip(x, part, y)], "f ARRAY<DOUBLE>, part INT, y INT")
+    trees = pii.boosting.fit(pii.boosting.counted(rows), rounds=6, folds=2)
+    plain = pii.boosting.fit(x, y, rounds=6)
+    assert (trees.feature == plain.feature).all() and pii.np.allclose(trees.margin(x), plain.margin(x), atol=1e-6)
+    for k, held in enumerate(trees.held):
+        share = (y[part != k].sum() + 0.5) / ((part != k).sum() + 1.0)
+        assert held.base == pytest.approx(pii.np.log(share / (1 - share)))
+        assert ((held.margin(x) > 0) == (y == 1)).mean() > 0.85
+
+
+def test_calibration_counts_rows_of_a_margin():
+    whole = pii.boosting.isotonic(pii.np.array([1.0, 1, 1, 2, 2]), pii.np.array([0.0, 1, 0, 1, 1]))
+    cells = pii.boosting.isotonic(pii.np.array([1.0, 2]), pii.np.array([1.0, 2]), pii.np.array([3.0, 2]))
+    assert cells.at.tolist() == [1.0, 2.0] and cells.value.tolist() == [pytest.approx(1 / 3), 1.0]
+    assert whole.value[-1] == cells.value[-1]
+
+
 def test_numbers_that_fail_a_decisive_check_are_no_data(spark):
     """Valid and invalid card numbers in the same surroundings: only the base spans."""
     def card(number):
